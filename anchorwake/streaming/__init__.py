@@ -1,0 +1 @@
+"""Nothing here: every job reads one complete log, so there is no stream operator."""
