@@ -177,7 +177,7 @@ def starts_by_key(df: DataFrame, key: str) -> DataFrame:
     if dict(df.dtypes)[key] != "int":
         raise TypeError(f"{key} must be INT to be numbered, cast it first")
     sizes = df.groupBy(key).agg(F.count("*").alias("_rows"))
-    sizes = sizes.withColumn("_group", F.shiftright(key, 16))
+    sizes = sizes.withColumn("_group", F.shiftright(key, 16)).where("_group IS NOT NULL")
     within = Window.partitionBy("_group").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     groups = (

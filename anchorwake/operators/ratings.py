@@ -39,12 +39,15 @@ def _enough(min_fo) -> Column:
     return F.col("n_fo") >= F.create_map(*pairs)[F.col("player_zone")]
 
 
+def qualified_totals(participants: DataFrame, min_fo=fixed.MIN_PER_ZONE) -> DataFrame:
+    """Zone totals of the players with enough anchors in the zone, in no order."""
+    return zone_totals(participants).where(_enough(min_fo))
+
+
 def impact_leaderboard(participants: DataFrame, min_fo=fixed.MIN_PER_ZONE) -> DataFrame:
     """Impact score per zone and player with enough anchors there, best first."""
-    return (
-        zone_totals(participants)
-        .where(_enough(min_fo))
-        .orderBy("player_zone", F.desc("impact_score"), "playerid")
+    return qualified_totals(participants, min_fo).orderBy(
+        "player_zone", F.desc("impact_score"), "playerid"
     )
 
 

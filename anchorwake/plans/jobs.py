@@ -70,10 +70,10 @@ def leaderboards(
 ) -> Leaderboards:
     """Anchor facts to the leaderboard of each zone and its chart tables."""
     participants = settle(registry.participants_long(facts))
-    board = settle(ratings.impact_leaderboard(participants, min_fo))
+    board = settle(ratings.qualified_totals(participants, min_fo))
     panel = panels.leaderboard_panel(board, k=k)
     return Leaderboards(
-        board,
+        board.orderBy("player_zone", F.desc("impact_score"), "playerid"),
         ratings.leaderboard_summary(participants, min_fo),
         panels.win_labels(panel),
         panels.panel_annotations(panel),

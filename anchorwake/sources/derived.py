@@ -7,54 +7,44 @@ arithmetic on its id and payload; a signup becomes an anchor with its two rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+_SOURCE = "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
 def derived_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ``events`` table as an anchor log, 1,000 source events to a game."""
-    source = spark.read.parquet(f"{sf_dir}/events.parquet")
-    anchor = F.col("event_type") == "signup"
-    rows = source.select(
+    source = spark.read.schema(_SOURCE).parquet(f"{sf_dir}/events.parquet")
+    rows = source.selectExpr(
         "event_id",
         "value",
-        F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
-        (F.col("user_id") % 40).cast("int").alias("p"),
-        F.when(anchor, "faceoff")
-        .when((F.col("event_type") == "purchase"), "attempt")
-        .when(F.col("event_type") == "click", "pass")
-        .when(F.col("event_type") == "view", "carry")
-        .otherwise("block")
-        .alias("kind"),
-        F.explode(F.when(anchor, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias(
-            "side"
-        ),
+        "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k",
+        "CAST(user_id % 40 AS INT) AS p",
+        "event_type = 'purchase' AS attempt",
+        "event_type = 'signup' AS anchor",
+        "CASE event_type WHEN 'click' THEN 'pass' WHEN 'view' THEN 'carry' ELSE 'block' END AS other",
+        "explode(CASE WHEN event_type = 'signup' THEN array(0, 1) ELSE array(0) END) AS side",
+    )
+    named = rows.selectExpr(
+        "*",
+        "event_id % 1000 * 4 + k % 6 AS t",
+        "side = 0 AS first",
+        "CASE WHEN anchor THEN 'faceoff' WHEN attempt AND k < 20 THEN 'goal' "
+        "WHEN attempt THEN 'shot' ELSE other END AS eventname",
     )
-    k, p, side, kind = (F.col(c) for c in ("k", "p", "side", "kind"))
-    first = side == 0
-    good = F.when(kind == "faceoff", first).otherwise(k % 2 == 0)
-    rows = rows.withColumn("t", (F.col("event_id") % 1000) * 4 + k % 6)
-    return rows.select(
-        F.floor(F.col("event_id") / 1000).cast("int").alias("gameid"),
-        F.col("t").cast("double").alias("compiledgametime"),
-        (F.floor(F.col("t") / 1200) + 1).cast("int").alias("period"),
-        F.when(kind != "attempt", kind)
-        .when(k < 20, "goal")
-        .otherwise("shot")
-        .alias("eventname"),
-        F.when(good, "successful").otherwise("failed").alias("outcome"),
-        ((p + side) % 2 + 1).cast("int").alias("teamid"),
-        F.when(first, p).otherwise((p + 1 + 2 * (k % 20)) % 40).cast("int").alias("playerid"),
-        F.when((k % 17 == 0) & (kind != "faceoff"), None)
-        .when(first, k * 2 - 99)
-        .otherwise(99 - k * 2)
-        .cast("double")
-        .alias("xadjcoord"),
-        F.when(k % 11 != 0, (p + k) % 2 + 1).cast("int").alias("teaminpossession"),
-        F.when(first, k % 5 - 2).otherwise(2 - k % 5).cast("int").alias("scoredifferential"),
-        F.when(k % 7 == 0, "powerPlay")
-        .when(k % 7 == 1, "shortHanded")
-        .otherwise("evenStrength")
-        .alias("manpowersituation"),
-        F.when((kind == "attempt") & (k % 13 != 0), F.col("value") / 1000).alias("xg_allattempts"),
-        (F.col("event_id") * 2 + side).cast("bigint").alias("row_pos"),
+    return named.selectExpr(
+        "CAST(floor(event_id / 1000) AS INT) AS gameid",
+        "CAST(t AS DOUBLE) AS compiledgametime",
+        "CAST(floor(t / 1200) + 1 AS INT) AS period",
+        "eventname",
+        "CASE WHEN if(anchor, first, k % 2 = 0) THEN 'successful' ELSE 'failed' END AS outcome",
+        "(p + side) % 2 + 1 AS teamid",
+        "if(first, p, (p + 1 + 2 * (k % 20)) % 40) AS playerid",
+        "CAST(CASE WHEN anchor OR k % 17 <> 0 THEN if(first, k * 2 - 99, 99 - k * 2) END AS DOUBLE) "
+        "AS xadjcoord",
+        "CASE WHEN k % 11 <> 0 THEN (p + k) % 2 + 1 END AS teaminpossession",
+        "if(first, k % 5 - 2, 2 - k % 5) AS scoredifferential",
+        "CASE k % 7 WHEN 0 THEN 'powerPlay' WHEN 1 THEN 'shortHanded' ELSE 'evenStrength' END "
+        "AS manpowersituation",
+        "CASE WHEN attempt AND k % 13 <> 0 THEN value / 1000 END AS xg_allattempts",
+        "event_id * 2 + side AS row_pos",
     )
