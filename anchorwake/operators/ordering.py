@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from anchorwake.sources.settle import settle
+
 BLOCK = "_block"
 ROWS_PER_BLOCK = 1_000_000
 ROWS_PER_BLOCK_CONF = "spark.anchorwake.rowsPerBlock"
@@ -117,7 +119,11 @@ def with_positions(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, bool
 
 
 def with_average_rank(df: DataFrame, value: str, tie_break: str, name: str) -> DataFrame:
-    """Add the 1-based rank of ``value``; equal values share their mean rank."""
+    """Add the 1-based rank of ``value``; equal values share their mean rank.
+
+    Read ``df`` from a materialised table. A table that had to be cut is
+    materialised again, as the next step would repeat several scans of it.
+    """
     ranked, cut = with_positions(df, (value, tie_break))
     ties = Window.partitionBy(BLOCK, value) if cut else Window.partitionBy(value)
     ranked = ranked.withColumns(
@@ -142,7 +148,8 @@ def with_average_rank(df: DataFrame, value: str, tie_break: str, name: str) -> D
             }
         )
     rank = (F.col("_first") + F.col("_last")) / 2 + 1
-    return ranked.withColumn(name, rank).select(*df.columns, name)
+    ranked = ranked.withColumn(name, rank).select(*df.columns, name)
+    return settle(ranked) if cut else ranked
 
 
 def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], tie_break: str) -> DataFrame:

@@ -2,45 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorwake.functions import fixed
 from anchorwake.functions.leverage import leverage_weights
 from anchorwake.functions.nulls import if_else, strict_mean, sum_or_zero
 from anchorwake.functions.zones import movement
-from anchorwake.operators.sequences import GAME, ORDER
+from anchorwake.operators.pairing import pair_adjacent, with_zones
+from anchorwake.operators.sequences import GAME, ORDER, is_anchor
 
+SEQUENCE = (GAME, "faceoff_sequence_id")
+CONTEXT = (
+    "teamid", "xadjcoord", "period", "scoredifferential", "manpowersituation", "outcome",
+)
 FLAGS = (
     "i_made_goal", "opp_made_goal", "i_made_shot", "opp_made_shot",
     "i_attempt_shot", "opp_attempt_shot",
 )
 FACT_COLUMNS = (
-    GAME, "faceoff_sequence_id", "teamid", "my_zon", "my_role", "zone_type", *FLAGS,
+    *SEQUENCE, "teamid", "my_zon", "my_role", "zone_type", *FLAGS,
     "final_x", "last_possession_team", "period", "score_diff", "manpower", "outcome_val",
 )
 
 
-def _by_team(windowed: DataFrame) -> DataFrame:
-    """What each team did in each sequence, combined before the shuffle."""
+def _sequences(windowed: DataFrame) -> DataFrame:
+    """One row per sequence: its anchor, its last event and what each team did.
+
+    The first grouping sees every event and is combined before the shuffle; it
+    leaves one row per team of a sequence, which the second one gathers.
+    """
     name, good = F.col("eventname"), F.col("outcome") == fixed.WON
     shot, goal = name == fixed.SHOT_EVENT, name == fixed.GOAL_EVENT
-    return windowed.groupBy(
-        F.col(GAME), F.col("faceoff_sequence_id").alias("join_id"), F.col("teamid").alias("ev_team")
-    ).agg(
-        F.bool_or(goal & good).alias("_goal"),
-        F.bool_or(shot & good).alias("_shot"),
-        F.bool_or(shot).alias("_try"),
-        F.count_if(shot | goal).alias("_attempts"),
-        sum_or_zero(F.when(shot | goal, F.col("xg_allattempts"))).alias("_xg"),
+    teams = windowed.groupBy(*SEQUENCE, F.col("teamid").alias("team")).agg(
+        F.bool_or(goal & good).alias("goal"),
+        F.bool_or(shot & good).alias("shot"),
+        F.bool_or(shot).alias("try"),
+        F.count_if(shot | goal).alias("attempts"),
+        sum_or_zero(F.when(shot | goal, F.col("xg_allattempts"))).alias("xg"),
+        F.min(F.when(is_anchor(), F.struct(*ORDER, *CONTEXT))).alias("_anchor"),
         F.max(F.struct(*ORDER, "xadjcoord", "teaminpossession")).alias("_last"),
     )
+    return teams.groupBy(*SEQUENCE).agg(
+        F.min("_anchor").alias("_anchor"),
+        F.max("_last").alias("_last"),
+        F.collect_list(F.struct("team", "goal", "shot", "try", "attempts", "xg")).alias("_teams"),
+    )
 
 
-def sequence_results(
-    registry: DataFrame, windowed: DataFrame, loser_xg: str = "zero"
-) -> DataFrame:
-    """Facts and expected goals per registry row, from one join and one grouping.
+def sequence_results(windowed: DataFrame, loser_xg: str = "zero") -> DataFrame:
+    """Facts and expected goals per paired anchor row, from one pass over the events.
 
     With ``loser_xg="zero"`` the rows of the losing team have no expected goals
     on either side, so only winners score. ``"mirrored"`` gives them the same
@@ -48,51 +59,59 @@ def sequence_results(
     """
     if loser_xg not in ("zero", "mirrored"):
         raise ValueError("loser_xg is 'zero' or 'mirrored'")
-    sides = registry.join(_by_team(windowed), [GAME, "join_id"])
-    mine, theirs = F.col("ev_team") == F.col("teamid"), F.col("ev_team") != F.col("teamid")
-    won = F.col("outcome") == fixed.WON
-    winners, losers = (won & mine), (won & theirs)
+    pairs = pair_adjacent(_sequences(windowed), from_joined=("_last", "_teams"))
+    rows = with_zones(pairs.select(*SEQUENCE, "_anchor.*", "_last", "_teams"))
+    teams, me = F.col("_teams"), F.col("teamid")
+
+    def total(which) -> Column:
+        return F.aggregate(
+            teams, F.lit(0.0), lambda so_far, t: so_far + F.when(which(t), t["xg"]).otherwise(0.0)
+        )
+
+    def any_team(which, did: str) -> Column:
+        return F.exists(teams, lambda t: which(t) & t[did])
+
+    def mine(t):
+        return t["team"] == me
+
+    def theirs(t):
+        return t["team"] != me
+
+    won, lost = F.col("outcome") == fixed.WON, F.col("outcome") == fixed.LOST
+    winner = F.when(won, total(mine))
+    loser = F.when(won, total(theirs))
     if loser_xg == "mirrored":
-        lost = F.col("outcome") == fixed.LOST
-        winners, losers = winners | (lost & theirs), losers | (lost & mine)
-    kinds = {"made_goal": "_goal", "made_shot": "_shot", "attempt_shot": "_try"}
-    flags = {
-        f"{who}_{kind}": F.bool_or(F.col(did) & is_side)
+        winner, loser = winner.when(lost, total(theirs)), loser.when(lost, total(mine))
+    kinds = {"made_goal": "goal", "made_shot": "shot", "attempt_shot": "try"}
+    flags = [
+        any_team(side, did).alias(f"{who}_{kind}")
         for kind, did in kinds.items()
-        for who, is_side in (("i", mine), ("opp", theirs))
-    }
-    keys = [c for c in registry.columns if c != "join_id"]
-    grouped = sides.groupBy(*keys).agg(
-        *[column.alias(name) for name, column in flags.items()],
-        F.max("_last").alias("_last"),
-        F.sum("_attempts").alias("n_attempts"),
-        sum_or_zero(F.when(winners, F.col("_xg"))).alias("xg_winner"),
-        sum_or_zero(F.when(losers, F.col("_xg"))).alias("xg_loser"),
-    )
-    return grouped.select(
-        GAME, "faceoff_sequence_id", "teamid", "my_zon", "my_role", "zone_type", *FLAGS,
+        for who, side in (("i", mine), ("opp", theirs))
+    ]
+    return rows.select(
+        *SEQUENCE, "teamid", "my_zon", "my_role", "zone_type",
+        *flags,
         F.col("_last.xadjcoord").alias("final_x"),
         F.col("_last.teaminpossession").alias("last_possession_team"),
         "period",
         F.col("scoredifferential").alias("score_diff"),
         F.col("manpowersituation").alias("manpower"),
         F.col("outcome").alias("outcome_val"),
-        "n_attempts", "xg_winner", "xg_loser",
+        F.exists(teams, lambda t: t["attempts"] > 0).alias("has_attempt"),
+        winner.otherwise(0.0).alias("xg_winner"),
+        loser.otherwise(0.0).alias("xg_loser"),
     )
 
 
-def sequence_xg(registry: DataFrame, windowed: DataFrame, loser_xg: str = "zero") -> DataFrame:
+def sequence_xg(windowed: DataFrame, loser_xg: str = "zero") -> DataFrame:
     """Expected goals per registry row that was followed by a shot or goal."""
-    return (
-        sequence_results(registry, windowed, loser_xg)
-        .where("n_attempts > 0")
-        .select(GAME, "faceoff_sequence_id", "xg_winner", "xg_loser")
-    )
+    results = sequence_results(windowed, loser_xg).where("has_attempt")
+    return results.select(*SEQUENCE, "xg_winner", "xg_loser")
 
 
-def sequence_facts(registry: DataFrame, windowed: DataFrame) -> DataFrame:
+def sequence_facts(windowed: DataFrame) -> DataFrame:
     """Six event flags, the final state and the context per registry row."""
-    return sequence_results(registry, windowed).select(*FACT_COLUMNS)
+    return sequence_results(windowed).select(*FACT_COLUMNS)
 
 
 def classify_outcome(facts: DataFrame) -> DataFrame:

@@ -43,19 +43,12 @@ class ZoneReport(NamedTuple):
     control_total: DataFrame
 
 
-def zone_scores(windowed: DataFrame, loser_xg: str = "zero") -> DataFrame:
-    pairs = pairing.paired_registry(windowed)
-    return outcomes.fis_scores(outcomes.sequence_results(pairs, windowed, loser_xg))
-
-
 def zone_report(windowed: DataFrame, loser_xg: str = "zero") -> ZoneReport:
     """Filtered log to the zone table, the outcome distribution and their check."""
-    pairs = settle(pairing.paired_registry(windowed))
-    scores = settle(outcomes.fis_scores(outcomes.sequence_results(pairs, windowed, loser_xg)))
+    scores = settle(outcomes.fis_scores(outcomes.sequence_results(windowed, loser_xg)))
     impact = outcomes.zone_impact(scores)
-    return ZoneReport(
-        scores, impact, outcomes.outcome_report(scores), outcomes.control_total(pairs, impact)
-    )
+    check = outcomes.control_total(pairing.paired_registry(windowed), impact)
+    return ZoneReport(scores, impact, outcomes.outcome_report(scores), check)
 
 
 class Leaderboards(NamedTuple):

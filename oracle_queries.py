@@ -271,26 +271,31 @@ SELECT *, CAST(CAST(round_even(1 / abs({score}), 0) AS BIGINT) AS VARCHAR) AS fo
 FROM placed WHERE abs({score}) >= 0.001 AND (size <= 3 OR place IN (1, CAST(ceil(size / 2) AS BIGINT), size)))"""
 
 
+def _f(x: str, name: str = "") -> str:
+    """A double in the form in which both engines are compared."""
+    return f"CAST(CAST(round({x}, 12) AS FLOAT) AS DOUBLE) + 0.0::DOUBLE AS {name or x}"
+
+
 _EVENT = (
     "gameid, compiledgametime, period, eventname, outcome, teamid, playerid, xadjcoord, "
     "teaminpossession, scoredifferential, manpowersituation, "
-    "round(xg_allattempts, 9) + 0.0 AS xg_allattempts, row_pos"
+    f"{_f('xg_allattempts')}, row_pos"
 )
 _REG = (
     "gameid, physical_faceoff_id, winner_team, loser_team, winner_player, loser_player, fo_x, "
-    "period, score_diff, manpower, round(leverage, 9) + 0.0 AS leverage, fo_zone_winner, fo_zone"
+    f"period, score_diff, manpower, {_f('leverage')}, fo_zone_winner, fo_zone"
 )
 _BOARD = (
-    "player_zone, playerid, n_fo, n_won, round(win_pct, 9) + 0.0 AS win_pct, "
-    "round(xg_created, 9) + 0.0 AS xg_created, round(xg_conceded, 9) + 0.0 AS xg_conceded, "
-    "round(impact_score, 9) + 0.0 AS impact_score"
+    f"player_zone, playerid, n_fo, n_won, {_f('win_pct')}, "
+    f"{_f('xg_created')}, {_f('xg_conceded')}, "
+    f"{_f('impact_score')}"
 )
 _RATED = (
-    "playerid, total_faceoffs, wins, losses, round(raw_win_rate, 9) + 0.0 AS raw_win_rate, "
-    "round(bayes_win_rate, 9) + 0.0 AS bayes_win_rate, round(lev_xg_gen, 9) + 0.0 AS lev_xg_gen, "
-    "round(lev_xg_con, 9) + 0.0 AS lev_xg_con, round(lev_terr, 9) + 0.0 AS lev_terr, "
-    "round(FIS_xg, 9) + 0.0 AS FIS_xg, round(FIS_terr, 9) + 0.0 AS FIS_terr, "
-    "round(FIS_per_fo, 9) + 0.0 AS FIS_per_fo, round(avg_leverage, 9) + 0.0 AS avg_leverage, quadrant"
+    f"playerid, total_faceoffs, wins, losses, {_f('raw_win_rate')}, "
+    f"{_f('bayes_win_rate')}, {_f('lev_xg_gen')}, "
+    f"{_f('lev_xg_con')}, {_f('lev_terr')}, "
+    f"{_f('FIS_xg')}, {_f('FIS_terr')}, "
+    f"{_f('FIS_per_fo')}, {_f('avg_leverage')}, quadrant"
 )
 _PANEL = "src, display_pos, sign_class, divider_pos"
 
@@ -313,8 +318,8 @@ def statements(min_fo: int = 15, min_rated: int = 50) -> dict[str, str]:
     zone_panel = _panel("board", "player_zone", "impact_score", tail=False)
     rating_panel = _panel("classified", "", "FIS_per_fo", tail=True)
     extremes = (
-        "playerid, total_faceoffs, round(raw_win_rate, 4) + 0.0 AS raw_win_rate, "
-        "round(bayes_win_rate, 4) + 0.0 AS bayes_win_rate, round(FIS_per_fo, 4) + 0.0 AS FIS_per_fo"
+        "playerid, total_faceoffs, round(raw_win_rate, 4) + 0.0::DOUBLE AS raw_win_rate, "
+        "round(bayes_win_rate, 4) + 0.0::DOUBLE AS bayes_win_rate, round(FIS_per_fo, 4) + 0.0::DOUBLE AS FIS_per_fo"
     )
     ranked = """ranked AS (
 SELECT rank() OVER (ORDER BY raw_win_rate) + (count(*) OVER (PARTITION BY raw_win_rate) - 1) / 2 AS raw,
@@ -340,7 +345,7 @@ FROM rated)"""
         "anchor_registry": _with(to_registry, f"SELECT {_REG} FROM registry"),
         "xg_by_side": _with(
             to_facts,
-            f"SELECT {_REG}, round(xg_winner, 9) + 0.0 AS xg_winner, round(xg_loser, 9) + 0.0 AS xg_loser FROM facts",
+            f"SELECT {_REG}, {_f('xg_winner')}, {_f('xg_loser')} FROM facts",
         ),
         "territorial_delta": _with(
             to_facts,
@@ -348,8 +353,8 @@ FROM rated)"""
         ),
         "participants_long": _with(
             to_players,
-            "SELECT playerid, won, round(leverage, 9) + 0.0 AS leverage, player_zone, "
-            "round(xg_for, 9) + 0.0 AS xg_for, round(xg_against, 9) + 0.0 AS xg_against, terr_delta FROM participants",
+            f"SELECT playerid, won, {_f('leverage')}, player_zone, "
+            f"{_f('xg_for')}, {_f('xg_against')}, terr_delta FROM participants",
         ),
         "impact_leaderboard": _with(to_board, f"SELECT {_BOARD} FROM board"),
         "leaderboard_summary": _with(
@@ -380,7 +385,7 @@ FROM rated)"""
         ),
         "rank_correlation": _with(
             [*to_rated, ranked],
-            "SELECT round(corr(raw, fis), 9) AS cor_raw, round(corr(bay, fis), 9) AS cor_bay FROM ranked",
+            f"SELECT {_f('corr(raw, fis)', 'cor_raw')}, {_f('corr(bay, fis)', 'cor_bay')} FROM ranked",
         ),
         "ratings_panel": _with(
             [*to_rated, rating_panel],
@@ -392,26 +397,26 @@ FROM rated)"""
         ),
         "outlier_labels": _with(
             to_rated,
-            "SELECT CAST(playerid AS VARCHAR) AS label, round(raw_win_rate, 9) + 0.0 AS raw_win_rate, "
-            "round(FIS_per_fo, 9) + 0.0 AS FIS_per_fo, quadrant FROM classified WHERE outlier",
+            f"SELECT CAST(playerid AS VARCHAR) AS label, {_f('raw_win_rate')}, "
+            f"{_f('FIS_per_fo')}, quadrant FROM classified WHERE outlier",
         ),
         "pair_adjacent": _with(to_pairs, "SELECT * FROM paired"),
         "sequence_xg": _with(
             [*to_pairs, SEQUENCE_XG],
-            "SELECT gameid, faceoff_sequence_id, round(xg_winner, 9) + 0.0 AS xg_winner, "
-            "round(xg_loser, 9) + 0.0 AS xg_loser FROM sequence_xg",
+            f"SELECT gameid, faceoff_sequence_id, {_f('xg_winner')}, "
+            f"{_f('xg_loser')} FROM sequence_xg",
         ),
         "sequence_outcomes": _with(to_outcomes, "SELECT * FROM classified_seq"),
         "fis_scores": _with(
             to_scores,
             "SELECT gameid, faceoff_sequence_id, teamid, my_zon, my_role, zone_type, total_utfall, "
-            "round(reward, 9) + 0.0 AS reward, round(score_weight, 9) + 0.0 AS score_weight, period_weight, "
-            "manpower_weight, zone_weight, round(leverage, 9) + 0.0 AS leverage, "
-            "round(fis_score, 9) + 0.0 AS fis_score FROM scores",
+            f"{_f('reward')}, {_f('score_weight')}, {_f('period_weight')}, "
+            f"{_f('manpower_weight')}, {_f('zone_weight')}, {_f('leverage')}, "
+            f"{_f('fis_score')} FROM scores",
         ),
         "zone_impact": _with(
             to_scores,
-            "SELECT my_zon, round(avg(fis_score), 4) + 0.0 AS Avg_FIS, count(*) / 2 AS Antal_Fysiska_Tekningar "
+            "SELECT my_zon, round(avg(fis_score), 4) + 0.0::DOUBLE AS Avg_FIS, count(*) / 2 AS Antal_Fysiska_Tekningar "
             "FROM scores GROUP BY my_zon",
         ),
         "outcome_report": _with(
