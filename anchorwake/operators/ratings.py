@@ -125,8 +125,8 @@ def rank_correlation(rated: DataFrame) -> DataFrame:
     whole = F.count_if(F.col("FIS_per_fo").isNull()) == 0
 
     def correlation(a: str, b: str) -> Column:
-        varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
-        return F.when(whole & varies, F.corr(a, b))
+        spread = F.stddev_pop(a) * F.stddev_pop(b)  # 0 where a column does not vary
+        return F.when(whole, F.try_divide(F.covar_pop(a, b), spread))
 
     return ranked.agg(
         correlation("_raw", "_fis").alias("cor_raw"),

@@ -1,0 +1,289 @@
+import math
+
+import pytest
+from logs import event, frame, tiny
+from pyspark.sql import functions as F
+
+from anchorwake.operators import outcomes, pairing, panels, ratings, registry, sequences
+from anchorwake.operators.ordering import quantiles, with_average_rank
+from anchorwake.plans import jobs
+from anchorwake.sources.settle import settle
+
+
+def rounded(value):
+    return round(value, 9) + 0.0 if isinstance(value, float) else value
+
+
+def table(df, *names):
+    return [tuple(rounded(r[n]) for n in names) for r in df.collect()]
+
+
+@pytest.fixture(scope="module")
+def windowed(spark):
+    return settle(jobs.post_anchor_events(frame(spark, tiny())))
+
+
+@pytest.fixture(scope="module")
+def facts(spark):
+    return settle(jobs.session_facts(frame(spark, tiny())))
+
+
+def facts_of(spark, rows):
+    return jobs.session_facts(frame(spark, rows), split=None)
+
+
+def test_tiny_registry(spark, windowed, facts):
+    names = ("physical_faceoff_id", "winner_player", "loser_player", "fo_x", "leverage")
+    expected = {(1, 11, 21, 0.0, 0.6), (2, 21, 11, 60.0, 0.39), (3, 21, 11, 20.0, 0.8), (4, 11, 21, 30.0, 1.352)}
+    alone = registry.anchor_registry(sequences.anchor_sessions(windowed))
+    assert set(table(alone, *names)) == expected
+    assert set(table(facts, *names)) == expected
+
+
+def test_tiny_facts(facts):
+    got = table(
+        facts.orderBy("physical_faceoff_id"), "xg_winner", "xg_loser",
+        "max_x_winner", "max_x_loser", "terr_winner", "terr_loser",
+    )
+    assert got == [
+        (0.1, 0.0, 40.0, 30.0, 2, 2), (0.3, 0.0, 70.0, -100.0, 0, 0),
+        (0.0, 0.0, -100.0, -100.0, -3, -1), (0.0, 0.0, -100.0, -100.0, -4, 0),
+    ]
+
+
+def test_tiny_leaderboard(facts):
+    board = ratings.impact_leaderboard(registry.participants_long(facts), min_fo=1)
+    got = table(board, "player_zone", "playerid", "n_fo", "n_won", "impact_score")
+    assert sorted(got) == [
+        ("Defensive Zone", 11, 1, 0, -0.117), ("Defensive Zone", 21, 1, 0, 0.0),
+        ("Neutral Zone", 11, 2, 1, 0.03), ("Neutral Zone", 21, 2, 1, -0.03),
+        ("Offensive Zone", 11, 1, 1, 0.0), ("Offensive Zone", 21, 1, 1, 0.117),
+    ]
+
+
+def test_tiny_ratings(facts):
+    players = ratings.player_ratings(registry.participants_long(facts)).orderBy("playerid")
+    got = table(players, "playerid", "total_faceoffs", "wins", "lev_xg_gen", "lev_xg_con",
+                "lev_terr", "avg_leverage", "bayes_win_rate", "FIS_per_fo")
+    assert got == [
+        (11, 4, 2, 0.06, 0.117, -5.008, 0.7855, 0.5, -0.016754),
+        (21, 4, 2, 0.117, 0.06, -1.2, 0.7855, 0.5, 0.01365),
+    ]
+
+
+def test_tiny_zone_report(windowed):
+    pairs = pairing.paired_registry(windowed)
+    assert dict(table(pairs, "faceoff_sequence_id", "join_id")) == {0: 1, 1: 1, 5: 6, 6: 6, 11: 12, 12: 12}
+    report = jobs.zone_report(windowed)
+    scores = table(report.scores, "faceoff_sequence_id", "total_utfall", "fis_score")
+    assert {s: (label[:2], score) for s, label, score in scores} == {
+        0: ("02", 0.06), 1: ("10", 0.0), 5: ("01", 0.117), 6: ("11", 0.0), 11: ("08", 0.0), 12: ("09", 0.0),
+    }
+    impact = table(report.zone_impact, "my_zon", "Avg_FIS", "Antal_Fysiska_Tekningar")
+    assert {z[0]: (avg, n) for z, avg, n in impact} == {"1": (0.0585, 1.0), "3": (0.03, 1.0), "5": (0.0, 1.0)}
+    assert table(report.control_total, "actual", "expected", "ok") == [(3.0, 3.0, True)]
+    shares = report.outcome_report.groupBy("my_zon", "my_role").agg(F.sum("Procent").alias("s"))
+    assert all(math.isclose(r.s, 100.0, abs_tol=0.05) for r in shares.collect())
+
+
+def test_mirrored_loser_xg(windowed):
+    got = table(outcomes.sequence_xg(windowed, "mirrored"), "faceoff_sequence_id", "xg_winner", "xg_loser")
+    assert set(got) == {(0, 0.1, 0.0), (1, 0.1, 0.0), (5, 0.3, 0.0), (6, 0.3, 0.0)}
+    zero = table(outcomes.sequence_xg(windowed), "faceoff_sequence_id", "xg_winner", "xg_loser")
+    assert set(zero) == {(0, 0.1, 0.0), (1, 0.0, 0.0), (5, 0.3, 0.0), (6, 0.0, 0.0)}
+    with pytest.raises(ValueError):
+        outcomes.sequence_results(windowed, "other")
+
+
+def test_one_sided_anchor_is_not_registered(spark):
+    rows = [
+        event(0, 0, "faceoff", "successful", team=1), event(1, 1, "shot", xg=0.2),
+        event(2, 30, "faceoff", "successful", team=None), event(3, 30, "faceoff", "failed", team=2),
+    ]
+    assert facts_of(spark, rows).count() == 0
+
+
+def test_first_row_of_each_side_counts(spark):
+    rows = [
+        event(0, 0, "faceoff", "failed", team=2, player=5, margin=3, strength="powerPlay"),
+        event(1, 0, "faceoff", "successful", team=1, player=6, x=10, margin=-3),
+        event(2, 0, "faceoff", "successful", team=1, player=7, x=30),
+    ]
+    got = table(facts_of(spark, rows), "winner_player", "loser_player", "fo_x", "score_diff", "manpower")
+    assert got == [(6, 5, 10.0, 3, "powerPlay")]
+
+
+def test_same_team_on_both_sides(spark):
+    rows = [
+        event(0, 0, "faceoff", "successful", team=1), event(1, 0, "faceoff", "failed", team=1),
+        event(2, 1, "shot", team=1, xg=0.2, x=30), event(3, 1, "shot", team=2, xg=0.4, x=40),
+        event(4, 2, "shot", team=None, xg=0.9, x=50),
+    ]
+    got = table(facts_of(spark, rows), "xg_winner", "xg_loser", "max_x_winner", "max_x_loser")
+    assert got == [(0.2, 0.0, 30.0, 30.0)]
+
+
+def test_missing_values_of_the_anchor(spark):
+    rows = [
+        event(0, 0, "faceoff", "successful", team=1, player=1, x=None, margin=None),
+        event(1, 0, "faceoff", "failed", team=2, player=2, x=None, margin=None),
+        event(2, 1, "shot", team=1, xg=None, x=None),
+        event(3, 50, "faceoff", "successful", team=1, player=1, x=30),
+        event(4, 50, "faceoff", "failed", team=2, player=2, x=-30),
+    ]
+    facts = facts_of(spark, rows)
+    got = table(facts.orderBy("physical_faceoff_id"), "leverage", "fo_zone_winner", "xg_winner", "terr_winner", "terr_loser")
+    assert got[0] == (None, "Defensive Zone", 0.0, 0, 0)
+    # A missing leverage makes the player's weighted sums missing, not smaller.
+    players = ratings.player_ratings(registry.participants_long(facts)).orderBy("playerid")
+    assert table(players, "playerid", "lev_xg_gen", "lev_xg_con", "lev_terr", "avg_leverage", "FIS_per_fo") == [
+        (1, None, 0.0, None, None, None), (2, 0.0, None, None, None, None),
+    ]
+
+
+def test_strength_missing_or_unknown_in_the_zone_report(spark):
+    def score(strength):
+        rows = [
+            event(0, 0, "faceoff", "successful", team=1, x=30, strength=strength),
+            event(1, 0, "faceoff", "failed", team=2, x=-30, strength=strength),
+            event(2, 1, "shot", team=1, xg=1.0),
+        ]
+        scores = outcomes.fis_scores(outcomes.sequence_results(jobs.post_anchor_events(frame(spark, rows))))
+        return dict(table(scores, "outcome_val", "fis_score"))["successful"], scores
+
+    assert score("fourOnFour")[0] == round(0.6 * 1.3 * 1.3, 9)
+    missing, scores = score(None)
+    assert missing is None
+    assert {r.Avg_FIS for r in outcomes.zone_impact(scores).collect()} == {None}
+
+
+def test_outcome_without_a_team_is_undefined(spark):
+    rows = [event(0, 0, "faceoff", "successful", team=None), event(1, 0, "faceoff", "failed", team=2)]
+    facts = outcomes.sequence_facts(jobs.post_anchor_events(frame(spark, rows)))
+    got = dict(table(outcomes.classify_outcome(facts), "outcome_val", "total_utfall"))
+    assert got["successful"] == "12. Odefinierat"
+    assert got["failed"].startswith("07.")
+
+
+def boards(spark, scores, zone="Neutral Zone"):
+    return spark.createDataFrame(
+        [(zone, i, 20, 50.0 + i, s) for i, s in enumerate(scores)],
+        "player_zone string, playerid int, n_fo bigint, win_pct double, impact_score double",
+    )
+
+
+def test_panel_with_fewer_players_than_two_halves(spark):
+    panel = panels.leaderboard_panel(boards(spark, [0.3, -0.2, 0.1, None]), k=2)
+    got = table(panel.orderBy("display_pos"), "playerid", "src", "sign_class", "divider_pos")
+    assert got == [(1, "bottom", "negative", 2.5), (2, "bottom", "positive", 2.5), (0, "top", "positive", 2.5)]
+
+
+def test_panel_ties(spark):
+    board = boards(spark, [0.5, 0.1, 0.1, 0.1, 0.1])
+    head = panels.leaderboard_panel(board, k=2).where("src = 'top'")
+    assert {r.playerid for r in head.collect()} == {0}
+    tail = panels.leaderboard_panel(board, k=2, tail=True).where("src = 'top'")
+    assert {r.playerid for r in tail.collect()} == {0, 4}
+
+
+def test_annotations_pick_first_middle_last_of_each_half(spark):
+    scores = [-0.4, -0.3, -0.2, -0.0005, 0.1, 0.2, 0.3, 0.4]
+    panel = panels.leaderboard_panel(boards(spark, scores), k=4)
+    got = table(panels.panel_annotations(panel).orderBy("display_pos"), "playerid", "fo_label")
+    # 1 / 0.4 = 2.5 is written as 2; the score below the minimum has no label.
+    assert got == [(0, "2"), (1, "3"), (4, "10"), (5, "5"), (7, "2")]
+    none = panels.panel_annotations(panels.leaderboard_panel(boards(spark, [0.0, 0.0])))
+    assert none.count() == 0
+
+
+def test_leaderboards_job(facts):
+    out = jobs.leaderboards(facts, min_fo={"Neutral Zone": 2, "Offensive Zone": 1, "Defensive Zone": 9}, k=1)
+    assert [r.playerid for r in out.leaderboard.collect()] == [11, 21, 21, 11]
+    summary = {r.player_zone: tuple(r)[1:] for r in out.summary.collect()}
+    assert summary == {
+        "Neutral Zone": (4, 2, 50.0), "Offensive Zone": (2, 2, 100.0), "Defensive Zone": (2, 0, None),
+    }
+    labels = {(r.player_zone, r.playerid): r.win_label for r in out.panel.collect()}
+    assert labels[("Neutral Zone", 11)] == "50% win"
+
+
+def rated(spark, rows):
+    schema = (
+        "playerid int, total_faceoffs bigint, raw_win_rate double, bayes_win_rate double, FIS_per_fo double"
+    )
+    return spark.createDataFrame([(i, 60, w, w / 2 + 0.25, f) for i, (w, f) in enumerate(rows)], schema)
+
+
+RATES = [(0.5, 0.02), (0.5, -0.01), (0.6, 0.03), (0.4, 0.01), (0.5, 0.0), (0.7, -0.02), (0.2, 0.05)]
+
+
+def spearman(rows):
+    def ranks(values):
+        return [sum(v < x for v in values) + (sum(v == x for v in values) + 1) / 2 for x in values]
+
+    a, b = ranks([w for w, _ in rows]), ranks([f for _, f in rows])
+    ma, mb = sum(a) / len(a), sum(b) / len(b)
+    cov = sum((x - ma) * (y - mb) for x, y in zip(a, b))
+    return cov / math.sqrt(sum((x - ma) ** 2 for x in a) * sum((y - mb) ** 2 for y in b))
+
+
+@pytest.mark.parametrize("rows_per_block", [None, 2])
+def test_rank_correlation(spark, small_blocks, rows_per_block):
+    if rows_per_block:
+        small_blocks(rows_per_block)
+    got = ratings.rank_correlation(rated(spark, RATES)).first()
+    assert got.cor_raw == pytest.approx(spearman(RATES))
+    assert got.cor_bay == pytest.approx(spearman(RATES))
+
+
+def test_rank_correlation_without_an_answer(spark):
+    for rows in ([(0.5, 0.1)], [(0.5, 0.1), (0.5, 0.2)], [(0.5, 0.1), (0.6, None)]):
+        got = ratings.rank_correlation(rated(spark, rows)).first()
+        assert (got.cor_raw, got.cor_bay) == (None, None)
+
+
+@pytest.mark.parametrize("rows_per_block", [None, 40])
+def test_ranks_and_quantiles_over_blocks(spark, small_blocks, rows_per_block):
+    values = [(i, float((i * 7919) % 50)) for i in range(400)] + [(1000 + i, 7.0) for i in range(200)]
+    df = spark.createDataFrame(values, "playerid int, x double").repartition(3)
+    if rows_per_block:
+        small_blocks(rows_per_block)
+    got = {r.playerid: r.rank for r in with_average_rank(df, "x", "playerid", "rank").collect()}
+    xs = [x for _, x in values]
+    for player, x in values[::17]:
+        assert got[player] == sum(v < x for v in xs) + (sum(v == x for v in xs) + 1) / 2
+    row = quantiles(df, {"q": (F.col("x"), 0.92), "m": (F.col("x"), 0.5)}, "playerid").first()
+    xs.sort()
+    for name, q in (("q", 0.92), ("m", 0.5)):
+        at = (len(xs) - 1) * q
+        low = math.floor(at)
+        assert row[name] == pytest.approx(xs[low] + (xs[min(low + 1, 599)] - xs[low]) * (at - low))
+
+
+def test_quadrants_and_outliers(spark):
+    got = ratings.classify_players(rated(spark, RATES)).orderBy("playerid").collect()
+    assert [r.quadrant for r in got] == [
+        "High win% + High FIS", "High win% + Low FIS", "High win% + High FIS", "Low win% + High FIS",
+        "High win% + Low FIS", "High win% + Low FIS", "Low win% + High FIS",
+    ]
+    assert [r.outlier for r in got] == [False] * 6 + [True]
+    labels = panels.outlier_labels(ratings.classify_players(rated(spark, RATES)))
+    assert [r.label for r in labels.collect()] == ["6"]
+
+
+def test_extremes_put_missing_scores_last(spark):
+    best, worst = ratings.rating_extremes(rated(spark, [(0.5, None), (0.5, 0.123456), (0.5, -0.1)]), k=2)
+    assert table(best, "playerid", "FIS_per_fo") == [(1, 0.1235), (2, -0.1)]
+    assert table(worst, "playerid", "FIS_per_fo") == [(2, -0.1), (1, 0.1235)]
+
+
+def test_rating_report(facts):
+    out = jobs.rating_report(facts, min_fo=4, k=1)
+    assert [r.playerid for r in out.export.collect()] == [21, 11]
+    assert out.export.columns == list(ratings.EXPORT_COLUMNS)
+    assert [r.playerid for r in out.best.collect()] == [21]
+    assert table(out.panel.orderBy("display_pos"), "playerid", "src", "win_label") == [
+        (11, "bottom", "50% win"), (21, "top", "50% win"),
+    ]
+    counts = ratings.rating_counts(facts, out.rated).first()
+    assert (counts.n_registry, counts.n_rated) == (4, 2)
