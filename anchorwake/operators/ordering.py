@@ -48,8 +48,7 @@ class Split:
 
     def assign(self, df: DataFrame) -> DataFrame:
         """Add the block number: 0 for whole keys, 1.. in order for cut ones."""
-        bounds = F.broadcast(self.bounds)
-        joined = df.join(bounds, list(self.keys), "left") if self.keys else df.crossJoin(bounds)
+        joined = df.join(F.broadcast(self.bounds), list(self.keys), "left")
         cuts, row = F.col("_cuts"), _sort_key(self.order)
         steps = F.array(*[F.lit(2**bit) for bit in range(17, -1, -1)])
         passed = F.aggregate(
@@ -77,10 +76,12 @@ def find_split(
     if largest is None or largest <= size:
         return None
     every = max(1, size // SAMPLES_PER_BLOCK)
-    sample = df.select(*keys, *order).where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0)
-    if keys:
-        large = sizes.where(F.col("_rows") > size).select(*keys)
-        sample = sample.join(F.broadcast(large), list(keys))
+    large = sizes.where(F.col("_rows") > size).select(*keys)  # fewer than MAX_BLOCKS keys
+    sample = (
+        df.select(*keys, *order)
+        .where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0)
+        .join(F.broadcast(large), list(keys))
+    )
     # At most SAMPLES_PER_BLOCK * MAX_BLOCKS sampled rows in expectation, over all keys.
     bounds = sample.groupBy(*keys).agg(
         F.filter(
@@ -97,18 +98,18 @@ def with_positions(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, bool
     Read ``df`` from a materialised table: it is scanned more than once. The
     flag tells whether the table was cut into blocks (``_block``).
     """
-    split = find_split(df, (), order)
+    whole = df.withColumn("_whole", F.lit(0))
+    split = find_split(whole, ("_whole",), order)
     by = [F.col(c).asc_nulls_last() for c in order]
     if split is None:  # checked: the whole table fits one block
         return df.withColumn("_position", F.row_number().over(Window.orderBy(*by)) - F.lit(1)), False
-    rows = split.assign(df)
-    rows = rows.withColumn(
+    blocked = split.assign(whole).drop("_whole")
+    rows = blocked.withColumn(
         "_place", F.row_number().over(Window.partitionBy(BLOCK).orderBy(*by)).cast("bigint")
     )
     earlier = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        split.assign(df)
-        .groupBy(BLOCK)
+        blocked.groupBy(BLOCK)
         .agg(F.count("*").alias("_rows"))
         .select(BLOCK, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_skip"))
     )
@@ -159,21 +160,18 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], tie_break:
     """
     if df.count() <= rows_per_block(df.sparkSession):
         return df.agg(*[F.percentile(x, F.lit(q)).alias(name) for name, (x, q) in wanted.items()])
-    out = None
+    found = {}
     for name, (x, q) in wanted.items():
         values = df.select(x.cast("double").alias("_x"), tie_break).where("_x IS NOT NULL")
+        at = (values.count() - 1) * q
+        low = math.floor(at)
         placed, _ = with_positions(values, ("_x", tie_break))
-        at = (F.col("_n") - 1) * F.lit(float(q))
-        sizes = values.agg(F.count("*").alias("_n"))
-        low, high = F.floor(at), F.ceil(at)
-        one = (
-            placed.crossJoin(F.broadcast(sizes))
-            .where(F.col("_position").isin(low, high))
-            .agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.first(at - low).alias("_w"))
-            .select((F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w")).alias(name))
+        # The one or two rows around the wanted place, as one row.
+        ends = placed.where(F.col("_position").isin(low, math.ceil(at))).agg(
+            F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
         )
-        out = one if out is None else out.crossJoin(one)
-    return out
+        found[name] = ends.select(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (at - low))
+    return df.sparkSession.range(1).select(*[one.scalar().alias(n) for n, one in found.items()])
 
 
 def starts_by_key(df: DataFrame, key: str) -> DataFrame:

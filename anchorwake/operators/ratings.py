@@ -95,9 +95,8 @@ def rated_players(players: DataFrame, min_fo: int = fixed.MIN_RATED) -> DataFram
 
 def rating_counts(registry: DataFrame, rated: DataFrame) -> DataFrame:
     """One row: anchors in the registry and players with enough of them."""
-    qualified = rated.agg(F.count("*").alias("n_rated"))
-    anchors = registry.agg(F.count("*").alias("n_registry"))
-    return anchors.crossJoin(F.broadcast(qualified))
+    qualified = rated.agg(F.count("*")).scalar()
+    return registry.agg(F.count("*").alias("n_registry")).withColumn("n_rated", qualified)
 
 
 def rating_extremes(rated: DataFrame, k: int = fixed.PANEL_SIZE) -> tuple[DataFrame, DataFrame]:
@@ -151,16 +150,18 @@ def classify_players(rated: DataFrame, q: float = fixed.OUTLIER_QUANTILE) -> Dat
         },
         "playerid",
     )
-    good_rate = rate >= F.col("_rate_mid")
-    good_score = score >= F.col("_score_mid")
+    # The quantiles come back as one value, a struct.
+    cut = cuts.select(F.struct("*")).scalar()
+    good_rate = rate >= F.col("_cut._rate_mid")
+    good_score = score >= F.col("_cut._score_mid")
     quadrant = (
         F.when(good_rate & good_score, fixed.HIGH_HIGH)
         .when(good_rate & ~good_score, fixed.HIGH_LOW)
         .when(~good_rate & good_score, fixed.LOW_HIGH)
         .otherwise(fixed.LOW_LOW)
     )
-    outlier = (size > F.col("_size_cut")) | (lean > F.col("_lean_cut"))
-    return rated.crossJoin(F.broadcast(cuts)).select(
+    outlier = (size > F.col("_cut._size_cut")) | (lean > F.col("_cut._lean_cut"))
+    return rated.withColumn("_cut", cut).select(
         *rated.columns, quadrant.alias("quadrant"), outlier.alias("outlier")
     )
 
