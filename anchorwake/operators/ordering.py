@@ -4,7 +4,7 @@ Most keys (games) are small and are handled by a plain window over the key. A
 key may also hold a large share of all rows; a window over it would put them in
 one task. Such a key is cut into blocks of consecutive rows. The cut points come
 from a sample of the sort key chosen by hash, so they are the same in every
-evaluation, and a row finds its block by binary search. Windows then run per
+evaluation, and a row finds its block by binary search among them. Windows then run per
 (key, block), and what crosses a block boundary is passed on through a table
 with one row per block. The number of blocks is at most about twice MAX_BLOCKS
 whatever the size of the data, so that table may be broadcast.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from anchorwake.sources.settle import settle
 
 BLOCK = "_block"
-ROWS_PER_BLOCK = 1_000_000
+ROWS_PER_BLOCK = 250_000
 ROWS_PER_BLOCK_CONF = "spark.anchorwake.rowsPerBlock"
 MAX_BLOCKS = 65_536
 SAMPLES_PER_BLOCK = 16
@@ -33,7 +33,7 @@ def rows_per_block(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_BLOCK_CONF, str(ROWS_PER_BLOCK)))
 
 
-def _sort_key(order: Sequence[str]) -> Column:
+def sort_key(order: Sequence[str]) -> Column:
     """One comparable value for the order columns, missing values last."""
     return F.struct(*[part for c in order for part in (F.col(c).isNull(), F.col(c))])
 
@@ -45,21 +45,29 @@ class Split:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     bounds: DataFrame
+    search_steps: int
 
-    def assign(self, df: DataFrame) -> DataFrame:
+    def assign(self, df: DataFrame, large_only: bool = False) -> DataFrame:
         """Add the block number: 0 for whole keys, 1.. in order for cut ones."""
-        joined = df.join(F.broadcast(self.bounds), list(self.keys), "left")
-        cuts, row = F.col("_cuts"), _sort_key(self.order)
-        steps = F.array(*[F.lit(2**bit) for bit in range(17, -1, -1)])
-        passed = F.aggregate(
-            steps,
-            F.lit(0),
-            lambda at, step: F.when(
-                (at + step <= F.size(cuts)) & (F.get(cuts, at + step - 1) <= row), at + step
-            ).otherwise(at),
-        )
-        block = F.when(cuts.isNull(), F.lit(0)).otherwise(passed + 1)
-        return joined.withColumn(BLOCK, block).drop("_cuts")
+        how = "inner" if large_only else "left"
+        rows = df.join(F.broadcast(self.bounds), list(self.keys), how)
+        rows = rows.withColumns({"_key": sort_key(self.order), "_passed": F.lit(0)})
+        # Binary search, one compiled step per power of two. Past the end of the
+        # array a probe is null and the step is not taken.
+        passed = F.col("_passed")
+        for bit in range(self.search_steps - 1, -1, -1):
+            step = 2**bit
+            probe = F.get("_cuts", passed + (step - 1))
+            rows = rows.withColumn(
+                "_passed", F.when(probe <= F.col("_key"), passed + step).otherwise(passed)
+            )
+        block = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(passed + 1)
+        return rows.withColumn(BLOCK, block).drop("_cuts", "_key", "_passed")
+
+    def blocks(self) -> DataFrame:
+        """Every block of the cut keys, one row each."""
+        numbers = F.sequence(F.lit(1), F.size("_cuts") + 1)
+        return self.bounds.select(*self.keys, F.explode(numbers).alias(BLOCK))
 
 
 def find_split(
@@ -85,11 +93,13 @@ def find_split(
     # At most SAMPLES_PER_BLOCK * MAX_BLOCKS sampled rows in expectation, over all keys.
     bounds = sample.groupBy(*keys).agg(
         F.filter(
-            F.sort_array(F.collect_list(_sort_key(order))),
+            F.sort_array(F.collect_list(sort_key(order))),
             lambda _, i: i % SAMPLES_PER_BLOCK == SAMPLES_PER_BLOCK - 1,
         ).alias("_cuts")
     )
-    return Split(tuple(keys), tuple(order), bounds)
+    # Twice the expected number of cuts; any beyond would only make the last block larger.
+    search_steps = (2 * math.ceil(largest / size)).bit_length()
+    return Split(tuple(keys), tuple(order), bounds, search_steps)
 
 
 def with_positions(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, bool]:

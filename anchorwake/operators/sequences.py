@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from anchorwake.functions import fixed
-from anchorwake.operators.ordering import BLOCK, Split, find_split, starts_by_key
+from anchorwake.operators.ordering import BLOCK, Split, find_split, sort_key, starts_by_key
 
 GAME = "gameid"
 TIME = "compiledgametime"
@@ -27,11 +27,14 @@ def split_games(events: DataFrame, limit: int | None = None) -> Split | None:
     return find_split(events.where(f"{GAME} IS NOT NULL"), (GAME,), ORDER, limit)
 
 
+def _resolved(df: DataFrame, split) -> Split | None:
+    return split_games(df) if split == "find" else split
+
+
 def _blocked(df: DataFrame, split) -> DataFrame:
     if BLOCK in df.columns:
         return df
-    if split == "find":
-        split = split_games(df)
+    split = _resolved(df, split)
     return df if split is None else split.assign(df)
 
 
@@ -52,7 +55,8 @@ def attach_anchor(events: DataFrame, split="find", number: bool = True) -> DataF
     without a game belong to no sequence and are left out.
     """
     events = events.where(F.col(GAME).isNotNull())
-    rows = _blocked(events, split)
+    split = _resolved(events, split)
+    rows = events if split is None else split.assign(events)
     ordered = _in_order(rows)
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -67,36 +71,48 @@ def attach_anchor(events: DataFrame, split="find", number: bool = True) -> DataF
             "faceoff_period": latest(F.col("period")),
         }
     )
-    cut = BLOCK in rows.columns
+    cut = split is not None
     if cut:
-        rows, carried = _carry_anchor(rows)
+        rows = _carry_anchor(rows, _tails(split, events, number))
     if number:
         starts = starts_by_key(events, GAME)
         if cut:
             whole = starts.withColumn(BLOCK, F.lit(0))
-            starts = whole.unionByName(carried.select(GAME, BLOCK).join(starts, GAME))
+            starts = whole.unionByName(split.blocks().join(starts, GAME))
         rows = rows.join(starts, [GAME, BLOCK] if cut else [GAME])
         rows = rows.withColumn("faceoff_sequence_id", F.col("_start") + F.col("_anchor_at") - 1)
     added = ["faceoff_sequence_id"] if number else []
     block = [BLOCK] if cut else []
     return rows.select(
-        *[c for c in events.columns if c != BLOCK], *block, *added, "faceoff_time", "faceoff_period"
+        *events.columns, *block, *added, "faceoff_time", "faceoff_period"
     )
 
 
-def _carry_anchor(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pass the latest anchor from block to block of the cut games."""
-    tails = (
-        rows.where(F.col(BLOCK) > 0)
+def _tails(split: Split, events: DataFrame, number: bool) -> DataFrame:
+    """Size and last anchor of each block of the cut games, from grouped scans alone."""
+    rows, key = split.assign(events, large_only=True), sort_key(ORDER)
+    timed = is_anchor() & F.col("period").isNotNull()
+    tails = rows.groupBy(GAME, BLOCK).agg(
+        F.count("*").alias("_rows"),
+        F.max(F.when(is_anchor(), key)).alias("_last"),
+        F.max(F.when(is_anchor(), F.col(TIME))).alias("_tail_time"),
+        F.max_by("period", F.when(timed, key)).alias("_tail_period"),
+    )
+    if not number:
+        return tails.withColumn("_tail_at", F.lit(None).cast("bigint"))
+    later = (
+        rows.join(F.broadcast(tails.select(GAME, BLOCK, "_last")), [GAME, BLOCK])
         .groupBy(GAME, BLOCK)
-        .agg(
-            F.max("_at").alias("_rows"),
-            F.max("_anchor_at").alias("_tail_at"),
-            F.max_by("faceoff_time", "_at").alias("_tail_time"),
-            F.max_by("faceoff_period", "_at").alias("_tail_period"),
-        )
-        .withColumn("_skip", F.coalesce(F.sum("_rows").over(_earlier_blocks()), F.lit(0)))
+        .agg(F.count_if(key > F.col("_last")).alias("_later"))
     )
+    at = F.when(F.col("_last").isNotNull(), F.col("_rows") - F.col("_later"))
+    return tails.join(later, [GAME, BLOCK]).withColumn("_tail_at", at)
+
+
+def _carry_anchor(rows: DataFrame, tails: DataFrame) -> DataFrame:
+    """Pass the latest anchor from block to block of the cut games."""
+    skip = F.coalesce(F.sum("_rows").over(_earlier_blocks()), F.lit(0))
+    tails = tails.withColumn("_skip", skip)
 
     def before(value: Column) -> Column:
         return F.last(value, ignorenulls=True).over(_earlier_blocks())
@@ -110,15 +126,15 @@ def _carry_anchor(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         before(F.col("_tail_period")).alias("_carry_period"),
     )
     joined = rows.join(F.broadcast(carried), [GAME, BLOCK], "left")
-    skip = F.coalesce("_skip", F.lit(0))
+    skipped = F.coalesce("_skip", F.lit(0))
     filled = joined.withColumns(
         {
-            "_anchor_at": F.coalesce(skip + F.col("_anchor_at"), "_carry_at"),
+            "_anchor_at": F.coalesce(skipped + F.col("_anchor_at"), "_carry_at"),
             "faceoff_time": F.coalesce("faceoff_time", "_carry_time"),
             "faceoff_period": F.coalesce("faceoff_period", "_carry_period"),
         }
     )
-    return filled.drop("_skip", "_carry_at", "_carry_time", "_carry_period"), carried
+    return filled.drop("_skip", "_carry_at", "_carry_time", "_carry_period")
 
 
 def window_after_anchor(attached: DataFrame, horizon: float = fixed.HORIZON_SECONDS) -> DataFrame:

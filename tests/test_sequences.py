@@ -2,7 +2,7 @@ import pytest
 from logs import attach, event, frame, pairs, random_log, sessions, tiny, window
 
 from anchorwake.operators import pairing, sequences
-from anchorwake.operators.ordering import BLOCK, MAX_BLOCKS, find_split, starts_by_key
+from anchorwake.operators.ordering import BLOCK, find_split, starts_by_key
 from anchorwake.plans import jobs
 
 
@@ -99,7 +99,6 @@ def test_no_split_when_games_are_small(spark):
     events = frame(spark, random_log(3))
     assert sequences.split_games(events) is None
     assert find_split(events.limit(0), ("gameid",), ("row_pos",)) is None
-    assert MAX_BLOCKS < 2**18  # what the binary search can reach
 
 
 def test_starts_by_key_over_groups_and_negative_keys(spark):
