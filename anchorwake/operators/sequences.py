@@ -83,9 +83,7 @@ def attach_anchor(events: DataFrame, split="find", number: bool = True) -> DataF
         rows = rows.withColumn("faceoff_sequence_id", F.col("_start") + F.col("_anchor_at") - 1)
     added = ["faceoff_sequence_id"] if number else []
     block = [BLOCK] if cut else []
-    return rows.select(
-        *events.columns, *block, *added, "faceoff_time", "faceoff_period"
-    )
+    return rows.select(*events.columns, *block, *added, "faceoff_time", "faceoff_period")
 
 
 def _tails(split: Split, events: DataFrame, number: bool) -> DataFrame:
