@@ -3,8 +3,8 @@
 1. *Sets.* A text becomes the set of hashes of its n-grams. Equal sets have equal
    fingerprints and are joined as one.
 2. *Candidates, without loss.* Sets of a size class are cut by hash into more parts than
-   two sets that link can differ in, so that two of the parts at least are the same in both;
-   a signature is the hash of one part. A task links the sets that share a signature in it
+   two sets that link can differ in, so that some of the parts are the same in both; a
+   signature is the hash of one part. A task links the sets that share a signature in it
    and sends one of them on, so a signature has one row per task, however common it is.
 3. *Signature trees.* The sets of a candidate cluster meet in one group, or a large cluster
    in pairs of blocks. A group numbers its tokens and builds a tree whose nodes hold the
@@ -35,7 +35,6 @@ from anchorwake.llm.texts import U64, batches, mix, shingles, signed, slices, wo
 
 _CHUNK = 32 << 20  # bytes of text whose signatures a task gathers before it sends them on
 _RATIO = 1.5  # of the sizes of a size class
-_SPARE = 1  # parts beyond those needed, so that empty parts need no signature
 
 
 def text_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -60,24 +59,28 @@ class Threshold:
     def links(self, common: int, one: int, two: int) -> bool:
         return self.over * common >= self.num * (one + two - common)
 
-    def differences(self, largest: int) -> int:
-        """Most tokens by which two linked sets of at most this size differ."""
-        return 2 * largest * (self.over - self.num) // (self.over + self.num)
+    def differences(self, together: int) -> int:
+        """Most tokens by which two linked sets of these sizes together differ."""
+        return together * (self.over - self.num) // (self.over + self.num)
 
     def smallest(self, size: int) -> int:
         """Smallest size of a set that links with one of this size."""
         return -(-size * self.num // self.over)
 
-    def classes(self, size: int) -> list[tuple[int, int]]:
-        """Size classes of a set and the number of parts in each: its own, and the next if it can link into that."""
+    def classes(self, size: int) -> list[tuple[int, int, int]]:
+        """Size classes of a set: its own, and the next if it can link into that.
+
+        Each with the number of its parts and the most tokens by which a set of this size
+        differs from one it links with there.
+        """
         level = int(math.log(size) / math.log(_RATIO) + 1e-9)
         out = []
         for k in (level, level + 1):
-            low, high = math.ceil(_RATIO**k - 1e-9), math.ceil(_RATIO ** (k + 1) - 1e-9) - 1
-            if k == level or size >= self.smallest(low):
-                differ = self.differences(max(high, size))
-                if differ:  # else only equal sets link
-                    out.append((k, differ + 1 + _SPARE))
+            low, high = math.ceil(_RATIO**k - 1e-9), max(size, math.ceil(_RATIO ** (k + 1) - 1e-9) - 1)
+            differ = self.differences(2 * high)
+            if differ and (k == level or size >= self.smallest(low)):  # else only equal sets link
+                own = self.differences(size + min(high, size * self.over // self.num))
+                out.append((k, differ + 1 + 1 + -(-(differ + 1) // 10), own))
         return out
 
 
@@ -87,7 +90,7 @@ def signatures(grams: np.ndarray, threshold: Threshold) -> np.ndarray:
     if not len(grams):
         return np.zeros(0, U64)
     spread, values = mix(grams + U64(77)), mix(grams ^ U64(0x3C3C3C3C3C3C3C3C))
-    for level, parts in threshold.classes(len(grams)):
+    for level, parts, differ in threshold.classes(len(grams)):
         part = ((spread >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         counts = np.bincount(part, minlength=parts)
@@ -96,8 +99,9 @@ def signatures(grams: np.ndarray, threshold: Threshold) -> np.ndarray:
         sums = np.zeros(parts, U64)
         sums[full] = np.add.reduceat(values[order], begin)
         sums = mix(sums + mix(np.arange(parts, dtype=U64) + U64(level << 32)))
-        # Two linked sets share two parts: with one empty part or none, a full one is among them.
-        out.append(sums if parts - len(full) > _SPARE else sums[full])
+        # If two linked sets had only empty parts in common, all full ones would differ. Empty
+        # parts need a signature only where that can be, in few and small sets.
+        out.append(sums if len(full) <= differ else sums[full])
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
@@ -286,6 +290,13 @@ def jaccard_components(docs: DataFrame, size: int = 3, threshold: Threshold | No
     )
 
 
+def keep_one(docs: DataFrame, size: int = 5, threshold: Threshold | None = None, block: int = 600) -> DataFrame:
+    """The rows of ``docs`` without those linked with a smaller id, all columns; rows without an id stay."""
+    found = jaccard_components(docs, size, threshold or Threshold(80, 100), block)
+    dropped = found.where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
 def _clusters(rows: DataFrame, size: int, threshold: Threshold) -> DataFrame:
     """``node, component``: sets (first half of the fingerprint) that signatures connect."""
     found = rows.where(F.col("text").isNotNull()).select("text").mapInArrow(_candidates(size, threshold), "k long, a long, b long")

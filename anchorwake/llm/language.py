@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from anchorwake.llm.texts import U64, Slice, slices
+from anchorwake.llm.texts import U64, Slice, lowered, slices
 
 ORDERS = (2, 3, 4)
 BITS = 16  # n-grams are hashed into 2**BITS places
@@ -41,14 +41,6 @@ class LanguageModel(NamedTuple):
     bias: np.ndarray
 
 
-def lowered(data: np.ndarray) -> np.ndarray:
-    """Bytes of UTF-8 with the capitals of ASCII and Latin-1 made small."""
-    out = data + np.uint8(32) * ((data >= 65) & (data <= 90))
-    after = np.zeros(len(data), bool)
-    after[1:] = data[:-1] == 0xC3
-    return out + np.uint8(32) * (after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97))
-
-
 def presence(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     """Places of the n-grams present in each text, as flat places and the first of each text."""
     rows, n = s.rows, len(s.data)

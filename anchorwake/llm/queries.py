@@ -7,7 +7,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from anchorwake.llm import exact, language, pages, quality, tokens
+import corpus_pipeline
+from anchorwake.llm import (
+    decontaminate,
+    exact,
+    jaccard,
+    language,
+    packing,
+    pages,
+    passages,
+    quality,
+    substrings,
+    tokens,
+)
+from anchorwake.llm.ship import ship
 
 TOKENIZER_CONF = "spark.anchorwake.tokenizer"
 
@@ -26,6 +39,10 @@ def tokenizer_path(spark: SparkSession, name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated(table(spark, sf_dir, "documents"))
+
+
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
@@ -35,11 +52,23 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"), ~held_out, held_out)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = quality.remainder("doc_id", 5) == 0
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out, held_out)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -48,12 +77,20 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(spark))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
+_BY_NAME = {
+    f.__name__: f
+    for f in (
+        op1_repeated_bytes, op2_main_text, op3_language, op4_decontamination, op5_packing,
+        op6_quality, op7_jaccard_join, op8_exact_dedup, op9_token_counts, op10_passages,
+    )
+} | {"pipeline": corpus_pipeline.run}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_main_text": op2_main_text,
-    "op3_language": op3_language,
-    "op6_quality": op6_quality,
-    "op8_exact_dedup": op8_exact_dedup,
-    "op9_token_counts": op9_token_counts,
+    name: lambda spark, sf_dir, query=query: query(ship(spark), sf_dir) for name, query in _BY_NAME.items()
 }
 
 SQL = {

@@ -94,6 +94,14 @@ def range_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     return (sums[end] - sums[begin]) * down[begin]
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes of UTF-8 with the capitals of ASCII and Latin-1 made small."""
+    out = data + np.uint8(32) * ((data >= 65) & (data <= 90))
+    after = np.zeros(len(data), bool)
+    after[1:] = data[:-1] == 0xC3
+    return out + np.uint8(32) * (after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97))
+
+
 class Words(NamedTuple):
     """Words of a slice: bytes ``begin`` to ``end``, hash, and the first word of each row."""
 
@@ -103,13 +111,17 @@ class Words(NamedTuple):
     offs: np.ndarray
 
 
-def words(s: Slice, fold: bool = True) -> Words:
-    """Runs of bytes that are not white space; ``fold`` ignores the case of A-Z."""
+#: Bytes that are neither letters nor digits of ASCII nor part of a longer UTF-8 character.
+NOT_ALPHANUMERIC = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
+
+
+def words(s: Slice, fold: bool = True, breaks: np.ndarray = _SPACE) -> Words:
+    """Runs of bytes that are not ``breaks``, by default white space; ``fold`` ignores the case of A-Z."""
     n = len(s.data)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(none, none, none.view(U64), np.zeros(s.rows + 1, np.int64))
-    space = _SPACE[s.data]
+    space = breaks[s.data]
     before, after = np.ones(n, bool), np.ones(n, bool)
     before[1:] = space[:-1]
     after[:-1] = space[1:]
