@@ -26,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from anchorwake.llm.blobs import SCHEMA, bucket_of, buckets, deal, exchanged, partitions
 from anchorwake.llm.components import components
 from anchorwake.llm.store import stored
-from anchorwake.llm.texts import U64, batches, mix, shingles, signed, slices, words
+from anchorwake.llm.texts import U64, batches, mix, shingles, slices, words
 
 _CHUNK = 32 << 20  # bytes of text whose signatures a task gathers before it sends them on
 _RATIO = 1.5  # of the sizes of a size class
@@ -115,11 +116,11 @@ def _described(size: int):
     return run
 
 
-def _candidates(size: int, threshold: Threshold):
-    """Rows ``k, a, b``: signature ``k`` of set ``a``, or a link of ``a`` and ``b`` found here."""
+def _candidates(size: int, threshold: Threshold, parts: int):
+    """Kinds ``0`` signature and set, one of each signature of a task, dealt by signature; ``1`` sets linked here."""
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches(parts, "text", _CHUNK):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches(rows, "text", _CHUNK):
             known: set[int] = set()
             keys, owners = [], []
             for column in table.column("text").chunks:
@@ -130,25 +131,30 @@ def _candidates(size: int, threshold: Threshold):
                         found = signatures(grams, threshold)
                         keys.append(found)
                         owners.append(np.full(len(found), own, np.int64))
-            if not keys:
-                continue
-            k, a = np.concatenate(keys), np.concatenate(owners)
-            order = np.lexsort((a, k))
-            k, a = k[order], a[order]
-            first = np.ones(len(k), bool)
-            first[1:] = k[1:] != k[:-1]
-            head = a[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
-            more = ~first & (a != head)
-            pairs = np.unique(np.stack([head[more], a[more]], axis=1), axis=0)
-            yield _links(signed(k[first]), a[first], None)
-            yield _links(signed(mix(pairs[:, 0].astype(U64) ^ mix(pairs[:, 1].astype(U64)))), pairs[:, 0], pairs[:, 1])
+            if keys:
+                k, a, pairs = _stars(np.concatenate(keys), np.concatenate(owners))
+                yield from deal(0, bucket_of(k, parts), parts, k, a)
+                yield from deal(1, bucket_of(pairs[0] ^ pairs[1], parts), parts, *pairs)
 
     return run
 
 
-def _links(k, a, b) -> pa.RecordBatch:
-    b = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(a, pa.int64()), b], ["k", "a", "b"])
+def _stars(k: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each signature with the smallest of its sets, and the links of that set with the others."""
+    order = np.lexsort((a, k))
+    k, a = k[order], a[order]
+    first = np.ones(len(k), bool)
+    first[1:] = k[1:] != k[:-1]
+    head = a[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
+    more = ~first & (a != head)
+    return k[first], a[first], np.unique(np.stack([head[more], a[more]]), axis=1)
+
+
+def _links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for records in buckets(rows):
+        _, _, pairs = _stars(*records.of(0, 2))
+        a, b = (np.concatenate(x) for x in zip(pairs, records.of(1, 2), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 class _Forest:
@@ -299,11 +305,9 @@ def keep_one(docs: DataFrame, size: int = 5, threshold: Threshold | None = None,
 
 def _clusters(rows: DataFrame, size: int, threshold: Threshold) -> DataFrame:
     """``node, component``: sets (first half of the fingerprint) that signatures connect."""
-    found = rows.where(F.col("text").isNotNull()).select("text").mapInArrow(_candidates(size, threshold), "k long, a long, b long")
-    # One row per signature and task, so a window holds few rows.
-    lowest = F.min("a").over(Window.partitionBy("k"))
-    stars = found.withColumn("low", F.coalesce("b", lowest)).where("a <> low")
-    return components(stars.select("a", F.col("low").alias("b")))
+    parts = partitions(rows)
+    found = rows.where(F.col("text").isNotNull()).select("text").mapInArrow(_candidates(size, threshold, parts), SCHEMA)
+    return components(exchanged(found, parts).mapInArrow(_links, "a long, b long"))
 
 
 def _links_within(rows: DataFrame, members: DataFrame, size: int, threshold: Threshold, block: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """Removal of repeated byte strings by prefix-free parsing.
 
-A trigger is a place whose next eight bytes have a hash below a bound, so it depends on the
+A trigger is a place whose next 16 bytes have a hash below a bound, so it depends on the
 content alone. The triggers cut every text into phrases, each of which runs from one
 trigger to the end of the next; no phrase is a prefix of another. The distinct phrases are
 the dictionary, a text's sequence of phrases is its parse.
@@ -21,9 +21,10 @@ hashes instead of by one global sort:
    beside), against each other and against one example of every settled bucket that
    shares the phrase.
 
-A task counts what it holds first and sends one row per distinct value, so that the rows
-of a very common phrase are bounded by the number of tasks. Strings with less than two
-triggers are compared as in step 3 after the filter of step 1.
+Records travel in packed columns (see ``blobs``). A value that a task holds very often is
+known to be repeated, so the task sends it once and its places elsewhere: the records of a
+very common phrase are bounded by the number of tasks. Strings with less than two triggers
+are compared as in step 3 after the filter of step 1.
 
 Defined results: null counts as empty; texts shorter than ``width`` keep all; rows with
 the same id (or none) are documents of their own, found again by a hash of id and text,
@@ -38,34 +39,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorwake.llm.store import discard, stored
+from anchorwake.llm.blobs import SCHEMA, bucket_of, buckets, deal, exchanged, partitions, per_key
+from anchorwake.llm.store import stored
 from anchorwake.llm.texts import U64, Slice, batches, mix, prefix_sums, range_hash, signed, slices
 
-WORD = 8  # bytes that decide on a trigger
+WORD = 16  # bytes that decide on a trigger
 SPACING = 26  # mean distance of triggers
 _CHUNK = 24 << 20  # bytes of text that a task counts together
-_ROWS = 1 << 19  # rows of phrases that a task counts together
-_FAR = 255  # distances are kept up to this one
-_FOUND = 1 << 62  # marks rows that are known to be repeated
+_OFTEN = 64  # records of one value that a task sends one by one
+_NO_BOUND, _ONE = -1, -2  # of a string to compare: no phrase after it is known to be unique; it has no phrase
 
 
 def _windows(data: np.ndarray) -> np.ndarray:
-    """A hash of the eight bytes at each place."""
+    """A hash of the bytes at each place that decide on a trigger."""
     n = max(0, len(data) - WORD + 1)
     if not n:
         return np.zeros(0, U64)
-    words = np.ndarray((n,), "<u8", np.ascontiguousarray(data), strides=(1,))
-    return mix(words)
+    halves = np.ndarray((n + 8,), "<u8", np.ascontiguousarray(data), strides=(1,)) * U64(0x9E3779B97F4A7C15)
+    return mix(halves[:n] ^ ((halves[8:] >> U64(29)) * U64(0xD6E8FEB86659FD93) + halves[8:]))
 
 
 class Parse:
     """Triggers and phrases of a slice; ``width`` is the length of the strings to compare."""
 
-    def __init__(self, s: Slice, width: int, spacing: int = SPACING):
-        self.s, self.width = s, width
+    def __init__(self, s: Slice, width: int, spacing: int):
+        self.s, self.width, self.span = s, width, width - WORD
         self.hashes = _windows(s.data)
         self.sums = prefix_sums(self.hashes)
         at = np.flatnonzero(self.hashes < U64((1 << 64) // spacing - 1))
@@ -74,23 +75,16 @@ class Parse:
         self.at, self.row = at[inside], row[inside]
 
     def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, row and packed place of every phrase that fits in a string."""
-        at, row, span = self.at, self.row, self.width - WORD
+        """Hash, row, and place and length (in one value) of every phrase that fits in a string."""
+        at, row = self.at, self.row
         if len(at) < 2:
             none = np.zeros(0, np.int64)
             return none.view(U64), none, none
-        same = row[1:] == row[:-1]
-        gap = np.where(same, at[1:] - at[:-1], _FAR)
-        fits = np.flatnonzero(same & (gap <= span))
-        before = np.empty(len(at) - 1, np.int64)
-        before[0] = at[0] - self.s.offs[row[0]] + 1
-        before[1:] = np.where(same[:-1], gap[:-1], at[1:-1] - self.s.offs[row[1:-1]] + 1)
-        after = np.full(len(at) - 1, _FAR)
-        after[:-1] = gap[1:]
-        begin = at[:-1][fits]
-        value = mix(range_hash(self.sums, begin, at[1:][fits] + 1) + gap[fits].astype(U64))
-        place = begin - self.s.offs[row[:-1][fits]]
-        return value, row[:-1][fits], packed(place, gap[fits], np.minimum(before[fits], _FAR), np.minimum(after[fits], _FAR))
+        gap = at[1:] - at[:-1]
+        fits = np.flatnonzero((row[1:] == row[:-1]) & (gap <= self.span))
+        begin, gap, row = at[:-1][fits], gap[fits], row[:-1][fits]
+        value = mix(range_hash(self.sums, begin, begin + gap + 1) + gap.astype(U64))
+        return value, row, (begin - self.s.offs[row]) << 8 | gap
 
     def bare(self) -> tuple[np.ndarray, np.ndarray]:
         """Places of the strings with less than two triggers, and their rows."""
@@ -100,7 +94,7 @@ class Parse:
         seen = np.zeros(len(self.s.data) + 1, np.int32)
         seen[self.at + 1] = 1
         np.cumsum(seen, out=seen)
-        last = self.width - WORD + 1
+        last = self.span + 1
         few = seen[last : last + n] - seen[:n] < 2
         for begin, end in zip(self.s.offs[:-1], self.s.offs[1:], strict=True):
             few[max(begin, end - self.width + 1) : end] = False
@@ -109,41 +103,50 @@ class Parse:
 
     def strings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash and check value of the strings at these places."""
-        last = at + self.width - WORD
-        ends = self.hashes[last]
-        return mix(range_hash(self.sums, at, last + 1)), self.hashes[at] ^ ((ends << U64(1)) | (ends >> U64(63)))
-
-
-def packed(place, length, before, after) -> np.ndarray:
-    """Place, length and the distances to the triggers around a phrase in one value that sorts by place."""
-    return (place.astype(np.int64) << 24) | (length << 16) | (before << 8) | after
-
-
-def _frame(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in columns.values()], list(columns))
-
-
-def _groups(k: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by value, first rows of each value in that order, and size of the group of each row."""
-    order = np.lexsort((*more, k)) if more else np.argsort(k)
-    new = np.ones(len(k), bool)
-    new[1:] = k[order][1:] != k[order][:-1]
-    for x in more:
-        new[1:] |= x[order][1:] != x[order][:-1]
+        ends = self.hashes[at + self.span]
+        return mix(range_hash(self.sums, at, at + self.span + 1)), self.hashes[at] ^ ((ends << U64(1)) | (ends >> U64(63)))
+
+    def asked(self, row: np.ndarray, place: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place of the strings that are entered at these triggers (see ``_NO_BOUND``)."""
+        offs, at = self.s.offs, self.at
+        here = offs[row] + place
+        low, high = here.copy(), here.copy()
+        k = np.flatnonzero(bound != _ONE)
+        if len(k):
+            j = np.searchsorted(at, here[k])
+            before = np.where((j > 0) & (self.row[j - 1] == row[k]), at[j - 1] + 1, offs[row[k]])
+            low[k] = np.maximum(before, at[j + 1] - self.span)
+        k = np.flatnonzero(bound >= 0)
+        if len(k):
+            # The phrase after ``bound`` occurs once, so no repeated string holds all of it.
+            end = offs[row[k]] + bound[k]
+            j = np.minimum(np.searchsorted(at, end) + 1, len(at) - 1)
+            whole = (at[j] > end) & (self.row[j] == row[k]) & (at[j] - end <= self.span)
+            high[k] = np.where(whole, np.minimum(high[k], at[j] - self.span - 1), high[k])
+        return low, np.minimum(high, offs[row + 1] - self.width)
+
+
+def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by the keys, whether a row of that order is the first of its group, and sizes of the groups of all."""
+    order = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0])
+    new = np.ones(len(order), bool)
+    if len(order) > 1:
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
     first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(k)))
-    return order, first, np.repeat(size, size)
+    size = np.diff(np.append(first, len(order)))
+    return order, new, np.repeat(size, size)
 
 
-def _phrase_rows(width: int, spacing: int):
-    """Rows ``k, id, at, h``: a phrase or bare string whose repetition is to be found under ``k``.
+def _spread(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix(ids.view(U64) + mix(place.view(U64)))
 
-    Values that a task has several times are known to be repeated: their rows carry the
-    mark and travel under a key of their own, one row without an id tells the others.
-    """
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches(parts, "text", _CHUNK):
+def _phrase_records(width: int, spacing: int, parts: int):
+    """Phrases and bare strings of all texts, dealt by hash: ``0`` hash, id, place; ``1`` hash of one that is frequent
+    here; ``2`` hash, id, place of its records, dealt by place."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches(rows, "text", _CHUNK):
             keys, ids, places = [], [], []
             for batch in table.to_batches():
                 own = batch.column(0).to_numpy(zero_copy_only=False)
@@ -155,243 +158,278 @@ def _phrase_rows(width: int, spacing: int):
                     bare, bare_row = parse.bare()
                     keys += [value, parse.strings(bare)[0] if len(bare) else bare.view(U64)]
                     ids += [own[s.first + row], own[s.first + bare_row]]
-                    places += [place, (bare - s.offs[bare_row]) << 24]
-            if keys:
-                yield from _counted(np.concatenate(keys), np.concatenate(ids).astype(np.int64), np.concatenate(places))
+                    places += [place, (bare - s.offs[bare_row]) << 8]
+            if not keys:
+                continue
+            k, i, at = np.concatenate(keys), np.concatenate(ids).astype(np.int64), np.concatenate(places)
+            order, new, size = _grouped(k)
+            few, often = order[size <= _OFTEN], order[size > _OFTEN]
+            yield from deal(0, bucket_of(k[few], parts), parts, k[few], i[few], at[few])
+            mark = k[order[new & (size > _OFTEN)]]
+            yield from deal(1, bucket_of(mark, parts), parts, mark)
+            yield from deal(2, bucket_of(_spread(i[often], at[often]), parts), parts, k[often], i[often], at[often])
+
+    return run
+
+
+def _repeated_phrases(parts: int):
+    """The records whose value occurs more than once, dealt by id: ``0`` id, place, hash."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for records in buckets(rows):
+            k, ids, at = records.of(0, 3)
+            (marks,) = records.of(1, 1)
+            order, _, size = _grouped(k)
+            kept = order[size > 1]
+            alone = order[size == 1]
+            kept = np.concatenate([kept, alone[np.isin(k[alone], marks)]])
+            more = records.of(2, 3)
+            k, ids, at = (np.concatenate([x[kept], y]) for x, y in zip((k, ids, at), more, strict=True))
+            yield from deal(0, bucket_of(ids, parts), parts, ids, at, k)
 
     return run
 
 
-def _counted(k: np.ndarray, ids: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-    order, first, size = _groups(k)
-    single = order[size == 1]
-    yield _frame(k=signed(k[single]), id=ids[single], at=at[single], h=np.zeros(len(single), np.int64))
-    several = order[size > 1]
-    own = mix(ids[several].astype(U64) + mix(at[several].astype(U64)))
-    yield _frame(k=signed(own), id=ids[several], at=at[several] | _FOUND, h=signed(k[several]))
-    seen = order[first[size[first] > 1]]
-    none = pa.nulls(len(seen), pa.int64())
-    yield _frame(k=signed(k[seen]), id=none, at=none, h=np.zeros(len(seen), np.int64))
-
-
-def _whole_ids(parts: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    """Tables of about ``rows`` rows, sorted by id as the input is, that cut no id."""
-    held, n = [], 0
-    for part in parts:
-        held.append(part)
-        n += part.num_rows
-        if n >= rows:
-            table = pa.Table.from_batches(held).combine_chunks()
-            ids = table.column("id").to_numpy()
-            cut = int(np.searchsorted(ids, ids[-1], "left"))
-            if cut:
-                yield table.slice(0, cut)
-                table = table.slice(cut)
-            held, n = table.to_batches(), table.num_rows
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _bucket_rows(width: int):
-    """Rows ``e, a, id, lo, hi, kind`` from repeated phrases sorted by id and place.
-
-    ``e`` is the bucket of parse suffixes, ``a`` the phrase where it is entered, ``lo`` to ``hi`` are the
-    places of the strings. Kinds: 0 the bucket once in this task, 1 an example of one that the task has
-    several times, 2 the others of it, 3 strings without a bucket, to be compared one by one.
+def _bucket_records(width: int, parts: int):
+    """Places by the parse suffix they are entered at, dealt by its hash.
+
+    ``0``: bucket of parse suffixes, phrase at its entry, id, and place with the number of strings before it;
+    ``1``: id, place, bound of strings to be compared one by one, dealt by id, and ``4`` the phrases of their
+    entries; ``2``: as 0, an example of a bucket that is frequent here; ``3``: id and place of its others.
     """
     span = width - WORD
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_ids(parts, _ROWS):
-            ids, at, h = (table.column(c).to_numpy() for c in ("id", "at", "h"))
-            place, length, before, after = at >> 24, (at >> 16) & 255, (at >> 8) & 255, at & 255
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for records in buckets(rows):
+            ids, at, h = records.of(0, 3)
+            order = np.lexsort((at, ids))
+            ids, h, place, length = ids[order], h[order], at[order] >> 8, at[order] & 255
             bare = length == 0
-            if bare.any():
-                yield _rows(h[bare], np.zeros(bare.sum(), np.int64), ids[bare], place[bare], place[bare], 3)
-            ids, h, place, length, before, after = (x[~bare] for x in (ids, h, place, length, before, after))
+            n = int(bare.sum())
+            yield from deal(1, bucket_of(ids[bare], parts), parts, ids[bare], place[bare], np.full(n, _ONE, np.int64))
+            ids, h, place, length = (x[~bare] for x in (ids, h, place, length))
             if not len(ids):
                 continue
-            end = place + length
-            n = np.arange(len(ids))
+            end, k = place + length, np.arange(len(ids))
             follows = np.zeros(len(ids), bool)
             follows[1:] = (ids[1:] == ids[:-1]) & (end[:-1] == place[1:])
             run_of = np.cumsum(~follows)
             last = np.append(np.flatnonzero(~follows)[1:] - 1, len(ids) - 1)[run_of - 1]
-            # The phrase that ends the strings entered here, if it is in the run.
-            line = (run_of.astype(np.int64) << 33) + end
-            to = np.searchsorted(line, (run_of.astype(np.int64) << 33) + place + span)
+            # The phrase that ends the strings entered here, if it is in the run of repeated ones.
+            to = np.searchsorted((run_of << 33) + end, (run_of << 33) + place + span)
             settled = follows & (to <= last)
-            lo = np.maximum(place - before + 1, end - span)
             sums = prefix_sums(mix(h.view(U64)))
-            k = n[settled]
-            e = mix(range_hash(sums, k - 1, to[k] + 1) + (to[k] - k).astype(U64))
-            fit = lo[k] <= place[k]
-            yield from _bucketed(e[fit], h[k[fit]], ids[k[fit]], lo[k[fit]], place[k[fit]])
-            k = n[~settled]
-            # The first phrase after the run occurs once, so no string holds all of it.
-            bound = np.where(after[last[k]] < _FAR, end[last[k]] + after[last[k]] - span - 1, place[k])
-            hi = np.minimum(place[k], bound)
-            fit = lo[k] <= hi
-            k, hi = k[fit], hi[fit]
-            yield _rows(signed(mix(ids[k].astype(U64) + mix(place[k].astype(U64)))), h[k], ids[k], lo[k], hi, 3)
+            in_ = k[settled]
+            e = mix(range_hash(sums, in_ - 1, to[in_] + 1) + (to[in_] - in_).astype(U64))
+            before = place[in_] - np.maximum(place[in_ - 1] + 1, end[in_] - span)
+            own, value, a = ids[in_], place[in_] << 8 | before, h[in_]
+            order, new, size = _grouped(e)
+            few = order[size <= _OFTEN]
+            yield from deal(0, bucket_of(e[few], parts), parts, e[few], a[few], own[few], value[few])
+            often = size > _OFTEN
+            mark, rest = order[new & often], order[~new & often]
+            yield from deal(2, bucket_of(e[mark], parts), parts, e[mark], a[mark], own[mark], value[mark])
+            yield from deal(3, bucket_of(_spread(own[rest], value[rest]), parts), parts, own[rest], value[rest])
+            out = k[~settled]
+            yield from deal(1, bucket_of(ids[out], parts), parts, ids[out], place[out], end[last[out]])
+            entries = np.unique(h[out])
+            yield from deal(4, bucket_of(entries, parts), parts, entries)
 
     return run
 
 
-def _rows(e, a, ids, lo, hi, kind) -> pa.RecordBatch:
-    return _frame(e=e, a=a, id=ids, lo=lo, hi=hi, kind=np.full(len(ids), kind, np.int64))
+def _settled(parts: int):
+    """Kinds ``0`` id, place of settled strings; ``1`` id, place, bound to compare, all dealt by id; ``2`` phrase, id,
+    place of an example of each settled bucket and ``3`` phrases of strings to compare, dealt by phrase."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for records in buckets(rows):
+            e, a, ids, value = (np.concatenate(x) for x in zip(records.of(2, 4), records.of(0, 4), strict=True))
+            sure = np.zeros(len(e), np.int64)
+            sure[: len(records.of(2, 1)[0])] = 1
+            # The frequent ones first in their groups.
+            order = np.lexsort((1 - sure, e))
+            new = np.ones(len(e), bool)
+            new[1:] = e[order][1:] != e[order][:-1]
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(e)))
+            held = np.repeat((size > 1) | (sure[order][first] > 0), size) if len(e) else np.zeros(0, bool)
+            done, example, open_ = order[held], order[held & new], order[~held]
+            more = records.of(3, 2)
+            i, v = np.concatenate([ids[done], more[0]]), np.concatenate([value[done], more[1]])
+            yield from deal(0, bucket_of(i, parts), parts, i, v)
+            yield from deal(2, bucket_of(a[example], parts), parts, a[example], ids[example], value[example] >> 8)
+            old = records.of(1, 3)
+            i = np.concatenate([ids[open_], old[0]])
+            p = np.concatenate([value[open_] >> 8, old[1]])
+            r = np.concatenate([np.full(len(open_), _NO_BOUND, np.int64), old[2]])
+            yield from deal(1, bucket_of(i, parts), parts, i, p, r)
+            entries = np.unique(np.concatenate([a[open_], records.of(4, 1)[0]]))
+            yield from deal(3, bucket_of(entries, parts), parts, entries)
+
+    return run
 
 
-def _bucketed(e, a, ids, lo, hi) -> Iterator[pa.RecordBatch]:
-    order, first, size = _groups(e)
-    single = order[size == 1]
-    yield _rows(signed(e[single]), a[single], ids[single], lo[single], hi[single], 0)
-    heads = order[first[size[first] > 1]]
-    yield _rows(signed(e[heads]), a[heads], ids[heads], lo[heads], hi[heads], 1)
-    rest = np.ones(len(e), bool)
-    rest[heads] = False
-    rest[single] = False
-    own = mix(ids[rest].astype(U64) + mix(lo[rest].astype(U64) + U64(1)))
-    yield _rows(signed(own), a[rest], ids[rest], lo[rest], hi[rest], 2)
+def _examples(parts: int):
+    """Examples of settled buckets that share a phrase with strings to compare, as such: ``1`` id, place, bound."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for records in buckets(rows):
+            a, ids, place = records.of(2, 3)
+            met = np.isin(a, records.of(3, 1)[0])
+            yield from deal(1, bucket_of(ids[met], parts), parts, ids[met], place[met], np.full(int(met.sum()), _NO_BOUND, np.int64))
+
+    return run
 
 
-def _string_rows(width: int):
-    """Rows ``k, c, id, lo, hi`` of the strings that are compared one by one; local repetitions as in ``_counted``."""
+def _questions(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document: ``id`` and the places and bounds to compare."""
+    for records in buckets(rows):
+        ids, place, bound = records.of(1, 3)
+        yield from per_key(ids, [place, bound], "asked")
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches(parts, "text", _CHUNK):
+
+def _string_records(width: int, spacing: int, parts: int):
+    """Strings to compare, dealt by hash: ``0`` hash, check, id, place; ``1`` hash, check of one that is frequent here;
+    ``2`` id, place of its records, dealt by place."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches(rows, "text", _CHUNK):
             found: list[tuple] = []
             for batch in table.to_batches():
                 own = batch.column(0).to_numpy(zero_copy_only=False)
-                spans = batch.column(2)
-                begin, values = spans.offsets.to_numpy(), spans.values
-                low, high = values.field(0).to_numpy(), values.field(1).to_numpy()
+                asked = [np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1) for x in batch.column(2)]
                 for s in slices(batch.column(1)):
-                    rows = np.arange(s.first, s.first + s.rows)
-                    each = begin[rows + 1] - begin[rows]
-                    k = np.arange(begin[rows[0]], begin[rows[-1] + 1])
-                    row = np.repeat(np.arange(s.rows), each)
-                    room = (s.offs[1:] - s.offs[:-1] - width)[row]
-                    a, b = np.maximum(low[k], 0), np.minimum(high[k], room)
-                    many = np.maximum(0, b - a + 1)
-                    inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    place = np.repeat(a, many) + inner
+                    if len(s.data) < width:
+                        continue
+                    mine = asked[s.first : s.first + s.rows]
+                    row = np.repeat(np.arange(s.rows), [x.shape[1] for x in mine])
+                    place, bound = np.concatenate(mine, axis=1)
+                    parse = Parse(s, width, spacing)
+                    low, high = parse.asked(row, place, bound)
+                    many = np.maximum(0, high - low + 1)
+                    at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                     owner = np.repeat(row, many)
-                    if len(place):
-                        parse = Parse(s, width)
-                        found.append((*parse.strings(s.offs[owner] + place), own[s.first + owner], place))
-            if found:
-                yield from _compared(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                    if len(at):
+                        found.append((*parse.strings(at), own[s.first + owner], at - s.offs[owner]))
+            if not found:
+                continue
+            k, c, ids, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            order, new, size = _grouped(c, k)
+            few, often = order[size <= _OFTEN], order[size > _OFTEN]
+            yield from deal(0, bucket_of(k[few], parts), parts, k[few], c[few], ids[few], at[few])
+            mark = order[new & (size > _OFTEN)]
+            yield from deal(1, bucket_of(k[mark], parts), parts, k[mark], c[mark])
+            yield from deal(2, bucket_of(_spread(ids[often], at[often]), parts), parts, ids[often], at[often])
 
     return run
 
 
-def _compared(k, c, ids, place) -> Iterator[pa.RecordBatch]:
-    order, first, size = _groups(k, c)
-    single = order[size == 1]
-    yield _frame(k=signed(k[single]), c=signed(c[single]), id=ids[single], lo=place[single], hi=place[single])
-    seen = order[first[size[first] > 1]]
-    none = pa.nulls(len(seen), pa.int64())
-    yield _frame(k=signed(k[seen]), c=signed(c[seen]), id=none, lo=none, hi=none)
-    several = order[size > 1]
-    several = several[np.lexsort((place[several], ids[several]))]
-    ids, place = ids[several], place[several]
-    # Neighbouring strings become one row.
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (place[1:] - place[:-1] > 1)
-    begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(ids)) - 1
-    own = mix(ids[begin].astype(U64) + mix(place[begin].astype(U64) + U64(2)))
-    yield _frame(k=signed(own), c=np.full(len(begin), -1, np.int64), id=ids[begin], lo=place[begin] | _FOUND, hi=place[end])
+def _repeated_strings(parts: int):
+    """Places of the strings that occur more than once, dealt by id: ``0`` id, place."""
 
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for records in buckets(rows):
+            k, c, ids, at = records.of(0, 4)
+            marks = records.of(1, 2)  # count twice, as they stand for several
+            k, c = np.concatenate([k, marks[0], marks[0]]), np.concatenate([c, marks[1], marks[1]])
+            order, _, size = _grouped(c, k)
+            kept = order[(size > 1) & (order < len(ids))]
+            i, p = np.concatenate([ids[kept], records.of(2, 2)[0]]), np.concatenate([at[kept], records.of(2, 2)[1]])
+            yield from deal(0, bucket_of(i, parts), parts, i, p << 8)
 
-def _cleaned(width: int, keep_text: bool):
-    """Rows with what is left of each text."""
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
+    return run
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            rows = []
-            for text, spans in zip(part.column(1), part.column(2), strict=True):
-                data = text.as_buffer() if text.is_valid else b""
-                n = len(data)
-                if not spans.is_valid or not len(spans.values):
-                    kept, removed, runs = bytes(data), 0, 0
-                else:
-                    begin, end = merged(spans.values.field(0).to_numpy(), spans.values.field(1).to_numpy() + width)
-                    view = memoryview(data)
-                    kept = b"".join(view[a:b] for a, b in zip(np.append(0, end), np.append(begin, n), strict=True))
-                    removed, runs = int((end - begin).sum()), len(begin)
-                rows.append((n, removed, runs, hashlib.sha256(kept).hexdigest(), kept)[: len(names) - 1])
-            columns = zip(*rows, strict=True) if rows else [[]] * (len(names) - 1)
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=False))], names)
+
+def _spans(width: int):
+    """One row per document: ``id`` and begins and ends of the runs to remove."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for records in buckets(rows):
+            ids, value = records.of(0, 2)
+            if len(ids):
+                begin, end = (value >> 8) - (value & 255), (value >> 8) + width
+                order = np.lexsort((begin, ids))
+                ids, begin, end = ids[order], begin[order], end[order]
+                # Runs of all documents at once: every document has a range of its own.
+                base = np.cumsum(np.append(0, ids[1:] != ids[:-1])) << 40
+                begin, end = merged(base + begin, base + end)
+                owner = ids[np.searchsorted(base, (begin >> 40) << 40)]
+                low = (1 << 40) - 1
+                yield from per_key(owner, [begin & low, end & low], "spans")
 
     return run
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The union of intervals as maximal runs."""
-    order = np.argsort(begin, kind="stable")
-    begin, end = begin[order], np.maximum.accumulate(end[order])
+    """The union of intervals, sorted by their begins, as maximal runs."""
+    end = np.maximum.accumulate(end)
     new = np.ones(len(begin), bool)
     new[1:] = begin[1:] > end[:-1]
     first = np.flatnonzero(new)
     return begin[first], end[np.append(first[1:], len(begin)) - 1]
 
 
+def _cleaned(width: int, keep_text: bool):
+    """Rows with what is left of each text; a text of ``copies`` rows goes if it has the width."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
+    kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows:
+            out = []
+            for text, spans, copies in zip(part.column(1), part.column(2), part.column(3).to_pylist(), strict=True):
+                data = text.as_buffer() if text.is_valid else b""
+                n = len(data)
+                if copies > 1 and n >= width:
+                    begin, end = np.array([0]), np.array([n])
+                elif spans.is_valid:
+                    begin, end = np.frombuffer(spans.as_buffer(), np.int64).reshape(2, -1)
+                else:
+                    begin = end = np.zeros(0, np.int64)
+                view = memoryview(data)
+                kept = b"".join(view[a:b] for a, b in zip(np.append(0, end), np.append(begin, n), strict=True))
+                out.append((n, int((end - begin).sum()), len(begin), hashlib.sha256(kept).hexdigest(), kept)[: len(names) - 1])
+            columns = zip(*out, strict=True) if out else [[]] * (len(names) - 1)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=False))], names)
+
+    return run
+
+
 def remove_repeated(docs: DataFrame, width: int = 200, keep_text: bool = False, spacing: int = SPACING) -> DataFrame:
     """Remove every byte covered by a ``width``-byte string that also starts anywhere else.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row, and ``kept``, the
-    remaining bytes, if ``keep_text``. ``width`` must be at most 200, as distances are packed in bytes.
+    remaining bytes, if ``keep_text``. ``width`` is at most 200, as lengths are packed in bytes.
     """
-    if not 4 * WORD <= width <= 200:
-        raise ValueError("width must be between 32 and 200")
+    if not 2 * WORD <= width <= 200:
+        raise ValueError(f"width must be between {2 * WORD} and 200")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     # Ids that are all different are shorter keys than hashes; the results are the same.
     twice = rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
     if twice:
         rows = rows.withColumn("id", F.xxhash64("doc_id", "text"))
+        texts = rows.select("id", "text").dropDuplicates(["id"])
     else:
         # Both joins with the texts below have the same input, so they share one shuffle.
-        rows = rows.withColumnRenamed("doc_id", "id").where("id IS NOT NULL")
-    texts = rows.select("id", "text")
-
-    phrases = texts.mapInArrow(_phrase_rows(width, spacing), "k long, id long, at long, h long")
-    times = F.count("*").over(Window.partitionBy("k"))
-    repeated = phrases.withColumn("n", times).where(f"id IS NOT NULL AND (n > 1 OR at >= {_FOUND})")
-    repeated = repeated.select(
-        "id", F.col("at").bitwiseAND(_FOUND - 1).alias("at"), F.when(F.col("at") >= _FOUND, F.col("h")).otherwise(F.col("k")).alias("h")
-    )
-    ordered = stored(repeated.repartition("id").sortWithinPartitions("id", "at"))
-
-    # The stored files are sorted by id, but a file may be read in parts.
-    again = ordered.repartition("id").sortWithinPartitions("id", "at")
-    buckets = again.mapInArrow(_bucket_rows(width), "e long, a long, id long, lo long, hi long, kind long")
-    here = Window.partitionBy("e")
-    held = F.sum(F.when(F.col("kind") == 1, 2).otherwise(1)).over(here)
-    turn = F.row_number().over(here.orderBy("id", "lo"))
-    state = (
-        F.when(F.col("kind") == 3, 0)
-        .when(F.col("kind") == 2, 1)
-        .when(F.col("n") < 2, 0)
-        .otherwise(F.when(F.col("turn") == 1, 2).otherwise(1))
-    )
-    places = buckets.withColumn("n", held).withColumn("turn", turn).select("a", "id", "lo", "hi", state.alias("state"))
-    places = stored(places)
-    discard(ordered)
-
-    open_ = places.where("state = 0")
-    examples = places.where("state = 2").join(open_.select("a").distinct(), "a", "left_semi")
-    asked = open_.select("id", "lo", "hi").unionByName(examples.select("id", "lo", "hi"))
-    asked = asked.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    strings = texts.join(asked, "id").select("id", "text", "spans").mapInArrow(_string_rows(width), "k long, c long, id long, lo long, hi long")
-    alike = strings.withColumn("n", F.count("*").over(Window.partitionBy("k", "c")))
-    alike = alike.where(f"id IS NOT NULL AND (n > 1 OR lo >= {_FOUND})").select("id", F.col("lo").bitwiseAND(_FOUND - 1).alias("lo"), "hi")
-
-    spans = places.where("state > 0").select("id", "lo", "hi").unionByName(alike)
-    spans = spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    met = rows.join(spans, "id", "left").select(F.col("doc_id" if twice else "id").alias("doc_id"), "text", "spans")
+        rows = texts = rows.withColumnRenamed("doc_id", "id").where("id IS NOT NULL")
+    parts = partitions(rows)
+
+    phrases = exchanged(texts.mapInArrow(_phrase_records(width, spacing, parts), SCHEMA), parts)
+    repeated = exchanged(phrases.mapInArrow(_repeated_phrases(parts), SCHEMA), parts)
+    entered = exchanged(repeated.mapInArrow(_bucket_records(width, parts), SCHEMA), parts)
+    settled = stored(entered.mapInArrow(_settled(parts), SCHEMA))
+
+    examples = exchanged(settled.where("kind IN (2, 3)"), parts).mapInArrow(_examples(parts), SCHEMA)
+    questions = exchanged(settled.where("kind = 1").unionByName(examples), parts).mapInArrow(_questions, "id long, asked binary")
+    strings = texts.join(questions, "id").select("id", "text", "asked").mapInArrow(_string_records(width, spacing, parts), SCHEMA)
+    alike = exchanged(strings, parts).mapInArrow(_repeated_strings(parts), SCHEMA)
+    spans = exchanged(settled.where("kind = 0").unionByName(alike), parts).mapInArrow(_spans(width), "id long, spans binary")
+
+    if twice:
+        copies = rows.groupBy("id").agg(F.count("*").alias("copies"))
+        met = rows.join(spans, "id", "left").join(copies, "id").select("doc_id", "text", "spans", "copies")
+    else:
+        met = rows.join(spans, "id", "left").select(F.col("id").alias("doc_id"), "text", "spans", F.lit(1).cast("long").alias("copies"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     return met.mapInArrow(_cleaned(width, keep_text), schema)
