@@ -70,15 +70,27 @@ class Split:
         return self.bounds.select(*self.keys, F.explode(numbers).alias(BLOCK))
 
 
+def key_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of every key, materialised: (keys, _rows)."""
+    return settle(df.groupBy(*keys).agg(F.count("*").alias("_rows")))
+
+
 def find_split(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    limit: int | None = None,
+    sizes: DataFrame | None = None,
 ) -> Split | None:
     """Cut points for the keys with more rows than ``limit``, None if there are none.
 
-    The check is one aggregate over the key column; only two numbers come back.
+    The check is one aggregate over the key column, or over ``sizes`` where those are
+    known; only two numbers come back. The cut points are materialised, as every use of
+    them would scan ``df`` again.
     """
     limit = limit or rows_per_block(df.sparkSession)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
     total, largest = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
     size = max(limit, math.ceil((total or 0) / MAX_BLOCKS))
     if largest is None or largest <= size:
@@ -99,17 +111,23 @@ def find_split(
     )
     # Twice the expected number of cuts; any beyond would only make the last block larger.
     search_steps = (2 * math.ceil(largest / size)).bit_length()
-    return Split(tuple(keys), tuple(order), bounds, search_steps)
+    return Split(tuple(keys), tuple(order), settle(bounds), search_steps)
+
+
+def fits_one_block(df: DataFrame) -> bool:
+    """Whether one task may hold the whole table in order."""
+    return df.count() <= rows_per_block(df.sparkSession)
 
 
-def with_positions(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, bool]:
+def with_positions(df: DataFrame, order: Sequence[str], fits: bool | None = None) -> tuple[DataFrame, bool]:
     """Add ``_position``, the 0-based place of each row in the total order.
 
     Read ``df`` from a materialised table: it is scanned more than once. The
-    flag tells whether the table was cut into blocks (``_block``).
+    flag tells whether the table was cut into blocks (``_block``). ``fits`` is the
+    result of ``fits_one_block`` where the caller has it.
     """
     whole = df.withColumn("_whole", F.lit(0))
-    split = find_split(whole, ("_whole",), order)
+    split = None if fits else find_split(whole, ("_whole",), order)
     by = [F.col(c).asc_nulls_last() for c in order]
     if split is None:  # checked: the whole table fits one block
         return df.withColumn("_position", F.row_number().over(Window.orderBy(*by)) - F.lit(1)), False
@@ -129,13 +147,15 @@ def with_positions(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, bool
     ), True
 
 
-def with_average_rank(df: DataFrame, value: str, tie_break: str, name: str) -> DataFrame:
+def with_average_rank(
+    df: DataFrame, value: str, tie_break: str, name: str, fits: bool | None = None
+) -> DataFrame:
     """Add the 1-based rank of ``value``; equal values share their mean rank.
 
     Read ``df`` from a materialised table. A table that had to be cut is
     materialised again, as the next step would repeat several scans of it.
     """
-    ranked, cut = with_positions(df, (value, tie_break))
+    ranked, cut = with_positions(df, (value, tie_break), fits)
     ties = Window.partitionBy(BLOCK, value) if cut else Window.partitionBy(value)
     ranked = ranked.withColumns(
         {"_first": F.min("_position").over(ties), "_last": F.max("_position").over(ties)}
@@ -168,7 +188,7 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], tie_break:
 
     Read ``df`` from a materialised table.
     """
-    if df.count() <= rows_per_block(df.sparkSession):
+    if fits_one_block(df):
         return df.agg(*[F.percentile(x, F.lit(q)).alias(name) for name, (x, q) in wanted.items()])
     found = {}
     for name, (x, q) in wanted.items():
@@ -184,24 +204,26 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], tie_break:
     return df.sparkSession.range(1).select(*[one.scalar().alias(n) for n, one in found.items()])
 
 
-def starts_by_key(df: DataFrame, key: str) -> DataFrame:
-    """Rows before each INT key in key order: (key, _start).
+def starts_by_key(sizes: DataFrame, key: str) -> DataFrame:
+    """Rows before each key in key order, (key, _start), from the rows of each key.
 
-    Prefix sums in two levels of 2**16, so no window holds more than 2**17 rows.
+    ``key`` may have any type that sorts. ``sizes`` is read more than once, so pass a
+    materialised table (``key_sizes``). If it has more rows than a block, the prefix sums
+    run per block of consecutive keys and then over the blocks.
     """
-    if dict(df.dtypes)[key] != "int":
-        raise TypeError(f"{key} must be INT to be numbered, cast it first")
-    sizes = df.groupBy(key).agg(F.count("*").alias("_rows"))
-    sizes = sizes.withColumn("_group", F.shiftright(key, 16)).where("_group IS NOT NULL")
-    within = Window.partitionBy("_group").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    groups = (
-        sizes.groupBy("_group")
+    sizes = sizes.where(F.col(key).isNotNull())
+    whole = sizes.withColumn("_whole", F.lit(0))
+    split = find_split(whole, ("_whole",), (key,))
+    before = (Window.unboundedPreceding, -1)
+    if split is None:  # checked: all keys fit one block
+        start = F.sum("_rows").over(Window.orderBy(key).rowsBetween(*before))
+        return sizes.select(key, F.coalesce(start, F.lit(0)).alias("_start"))
+    blocked = split.assign(whole).drop("_whole")
+    inside = F.sum("_rows").over(Window.partitionBy(BLOCK).orderBy(key).rowsBetween(*before))
+    skips = (
+        blocked.groupBy(BLOCK)
         .agg(F.sum("_rows").alias("_rows"))
-        .select("_group", F.coalesce(F.sum("_rows").over(across), F.lit(0)).alias("_before"))
-    )
-    return (
-        sizes.withColumn("_inside", F.coalesce(F.sum("_rows").over(within), F.lit(0)))
-        .join(F.broadcast(groups), "_group")
-        .select(key, (F.col("_before") + F.col("_inside")).alias("_start"))
+        .select(BLOCK, F.coalesce(F.sum("_rows").over(Window.orderBy(BLOCK).rowsBetween(*before)), F.lit(0)).alias("_skip"))
     )
+    placed = blocked.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(skips), BLOCK)
+    return placed.select(key, (F.col("_skip") + F.col("_inside")).alias("_start"))

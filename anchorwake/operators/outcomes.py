@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorwake.functions import fixed
-from anchorwake.functions.leverage import leverage_weights
+from anchorwake.functions.leverage import leverage_case, leverage_weights
 from anchorwake.functions.nulls import if_else, strict_mean, sum_or_zero
 from anchorwake.functions.zones import movement
 from anchorwake.operators.pairing import pair_adjacent, with_zones
@@ -26,8 +26,11 @@ FACT_COLUMNS = (
 )
 
 
-def _sequences(windowed: DataFrame) -> DataFrame:
-    """One row per sequence: its anchor, its last event and what each team did.
+def anchored_sequences(windowed: DataFrame) -> DataFrame:
+    """One row per sequence whose anchor is in the log: anchor, last event, what each team did.
+
+    An anchor may be filtered out while its events stay, for example if its period is
+    missing; such a sequence is in no registry.
 
     The first grouping sees every event and is combined before the shuffle; it
     leaves one row per team of a sequence, which the second one gathers.
@@ -47,11 +50,16 @@ def _sequences(windowed: DataFrame) -> DataFrame:
         F.min("_anchor").alias("_anchor"),
         F.max("_last").alias("_last"),
         F.collect_list(F.struct("team", "goal", "shot", "try", "attempts", "xg")).alias("_teams"),
-    )
+    ).where("_anchor IS NOT NULL")
 
 
 def sequence_results(windowed: DataFrame, loser_xg: str = "zero") -> DataFrame:
-    """Facts and expected goals per paired anchor row, from one pass over the events.
+    """Facts and expected goals per paired anchor row, from one pass over the events (see ``paired_results``)."""
+    return paired_results(anchored_sequences(windowed), loser_xg)
+
+
+def paired_results(sequences: DataFrame, loser_xg: str = "zero") -> DataFrame:
+    """Facts and expected goals per paired anchor row, from ``anchored_sequences``.
 
     With ``loser_xg="zero"`` the rows of the losing team have no expected goals
     on either side, so only winners score. ``"mirrored"`` gives them the same
@@ -59,7 +67,7 @@ def sequence_results(windowed: DataFrame, loser_xg: str = "zero") -> DataFrame:
     """
     if loser_xg not in ("zero", "mirrored"):
         raise ValueError("loser_xg is 'zero' or 'mirrored'")
-    pairs = pair_adjacent(_sequences(windowed), from_joined=("_last", "_teams"))
+    pairs = pair_adjacent(sequences, from_joined=("_last", "_teams"))
     rows = with_zones(pairs.select(*SEQUENCE, "_anchor.*", "_last", "_teams"))
     teams, me = F.col("_teams"), F.col("teamid")
 
@@ -144,14 +152,9 @@ def fis_scores(results: DataFrame) -> DataFrame:
     """Reward (expected goals for minus against) times leverage per registry row."""
     winner, loser = F.col("xg_winner"), F.col("xg_loser")
     reward = if_else(F.col("outcome_val") == fixed.WON, winner - loser, loser - winner)
-    weights = leverage_weights(
-        F.col("score_diff"), F.col("period"), F.col("manpower"), F.col("zone_type")
-    )
-    leverage = F.lit(1.0)
-    for name in weights:
-        leverage = leverage * F.col(name)
-    scored = classify_outcome(results).withColumns({"reward": reward, **weights})
-    return scored.withColumn("leverage", leverage).withColumn(
+    context = F.col("score_diff"), F.col("period"), F.col("manpower"), F.col("zone_type")
+    scored = classify_outcome(results).withColumns({"reward": reward, **leverage_weights(*context)})
+    return scored.withColumn("leverage", leverage_case(*context)).withColumn(
         "fis_score", F.col("reward") * F.col("leverage")
     )
 

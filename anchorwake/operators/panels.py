@@ -22,16 +22,16 @@ def leaderboard_panel(
 
     A player in both halves is shown with the lower one. ``tail=True`` takes the
     upper half from the end of the ascending list, so among equal scores it
-    prefers the larger player id.
+    prefers the larger player id. Players without a score come after all others of
+    either half, so they are seen only where a half is short; their sign is missing.
     """
-    scored = board.where(F.col(score).isNotNull())
-    rising = [F.asc(score), F.asc("playerid")]
-    falling = [F.desc(score), F.desc("playerid") if tail else F.asc("playerid")]
+    rising = [F.asc_nulls_last(score), F.asc("playerid")]
+    falling = [F.desc_nulls_last(score), F.desc("playerid") if tail else F.asc("playerid")]
 
     def first(order, src: str) -> DataFrame:
         place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
         return (
-            scored.withColumn("_place", place)
+            board.withColumn("_place", place)
             .where(F.col("_place") <= k)
             .drop("_place")
             .withColumn("src", F.lit(src))
@@ -44,8 +44,8 @@ def leaderboard_panel(
     lower = F.count_if(F.col("src") == "bottom").over(group)
     return panel.withColumns(
         {
-            "display_pos": F.row_number().over(group.orderBy(score, "src", "playerid")),
-            "sign_class": F.when(F.col(score) >= 0, "positive").otherwise("negative"),
+            "display_pos": F.row_number().over(group.orderBy(F.asc_nulls_last(score), "src", "playerid")),
+            "sign_class": F.when(F.col(score) >= 0, "positive").when(F.col(score) < 0, "negative"),
             "divider_pos": lower + F.lit(0.5).cast("double"),
         }
     )

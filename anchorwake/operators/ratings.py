@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from anchorwake.functions import fixed
 from anchorwake.functions.nulls import strict_mean, strict_sum
-from anchorwake.operators.ordering import quantiles, with_average_rank
+from anchorwake.operators.ordering import fits_one_block, quantiles, with_average_rank
 
 EXTREME_COLUMNS = ("playerid", "total_faceoffs", "raw_win_rate", "bayes_win_rate", "FIS_per_fo")
 EXPORT_COLUMNS = (
@@ -35,13 +35,20 @@ def _enough(min_fo) -> Column:
     """Whether a row of zone totals reaches its zone's minimum."""
     if isinstance(min_fo, int):
         return F.col("n_fo") >= min_fo
+    absent = [z for z in (fixed.OFFENSIVE, fixed.NEUTRAL, fixed.DEFENSIVE) if z not in min_fo]
+    if absent:
+        raise ValueError(f"min_fo has no minimum for {', '.join(absent)}")
     pairs = [F.lit(part) for item in min_fo.items() for part in item]
     return F.col("n_fo") >= F.create_map(*pairs)[F.col("player_zone")]
 
 
 def qualified_totals(participants: DataFrame, min_fo=fixed.MIN_PER_ZONE) -> DataFrame:
     """Zone totals of the players with enough anchors in the zone, in no order."""
-    return zone_totals(participants).where(_enough(min_fo))
+    return qualified(zone_totals(participants), min_fo)
+
+
+def qualified(totals: DataFrame, min_fo=fixed.MIN_PER_ZONE) -> DataFrame:
+    return totals.where(_enough(min_fo))
 
 
 def impact_leaderboard(participants: DataFrame, min_fo=fixed.MIN_PER_ZONE) -> DataFrame:
@@ -53,8 +60,12 @@ def impact_leaderboard(participants: DataFrame, min_fo=fixed.MIN_PER_ZONE) -> Da
 
 def leaderboard_summary(participants: DataFrame, min_fo=fixed.MIN_PER_ZONE) -> DataFrame:
     """Per zone: participations, qualifying players and their mean win percentage."""
+    return summary_of(zone_totals(participants), min_fo)
+
+
+def summary_of(totals: DataFrame, min_fo=fixed.MIN_PER_ZONE) -> DataFrame:
     enough = F.coalesce(_enough(min_fo), F.lit(False))
-    return zone_totals(participants).groupBy("player_zone").agg(
+    return totals.groupBy("player_zone").agg(
         F.sum("n_fo").alias("n_participations"),
         F.count_if(enough).alias("n_qualifying"),
         F.round(F.avg(F.when(enough, F.col("win_pct"))), 1).alias("avg_win_pct"),
@@ -119,8 +130,9 @@ def rank_correlation(rated: DataFrame) -> DataFrame:
     """
     names = {"raw_win_rate": "_raw", "bayes_win_rate": "_bayes", "FIS_per_fo": "_fis"}
     ranked = rated.select("playerid", *names)
+    whole_table = fits_one_block(ranked)  # one check for all three ranks
     for value, name in names.items():
-        ranked = with_average_rank(ranked, value, "playerid", name)
+        ranked = with_average_rank(ranked, value, "playerid", name, whole_table)
     whole = F.count_if(F.col("FIS_per_fo").isNull()) == 0
 
     def correlation(a: str, b: str) -> Column:

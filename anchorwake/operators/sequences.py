@@ -2,7 +2,10 @@
 
 The log is ordered by (compiledgametime, row_pos) within a game. Operators that
 need this order accept a ``split`` (see ``ordering``): ``"find"`` checks the size
-of the games, ``None`` states that no game is too large for one task.
+of the games, ``None`` states that no game is too large for one task. The check
+reads the game column of the table, so on a computed table pass the split of the
+log it comes from. Results have the same columns and rows whatever the split; the
+``_in_blocks`` forms keep the block number for the next operator.
 """
 
 from __future__ import annotations
@@ -11,7 +14,15 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from anchorwake.functions import fixed
-from anchorwake.operators.ordering import BLOCK, Split, find_split, sort_key, starts_by_key
+from anchorwake.operators.ordering import (
+    BLOCK,
+    Split,
+    find_split,
+    key_sizes,
+    sort_key,
+    starts_by_key,
+)
+from anchorwake.sources.settle import settle
 
 GAME = "gameid"
 TIME = "compiledgametime"
@@ -22,13 +33,13 @@ def is_anchor() -> Column:
     return F.coalesce(F.col("eventname") == fixed.ANCHOR_EVENT, F.lit(False))
 
 
-def split_games(events: DataFrame, limit: int | None = None) -> Split | None:
+def split_games(events: DataFrame, limit: int | None = None, sizes: DataFrame | None = None) -> Split | None:
     """Cut points for games that hold too many rows for one task."""
-    return find_split(events.where(f"{GAME} IS NOT NULL"), (GAME,), ORDER, limit)
+    return find_split(events.where(f"{GAME} IS NOT NULL"), (GAME,), ORDER, limit, sizes)
 
 
-def _resolved(df: DataFrame, split) -> Split | None:
-    return split_games(df) if split == "find" else split
+def _resolved(df: DataFrame, split, sizes: DataFrame | None = None) -> Split | None:
+    return split_games(df, sizes=sizes) if split == "find" else split
 
 
 def _blocked(df: DataFrame, split) -> DataFrame:
@@ -54,8 +65,13 @@ def attach_anchor(events: DataFrame, split="find", number: bool = True) -> DataF
     and row_pos. ``number=False`` leaves the id out, which saves a pass. Rows
     without a game belong to no sequence and are left out.
     """
+    return plain(attach_in_blocks(events, split, number))
+
+
+def attach_in_blocks(events: DataFrame, split="find", number: bool = True) -> DataFrame:
     events = events.where(F.col(GAME).isNotNull())
-    split = _resolved(events, split)
+    sizes = key_sizes(events, (GAME,)) if number else None
+    split = _resolved(events, split, sizes)
     rows = events if split is None else split.assign(events)
     ordered = _in_order(rows)
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -75,7 +91,7 @@ def attach_anchor(events: DataFrame, split="find", number: bool = True) -> DataF
     if cut:
         rows = _carry_anchor(rows, _tails(split, events, number))
     if number:
-        starts = starts_by_key(events, GAME)
+        starts = starts_by_key(sizes, GAME)
         if cut:
             whole = starts.withColumn(BLOCK, F.lit(0))
             starts = whole.unionByName(split.blocks().join(starts, GAME))
@@ -110,7 +126,7 @@ def _tails(split: Split, events: DataFrame, number: bool) -> DataFrame:
 def _carry_anchor(rows: DataFrame, tails: DataFrame) -> DataFrame:
     """Pass the latest anchor from block to block of the cut games."""
     skip = F.coalesce(F.sum("_rows").over(_earlier_blocks()), F.lit(0))
-    tails = tails.withColumn("_skip", skip)
+    tails = settle(tails).withColumn("_skip", skip)
 
     def before(value: Column) -> Column:
         return F.last(value, ignorenulls=True).over(_earlier_blocks())
@@ -158,8 +174,13 @@ def anchor_sessions(windowed: DataFrame, split="find") -> DataFrame:
     """Number the physical anchors of each game from 1 and give the id to their events.
 
     A new one starts at an anchor whose time differs from that of the row before
-    it, whatever that row is; the first anchor of a game always starts one.
+    it, whatever that row is; the first anchor of a game always starts one. A missing
+    time differs from no other.
     """
+    return plain(sessions_in_blocks(windowed, split))
+
+
+def sessions_in_blocks(windowed: DataFrame, split="find") -> DataFrame:
     rows = _blocked(windowed, split)
     ordered = _in_order(rows)
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -173,7 +194,8 @@ def anchor_sessions(windowed: DataFrame, split="find") -> DataFrame:
     )
     opens, base = F.col("_opens"), F.lit(0)
     if BLOCK in rows.columns:
-        rows = rows.join(F.broadcast(_carry_sessions(rows)), [GAME, BLOCK], "left")
+        carried = settle(_carry_sessions(rows))
+        rows = rows.join(F.broadcast(carried), [GAME, BLOCK], "left")
         opens, base = F.coalesce("_first_opens", "_opens"), F.coalesce("_base", F.lit(0))
     session = base + opens.cast("bigint") + F.col("_inner")
     return rows.withColumn("physical_faceoff_id", session.cast("bigint")).select(
@@ -191,13 +213,15 @@ def _carry_sessions(rows: DataFrame) -> DataFrame:
         .agg(
             F.max("_inner").alias("_started"),
             F.max("_opens").alias("_opens"),
+            # Missing times are last: the first is missing if all are, the last if any is.
             F.min(TIME).alias("_head"),
-            F.max(TIME).alias("_tail"),
+            F.when(F.count(TIME) == F.count("*"), F.max(TIME)).alias("_tail"),
         )
     )
-    previous = F.lag("_tail").over(Window.partitionBy(GAME).orderBy(BLOCK))
+    in_game = Window.partitionBy(GAME).orderBy(BLOCK)
+    differs = F.coalesce(F.lag("_tail").over(in_game) != F.col("_head"), F.lit(False))
     blocks = blocks.withColumn(
-        "_first_opens", F.col("_opens") & (previous.isNull() | (previous != F.col("_head")))
+        "_first_opens", F.col("_opens") & (F.lag(BLOCK).over(in_game).isNull() | differs)
     )
     started = F.col("_started") + F.col("_first_opens").cast("bigint")
     return blocks.select(
@@ -209,5 +233,5 @@ def _carry_sessions(rows: DataFrame) -> DataFrame:
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Drop the working column that large games add."""
+    """Drop the block number."""
     return df.drop(BLOCK)

@@ -9,15 +9,30 @@ from pyspark.sql import functions as F
 
 from anchorwake.functions import fixed
 from anchorwake.operators import outcomes, panels, pairing, ratings, registry, sequences
+from anchorwake.sources.schema import complete_rows, incomplete_rows
 from anchorwake.sources.settle import settle
 
 
+class CheckedLog(NamedTuple):
+    complete: DataFrame
+    incomplete: DataFrame
+
+
+def checked_log(events: DataFrame) -> CheckedLog:
+    """Raw log to the rows the jobs can use, and the others to be looked at."""
+    return CheckedLog(complete_rows(events), incomplete_rows(events))
+
+
 def post_anchor_events(
     events: DataFrame, horizon: float = fixed.HORIZON_SECONDS, split="find"
 ) -> DataFrame:
     """Raw log to the events within the horizon of their anchor."""
-    attached = sequences.attach_anchor(events, split)
-    return sequences.plain(sequences.window_after_anchor(attached, horizon))
+    return sequences.window_after_anchor(sequences.attach_anchor(events, split), horizon)
+
+
+def sequence_counts(windowed: DataFrame) -> DataFrame:
+    """Events and sequences that the filter has kept, as one row."""
+    return sequences.sequence_summary(windowed)
 
 
 def session_facts(
@@ -31,9 +46,14 @@ def session_facts(
     """
     if split == "find":
         split = sequences.split_games(events)
-    attached = sequences.attach_anchor(events, split, number=False)
+    attached = sequences.attach_in_blocks(events, split, number=False)
     windowed = sequences.window_after_anchor(attached, horizon)
-    return registry.anchor_facts(sequences.anchor_sessions(windowed, split))
+    return registry.anchor_facts(sequences.sessions_in_blocks(windowed, split))
+
+
+def facts_from_windowed(windowed: DataFrame, split="find") -> DataFrame:
+    """Stored filtered log to one row per physical anchor; the horizon is not applied again."""
+    return registry.anchor_facts(sequences.sessions_in_blocks(windowed, split))
 
 
 class ZoneReport(NamedTuple):
@@ -45,9 +65,12 @@ class ZoneReport(NamedTuple):
 
 def zone_report(windowed: DataFrame, loser_xg: str = "zero") -> ZoneReport:
     """Filtered log to the zone table, the outcome distribution and their check."""
-    scores = settle(outcomes.fis_scores(outcomes.sequence_results(windowed, loser_xg)))
+    # Scores and check both start from here, so the events are gathered once.
+    found = settle(outcomes.anchored_sequences(windowed))
+    scores = outcomes.fis_scores(outcomes.paired_results(found, loser_xg))
     impact = outcomes.zone_impact(scores)
-    check = outcomes.control_total(pairing.paired_registry(windowed), impact)
+    pairs = pairing.pair_adjacent(found.select(*outcomes.SEQUENCE))
+    check = outcomes.control_total(pairs, impact)
     return ZoneReport(scores, impact, outcomes.outcome_report(scores), check)
 
 
@@ -62,18 +85,20 @@ def leaderboards(
     facts: DataFrame, min_fo=fixed.MIN_PER_ZONE, k: int = fixed.PANEL_SIZE
 ) -> Leaderboards:
     """Anchor facts to the leaderboard of each zone and its chart tables."""
-    participants = settle(registry.participants_long(facts))
-    board = settle(ratings.qualified_totals(participants, min_fo))
+    # One row per player and zone; the participants themselves are never written.
+    totals = settle(ratings.zone_totals(registry.participants_long(facts)))
+    board = ratings.qualified(totals, min_fo)
     panel = panels.leaderboard_panel(board, k=k)
     return Leaderboards(
         board.orderBy("player_zone", F.desc("impact_score"), "playerid"),
-        ratings.leaderboard_summary(participants, min_fo),
+        ratings.summary_of(totals, min_fo),
         panels.win_labels(panel),
         panels.panel_annotations(panel),
     )
 
 
 class Ratings(NamedTuple):
+    counts: DataFrame
     rated: DataFrame
     best: DataFrame
     worst: DataFrame
@@ -99,6 +124,7 @@ def rating_report(
     best, worst = ratings.rating_extremes(rated, k)
     panel = panels.leaderboard_panel(classified, "FIS_per_fo", (), k, tail=True)
     return Ratings(
+        ratings.rating_counts(facts, rated),
         classified,
         best,
         worst,

@@ -8,6 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+GAPS = {
+    "period": "CASE WHEN row_pos % 23 = 3 THEN NULL WHEN row_pos % 29 = 4 THEN 5 ELSE period END",
+    "teamid": "CASE WHEN row_pos % 19 <> 5 THEN teamid END",
+    "xadjcoord": "CASE WHEN row_pos % 43 <> 10 THEN xadjcoord END",
+    "scoredifferential": "CASE WHEN row_pos % 31 <> 7 THEN scoredifferential END",
+    "manpowersituation": "CASE WHEN row_pos % 37 = 8 THEN 'fourOnFour' WHEN row_pos % 41 <> 9 THEN manpowersituation END",
+}
+
 _SOURCE = "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
@@ -48,3 +56,14 @@ def derived_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN attempt AND k % 13 <> 0 THEN value / 1000 END AS xg_allattempts",
         "event_id * 2 + side AS row_pos",
     )
+
+
+def with_gaps(events: DataFrame) -> DataFrame:
+    """The log with missing values, a fifth period, an unknown strength and anchors of one row."""
+    kept = events.where("NOT (eventname = 'faceoff' AND row_pos % 47 = 11)")
+    return kept.selectExpr(*[f"{GAPS[c]} AS {c}" if c in GAPS else c for c in events.columns])
+
+
+def with_long_ids(events: DataFrame) -> DataFrame:
+    """The log with games numbered beyond INT."""
+    return events.withColumn("gameid", events.gameid.cast("bigint") + 3_000_000_000)

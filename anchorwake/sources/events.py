@@ -7,77 +7,172 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anchorwake.functions.fixed import PANDAS_MISSING
-from anchorwake.sources.schema import EVENTS, SEQUENCE
+from anchorwake.sources.schema import EVENTS, IDS, SEQUENCE, check_columns
 
 _KNOWN = {field.name: field.dataType for field in [*EVENTS.fields, *SEQUENCE.fields]}
 ROW = "row_pos"
+_SURPLUS = "_surplus"
+_TEXT = "_text"
+_NOTHING = "\x00"  # read as a missing field, so that blank fields arrive as they are
+_ID_TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType()}
 
 
-def _number(text: Column, kind: T.DataType) -> Column:
-    """Whole numbers may be written as decimals (``12.0``); NaN counts as missing."""
-    value = text.try_cast("double")
-    value = F.when(~F.isnan(value), value)
-    return value if isinstance(kind, T.DoubleType) else value.try_cast(kind)
+def _kind(name: str, id_type: str) -> T.DataType | None:
+    return _ID_TYPES[id_type] if name in IDS else _KNOWN.get(name)
 
 
-def read_events_csv(spark: SparkSession, path: str, blank_strings: str = "missing") -> DataFrame:
-    """Read a CSV log with a header, add ``row_pos`` and keep unknown columns as text.
+def _number(text: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """The value, and whether the text is one.
 
-    ``blank_strings="missing"`` reads the usual missing-value texts as missing.
-    ``"keep"`` treats only ``NA`` so and keeps a blank text as an empty one, which
-    is how the reporting jobs read their input.
+    Whole numbers may be written as decimals (``12.0``), but not with a fraction; NaN
+    counts as missing. Only digits, signs, point and exponent make a number.
+    """
+    plain = F.trim(text)
+    written = plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    double = F.when(written, plain.try_cast("double"))
+    if isinstance(kind, T.DoubleType):
+        return double, double.isNotNull()
+    exact = plain.try_cast(T.DecimalType(38, 6))
+    value = F.coalesce(plain.try_cast(kind), F.when(exact == F.floor(exact), exact.try_cast(kind)))
+    value = F.when(written, value)
+    return value, value.isNotNull()
+
+
+def _csv_rows(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """All fields as text, one more column that only rows with surplus fields fill, and the row's order.
+
+    Quotes are doubled inside quoted fields, as pandas and R write and read them.
     """
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _SURPLUS]])
+    rows = reader.option("nullValue", _NOTHING).option("emptyValue", "").option("enforceSchema", True).schema(schema).csv(path)
+    return rows.withColumn(ROW, _file_order())
+
+
+def _parsed(rows: DataFrame, blank_strings: str, id_type: str) -> tuple[dict[str, Column], dict[str, Column]]:
+    """The value of every column, and for the typed ones whether the text cannot be read."""
     if blank_strings not in ("missing", "keep"):
         raise ValueError("blank_strings is 'missing' or 'keep'")
-    # The reader turns blank fields into nulls; every other text arrives as it is.
-    raw = spark.read.option("header", True).option("nullValue", "").csv(path)
-    columns = []
-    for name in raw.columns:
-        kind, text = _KNOWN.get(name), F.col(f"`{name}`")
+    if id_type not in _ID_TYPES:
+        raise ValueError(f"id_type is one of {', '.join(_ID_TYPES)}")
+    values, unread = {}, {}
+    for name in (c for c in rows.columns if c not in (_SURPLUS, ROW)):
+        kind, text = _kind(name, id_type), F.col(f"`{name}`")
+        missing = text.isNull() | text.isin("", *PANDAS_MISSING)
         if kind is not None and not isinstance(kind, T.StringType):
-            columns.append(_number(text, kind).alias(name))
-        elif blank_strings == "keep":
-            columns.append(F.when(F.coalesce(text, F.lit("")) != "NA", F.coalesce(text, F.lit(""))).alias(name))
+            value, good = _number(text, kind)
+            values[name] = F.when(~missing, value)
+            unread[name] = ~missing & ~good
+        elif blank_strings == "keep" and name not in IDS:
+            kept = F.coalesce(text, F.lit(""))
+            values[name] = F.when(kept != "NA", kept)
         else:
-            columns.append(F.when(~text.isin(*PANDAS_MISSING), text).alias(name))
-    return raw.select(*columns, _file_order(raw).alias(ROW))
+            values[name] = F.when(~missing, text)
+    return values, unread
+
+
+def read_events_csv(
+    spark: SparkSession,
+    path: str,
+    blank_strings: str = "missing",
+    id_type: str = "bigint",
+    multi_line: bool = False,
+    unreadable: str = "raise",
+) -> DataFrame:
+    """Read a CSV log with a header, add ``row_pos`` and keep unknown columns as text.
+
+    ``blank_strings="missing"`` reads the usual missing-value texts as missing.
+    ``"keep"`` treats only ``NA`` so and keeps a blank text as an empty one, which
+    is how the reporting jobs read their input. ``id_type`` is the type of games, teams
+    and players. ``multi_line`` allows line breaks in quoted fields; such a file is read
+    by one task. Rows with surplus fields or with a value that cannot be read raise an
+    error, or are left to ``rejected_events_csv`` with ``unreadable="skip"``.
+    """
+    if unreadable not in ("raise", "skip"):
+        raise ValueError("unreadable is 'raise' or 'skip'")
+    rows = _csv_rows(spark, path, multi_line)
+    values, unread = _parsed(rows, blank_strings, id_type)
+    if unreadable == "skip":
+        rows = rows.where(_reason(unread).isNull())
+    else:
+        for name in unread:
+            message = F.concat(F.lit(f"{path}: cannot read {name}: "), F.col(f"`{name}`"))
+            values[name] = F.when(unread[name], F.raise_error(message)).otherwise(values[name])
+        # In the row's order, so that no choice of columns leaves it out with the rows.
+        surplus = F.raise_error(F.concat(F.lit(f"{path}: a row has more fields than the header: "), F.col(_SURPLUS)))
+        rows = rows.where(F.when(F.col(_SURPLUS).isNotNull(), surplus.cast("boolean")).otherwise(True))
+    return rows.select(*[v.alias(n) for n, v in values.items()], ROW)
+
+
+def rejected_events_csv(
+    spark: SparkSession, path: str, blank_strings: str = "missing", id_type: str = "bigint", multi_line: bool = False
+) -> DataFrame:
+    """The rows that ``read_events_csv`` cannot read, as text, with ``reason``."""
+    rows = _csv_rows(spark, path, multi_line)
+    _, unread = _parsed(rows, blank_strings, id_type)
+    return rows.withColumn("reason", _reason(unread)).where("reason IS NOT NULL").drop(_SURPLUS)
 
 
-def _file_order(raw: DataFrame) -> Column:
+def _reason(unread: dict[str, Column]) -> Column:
+    reason = F.when(F.col(_SURPLUS).isNotNull(), "surplus fields")
+    for name, bad in unread.items():
+        reason = reason.when(bad, f"cannot read {name}")
+    return reason
+
+
+def _file_order() -> Column:
     """A value that sorts rows in file order, and files by path.
 
-    The splits of one file are read in order, so a running number will do; with
-    several files the file and the place of the split in it go first.
+    The splits of a file are read in order, so the file, the place of the split in it
+    and a running number will do.
     """
-    running = F.monotonically_increasing_id()
-    if len(raw.inputFiles()) == 1:
-        return running
     return F.struct(
-        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), running.alias("row")
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
 def read_events_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Read a Parquet log; ``row_pos`` is taken from the file or from the row's place in it."""
-    raw = spark.read.parquet(path)
-    doubles = [f.name for f in raw.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    clean = {c: F.when(~F.isnan(c), F.col(c)) for c in doubles}
+    """Read a Parquet log; ``row_pos`` is taken from the file or from the row's place in it.
+
+    Ids keep their type, other columns get the types of ``EVENTS``; a value that does not fit raises.
+    NaN counts as missing.
+    """
+    raw = check_columns(spark.read.parquet(path))
+    columns = []
+    for field in raw.schema.fields:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            value = F.when(~F.isnan(value), value)
+        kind = _KNOWN.get(field.name)
+        if kind is not None and field.name not in IDS and field.dataType != kind:
+            read = value.try_cast(kind)
+            lost = value.isNotNull() & (read.isNull() | (read.try_cast("double") != value.try_cast("double")))
+            message = F.concat(F.lit(f"{path}: {field.name} is not {kind.simpleString()}: "), value.cast("string"))
+            whole = not isinstance(kind, (T.DoubleType, T.StringType))
+            value = F.when(lost if whole else value.isNotNull() & read.isNull(), F.raise_error(message)).otherwise(read)
+        columns.append(value.alias(field.name))
     if ROW not in raw.columns:
-        row = F.col("_metadata.row_index")
-        one = len(raw.inputFiles()) == 1
-        clean[ROW] = row if one else F.struct(F.col("_metadata.file_path"), row)
-    return raw.withColumns(clean)
+        columns.append(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(ROW))
+    return raw.select(*columns)
 
 
-def write_events(windowed: DataFrame, path: str, fmt: str = "csv", mode: str = "error") -> None:
-    """Write the filtered log in game order, as CSV with a header or as Parquet.
+def write_events(windowed: DataFrame, path: str, fmt: str = "csv", mode: str = "error", by_range: bool | None = None) -> None:
+    """Write the filtered log, in order within every game, as CSV with a header or as Parquet.
 
-    The sort is by range of (game, time, row), so files stay balanced whatever
-    the size of a game, and Parquet statistics allow skipping by game.
+    ``by_range`` sorts over all files by game, time and row, at the price of one more shuffle:
+    files are then balanced whatever the size of a game, and Parquet statistics allow
+    skipping by game. CSV needs it, as it has no ``row_pos`` and the rows of a large game
+    may lie in several partitions; Parquet keeps ``row_pos``, so there rows are by default
+    sorted where they are.
     """
-    in_order = windowed.orderBy("gameid", F.col("compiledgametime").asc_nulls_last(), ROW)
+    by_range = fmt == "csv" if by_range is None else by_range
+    order = ["gameid", F.col("compiledgametime").asc_nulls_last(), ROW]
+    in_order = windowed.orderBy(*order) if by_range else windowed.sortWithinPartitions(*order)
     if fmt == "csv":
-        in_order.drop(ROW).write.mode(mode).option("header", True).csv(path)
+        in_order.drop(ROW).write.mode(mode).option("header", True).option("escape", '"').csv(path)
     elif fmt == "parquet":
         in_order.write.mode(mode).parquet(path)
     else:
@@ -86,4 +181,5 @@ def write_events(windowed: DataFrame, path: str, fmt: str = "csv", mode: str = "
 
 def write_ratings(export: DataFrame, path: str, mode: str = "error") -> None:
     """Write the sorted ratings table as CSV; missing values are written as ``NA``."""
-    export.write.mode(mode).option("header", True).option("nullValue", "NA").csv(path)
+    writer = export.write.mode(mode).option("header", True).option("nullValue", "NA")
+    writer.option("escape", '"').csv(path)

@@ -30,6 +30,18 @@ SEQUENCE = T.StructType(
     ]
 )
 REQUIRED = ("gameid", "compiledgametime", "eventname")
+# Identifiers: any type that sorts; the readers take them as BIGINT unless told otherwise.
+IDS = ("gameid", "teamid", "playerid", "teaminpossession")
+# Columns that the jobs cannot do without.
+NEEDED = (*EVENTS.fieldNames(),)
+
+
+def check_columns(events: DataFrame) -> DataFrame:
+    """``events`` as it is; an error names the columns that are not there."""
+    absent = [c for c in NEEDED if c not in events.columns]
+    if absent:
+        raise ValueError(f"the log has no column {', '.join(absent)}")
+    return events
 
 
 def _incomplete() -> Column:

@@ -130,27 +130,34 @@ SELECT loser_player, FALSE, leverage,
             WHEN 'Defensive Zone' THEN 'Offensive Zone' ELSE 'Neutral Zone' END,
        xg_loser, xg_winner, terr_loser FROM facts)"""
 
-BOARD = """board AS (
+def _strict(x: str, where: str = "TRUE") -> str:
+    """A sum that is missing if one of its values is."""
+    return f"CASE WHEN count(*) FILTER (WHERE {where} AND ({x}) IS NULL) = 0 THEN coalesce(sum({x}) FILTER (WHERE {where}), 0.0::DOUBLE) END"
+
+
+_CREATED, _CONCEDED = _strict("xg_for * leverage", "won"), _strict("xg_against * leverage", "NOT won")
+
+BOARD = f"""board AS (
 SELECT player_zone, playerid, count(*) AS n_fo, count(*) FILTER (WHERE won) AS n_won,
        avg(CASE WHEN won THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 AS win_pct,
-       coalesce(sum(CASE WHEN won THEN xg_for * leverage END), 0.0::DOUBLE) AS xg_created,
-       coalesce(sum(CASE WHEN NOT won THEN xg_against * leverage END), 0.0::DOUBLE) AS xg_conceded,
-       (coalesce(sum(CASE WHEN won THEN xg_for * leverage END), 0.0::DOUBLE)
-        - coalesce(sum(CASE WHEN NOT won THEN xg_against * leverage END), 0.0::DOUBLE)) / count(*) AS impact_score
-FROM participants GROUP BY player_zone, playerid HAVING count(*) >= {min_fo})"""
+       {_CREATED} AS xg_created,
+       {_CONCEDED} AS xg_conceded,
+       ({_CREATED} - {_CONCEDED}) / count(*) AS impact_score
+FROM participants GROUP BY player_zone, playerid HAVING count(*) >= {{min_fo}})"""
 
-PLAYERS = """players AS (
+PLAYERS = f"""players AS (
 SELECT *, wins / total_faceoffs AS raw_win_rate, (10 + wins) / (20.0::DOUBLE + total_faceoffs) AS bayes_win_rate,
        (lev_xg_gen - lev_xg_con) / total_faceoffs AS FIS_xg,
        lev_terr * 0.002::DOUBLE / total_faceoffs AS FIS_terr,
        (lev_xg_gen - lev_xg_con) / total_faceoffs + lev_terr * 0.002::DOUBLE / total_faceoffs AS FIS_per_fo
 FROM (SELECT playerid, count(*) AS total_faceoffs, count(*) FILTER (WHERE won) AS wins,
              count(*) FILTER (WHERE NOT won) AS losses,
-             coalesce(sum(CASE WHEN won THEN xg_for * leverage END), 0.0::DOUBLE) AS lev_xg_gen,
-             coalesce(sum(CASE WHEN NOT won THEN xg_against * leverage END), 0.0::DOUBLE) AS lev_xg_con,
-             sum(terr_delta * leverage) AS lev_terr, avg(leverage) AS avg_leverage
+             {_CREATED} AS lev_xg_gen,
+             {_CONCEDED} AS lev_xg_con,
+             {_strict('terr_delta * leverage')} AS lev_terr,
+             CASE WHEN count(*) = count(leverage) THEN avg(leverage) END AS avg_leverage
       FROM participants GROUP BY playerid) p),
-rated AS (SELECT * FROM players WHERE total_faceoffs >= {min_rated}),
+rated AS (SELECT * FROM players WHERE total_faceoffs >= {{min_rated}}),
 cuts AS (
 SELECT median(FIS_per_fo) AS fis_med, median(raw_win_rate) AS wr_med,
        quantile_cont(abs(FIS_per_fo), 0.92) AS size_cut,
@@ -192,6 +199,21 @@ SELECT r.gameid, r.faceoff_sequence_id,
 FROM paired r JOIN windowed e ON e.gameid = r.gameid AND e.faceoff_sequence_id = r.join_id
 WHERE e.eventname IN ('shot', 'goal') GROUP BY r.gameid, r.faceoff_sequence_id)"""
 
+def _any(x: str, name: str) -> str:
+    """Whether a condition holds somewhere; missing if that is unknown."""
+    return f"CASE WHEN bool_or({x}) THEN TRUE WHEN count(*) = count({x}) THEN FALSE END AS {name}"
+
+
+_FLAGS = ",\n       ".join(
+    _any(f"{did} AND ev_team {how} teamid", f"{who}_{kind}")
+    for kind, did in (
+        ("made_goal", "ev_name = 'goal' AND ev_outcome = 'successful'"),
+        ("made_shot", "ev_name = 'shot' AND ev_outcome = 'successful'"),
+        ("attempt_shot", "ev_name = 'shot'"),
+    )
+    for who, how in (("i", "="), ("opp", "<>"))
+)
+
 OUTCOMES = """joined AS (
 SELECT r.*, e.eventname AS ev_name, e.outcome AS ev_outcome, e.teamid AS ev_team, e.xadjcoord AS ev_x,
        e.teaminpossession AS ev_possession,
@@ -200,12 +222,7 @@ SELECT r.*, e.eventname AS ev_name, e.outcome AS ev_outcome, e.teamid AS ev_team
 FROM paired r JOIN windowed e ON e.gameid = r.gameid AND e.faceoff_sequence_id = r.join_id),
 seq_facts AS (
 SELECT gameid, faceoff_sequence_id, teamid, my_zon, my_role, zone_type,
-       bool_or(ev_name = 'goal' AND ev_outcome = 'successful' AND ev_team = teamid) AS i_made_goal,
-       bool_or(ev_name = 'goal' AND ev_outcome = 'successful' AND ev_team <> teamid) AS opp_made_goal,
-       bool_or(ev_name = 'shot' AND ev_outcome = 'successful' AND ev_team = teamid) AS i_made_shot,
-       bool_or(ev_name = 'shot' AND ev_outcome = 'successful' AND ev_team <> teamid) AS opp_made_shot,
-       bool_or(ev_name = 'shot' AND ev_team = teamid) AS i_attempt_shot,
-       bool_or(ev_name = 'shot' AND ev_team <> teamid) AS opp_attempt_shot,
+       {flags},
        max(CASE WHEN from_end = 1 THEN ev_x END) AS final_x,
        max(CASE WHEN from_end = 1 THEN ev_possession END) AS last_possession_team,
        min(period) AS period, min(scoredifferential) AS score_diff,
@@ -223,11 +240,14 @@ SELECT *, CASE WHEN i_made_goal THEN '01. Mål (Egna)'
      WHEN opp_made_shot THEN '10. Avslut på mål (Emot)'
      WHEN i_attempt_shot THEN '03. Skottförsök (Egna - Miss/Block)'
      WHEN opp_attempt_shot THEN '09. Skottförsök (Emot - Miss/Block)'
-     WHEN movement = 'Offensiv Zon' THEN CASE WHEN i_have_puck THEN '04. Innehav i Offensiv Zon' ELSE '05. Utan puck i Offensiv Zon' END
-     WHEN movement = 'Mittzon' THEN CASE WHEN i_have_puck THEN '06. Innehav i Mittzon' ELSE '07. Utan puck i Mittzon' END
-     WHEN movement = 'Defensiv Zon' THEN CASE WHEN i_have_puck THEN '08. Innehav i Defensiv Zon' ELSE '09. Utan puck i Defensiv Zon' END
+     WHEN movement = 'Offensiv Zon' AND i_have_puck THEN '04. Innehav i Offensiv Zon'
+     WHEN movement = 'Offensiv Zon' AND NOT i_have_puck THEN '05. Utan puck i Offensiv Zon'
+     WHEN movement = 'Mittzon' AND i_have_puck THEN '06. Innehav i Mittzon'
+     WHEN movement = 'Mittzon' AND NOT i_have_puck THEN '07. Utan puck i Mittzon'
+     WHEN movement = 'Defensiv Zon' AND i_have_puck THEN '08. Innehav i Defensiv Zon'
+     WHEN movement = 'Defensiv Zon' AND NOT i_have_puck THEN '09. Utan puck i Defensiv Zon'
      ELSE '12. Odefinierat' END AS total_utfall
-FROM moved)"""
+FROM moved)""".replace("{flags}", _FLAGS)
 
 SCORES = """weighted AS (
 SELECT c.*, coalesce(x.xg_winner, 0.0::DOUBLE) AS xg_winner, coalesce(x.xg_loser, 0.0::DOUBLE) AS xg_loser,
@@ -260,7 +280,7 @@ SELECT *, 'top' AS src FROM (
 deduped AS (SELECT * FROM halves QUALIFY row_number() OVER ({per_player} ORDER BY src) = 1),
 panel AS (
 SELECT *, CAST(row_number() OVER ({group} ORDER BY {score}, src, playerid) AS INT) AS display_pos,
-       CASE WHEN {score} >= 0 THEN 'positive' ELSE 'negative' END AS sign_class,
+       CASE WHEN {score} >= 0 THEN 'positive' WHEN {score} < 0 THEN 'negative' END AS sign_class,
        count(*) FILTER (WHERE src = 'bottom') OVER ({group}) + 0.5::DOUBLE AS divider_pos
 FROM deduped),
 placed AS (
@@ -304,8 +324,48 @@ def _with(parts, body: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
-def statements(min_fo: int = 15, min_rated: int = 50) -> dict[str, str]:
-    to_window = [RAW_EVENTS, ATTACHED, WINDOWED]
+def _log(columns: str, where: str = "TRUE") -> str:
+    """The derived log with some columns replaced."""
+    clean = RAW_EVENTS.replace("raw_events AS (", "clean_events AS (", 1)
+    return f"{clean},\nraw_events AS (SELECT * REPLACE ({columns}) FROM clean_events WHERE {where})"
+
+
+GAPS = _log(
+    "CASE WHEN row_pos % 23 = 3 THEN NULL WHEN row_pos % 29 = 4 THEN 5 ELSE period END AS period, "
+    "CASE WHEN row_pos % 19 <> 5 THEN teamid END AS teamid, "
+    "CASE WHEN row_pos % 43 <> 10 THEN xadjcoord END AS xadjcoord, "
+    "CASE WHEN row_pos % 31 <> 7 THEN scoredifferential END AS scoredifferential, "
+    "CASE WHEN row_pos % 37 = 8 THEN 'fourOnFour' WHEN row_pos % 41 <> 9 THEN manpowersituation END AS manpowersituation",
+    "NOT (eventname = 'faceoff' AND row_pos % 47 = 11)",
+)
+LONG_IDS = _log("CAST(gameid AS BIGINT) + 3000000000 AS gameid")
+
+
+def statements() -> dict[str, str]:
+    """The statement of every registered query of the library itself."""
+    out = _statements(RAW_EVENTS)
+    for name in ("attached_events", "anchor_sessions", "xg_by_side"):
+        out[f"{name}_cut_games"] = out[name]
+    for name in ("player_ratings", "rank_correlation"):
+        out[f"{name}_cut_table"] = out[name]
+    out["xg_by_side_stored_log"] = out["xg_by_side"]
+    gaps = _statements(GAPS)
+    out |= {f"{name}_gaps": gaps[name] for name in WITH_GAPS}
+    out |= {f"{name}_gaps_cut_games": gaps[name] for name in ("xg_by_side", "fis_scores")}
+    out["post_anchor_events_long_ids"] = _statements(LONG_IDS)["post_anchor_events"]
+    return out
+
+
+#: Queries that are also run on the log with gaps.
+WITH_GAPS = (
+    "post_anchor_events", "anchor_sessions", "anchor_registry", "xg_by_side", "territorial_delta",
+    "impact_leaderboard", "leaderboard_summary", "leaderboard_panel", "player_ratings", "rank_correlation",
+    "pair_adjacent", "sequence_xg", "sequence_outcomes", "fis_scores", "zone_impact", "outcome_report", "control_total",
+)
+
+
+def _statements(raw: str, min_fo: int = 15, min_rated: int = 50) -> dict[str, str]:
+    to_window = [raw, ATTACHED, WINDOWED]
     to_session = [*to_window, SESSIONED]
     to_registry = [*to_session, REGISTRY]
     to_facts = [*to_registry, FACTS]
@@ -321,10 +381,11 @@ def statements(min_fo: int = 15, min_rated: int = 50) -> dict[str, str]:
         "playerid, total_faceoffs, round(raw_win_rate, 4) + 0.0::DOUBLE AS raw_win_rate, "
         "round(bayes_win_rate, 4) + 0.0::DOUBLE AS bayes_win_rate, round(FIS_per_fo, 4) + 0.0::DOUBLE AS FIS_per_fo"
     )
+    whole = "CASE WHEN count(*) = count(score) THEN corr({}, fis) END"
     ranked = """ranked AS (
 SELECT rank() OVER (ORDER BY raw_win_rate) + (count(*) OVER (PARTITION BY raw_win_rate) - 1) / 2 AS raw,
        rank() OVER (ORDER BY bayes_win_rate) + (count(*) OVER (PARTITION BY bayes_win_rate) - 1) / 2 AS bay,
-       rank() OVER (ORDER BY FIS_per_fo) + (count(*) OVER (PARTITION BY FIS_per_fo) - 1) / 2 AS fis
+       rank() OVER (ORDER BY FIS_per_fo) + (count(*) OVER (PARTITION BY FIS_per_fo) - 1) / 2 AS fis, FIS_per_fo AS score
 FROM rated)"""
     out = {
         "attached_events": _with(
@@ -385,7 +446,7 @@ FROM rated)"""
         ),
         "rank_correlation": _with(
             [*to_rated, ranked],
-            f"SELECT {_f('corr(raw, fis)', 'cor_raw')}, {_f('corr(bay, fis)', 'cor_bay')} FROM ranked",
+            f"SELECT {_f(whole.format('raw'), 'cor_raw')}, {_f(whole.format('bay'), 'cor_bay')} FROM ranked",
         ),
         "ratings_panel": _with(
             [*to_rated, rating_panel],
@@ -416,7 +477,7 @@ FROM rated)"""
         ),
         "zone_impact": _with(
             to_scores,
-            "SELECT my_zon, round(avg(fis_score), 4) + 0.0::DOUBLE AS Avg_FIS, count(*) / 2 AS Antal_Fysiska_Tekningar "
+            "SELECT my_zon, CASE WHEN count(*) = count(fis_score) THEN round(avg(fis_score), 4) + 0.0::DOUBLE END AS Avg_FIS, count(*) / 2 AS Antal_Fysiska_Tekningar "
             "FROM scores GROUP BY my_zon",
         ),
         "outcome_report": _with(
@@ -432,8 +493,4 @@ FROM rated)"""
             "(SELECT count(*) / 2 AS expected FROM paired) e",
         ),
     }
-    for name in ("attached_events", "anchor_sessions", "xg_by_side"):
-        out[f"{name}_cut_games"] = out[name]
-    for name in ("player_ratings", "rank_correlation"):
-        out[f"{name}_cut_table"] = out[name]
     return out

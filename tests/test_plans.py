@@ -59,8 +59,8 @@ def test_size_check_reads_one_column(events, spark):
 def test_large_games_are_spread(spark, events, small_blocks):
     small_blocks(20)
     split = sequences.split_games(events)
-    sessioned = sequences.anchor_sessions(
-        sequences.window_after_anchor(sequences.attach_anchor(events, split, number=False)), split
+    sessioned = sequences.sessions_in_blocks(
+        sequences.window_after_anchor(sequences.attach_in_blocks(events, split, number=False)), split
     )
     assert "_block" in sessioned.columns
     text = plan(sessioned)
@@ -71,6 +71,24 @@ def test_large_games_are_spread(spark, events, small_blocks):
         assert "_block" in window[0] or window[1] == "_block"
 
 
+def test_large_games_cost_two_scans(spark, events, small_blocks):
+    """Cut points and what crosses blocks are made before, so the result reads the log once and its tails once."""
+    small_blocks(20)
+    facts = jobs.session_facts(events)
+    facts.collect()
+    text = plan(facts)
+    final = text[: text.index("== Initial Plan ==")] if "== Initial Plan ==" in text else text
+    assert len(re.findall(r"FileScan parquet", final)) <= 2
+    # The other exchanges are of tables with one row per block.
+    assert len(re.findall(r"Exchange hashpartitioning\(gameid#\d+, _block", final)) <= 2
+
+
+def test_zone_report_gathers_events_once(spark, events):
+    report = jobs.zone_report(jobs.post_anchor_events(events, split=None))
+    for table in (report.scores, report.control_total, report.outcome_report):
+        assert "FileScan" not in plan(table)
+
+
 def test_top_k_is_limited_before_the_shuffle(spark, events):
     from anchorwake.operators import panels
 

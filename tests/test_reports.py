@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from logs import event, frame, tiny
+from logs import attach, event, frame, pairs, random_log, tiny, window
 from pyspark.sql import functions as F
 
 from anchorwake.operators import outcomes, pairing, panels, ratings, registry, sequences
@@ -287,3 +287,65 @@ def test_rating_report(facts):
     ]
     counts = ratings.rating_counts(facts, out.rated).first()
     assert (counts.n_registry, counts.n_rated) == (4, 2)
+
+
+@pytest.mark.parametrize("rows_per_block", [None, 9])
+def test_sequences_without_their_anchor_row_are_in_no_report(spark, small_blocks, rows_per_block):
+    """The second anchor has no period, so the filter takes it out while its shot stays."""
+    if rows_per_block:
+        small_blocks(rows_per_block)
+    rows = [event(0, 0, "faceoff"), event(1, 0, "faceoff", "failed", team=2, period=None), event(2, 4, "shot", xg=0.5)]
+    windowed = jobs.post_anchor_events(frame(spark, rows))
+    report = jobs.zone_report(windowed)
+    assert report.scores.count() == pairing.paired_registry(windowed).count() == 0
+    assert report.control_total.first().ok
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+@pytest.mark.parametrize("rows_per_block", [None, 9])
+def test_scores_against_walking_the_log(spark, small_blocks, seed, rows_per_block):
+    if rows_per_block:
+        small_blocks(rows_per_block)
+    log = random_log(seed)
+    kept = window(attach(log))
+    joins = pairs(kept)
+    expected = {}
+    for r in kept:
+        sid = r["faceoff_sequence_id"]
+        if r["eventname"] != "faceoff" or sid not in joins:
+            continue
+        xg = [0.0, 0.0]
+        for e in kept:
+            if e["faceoff_sequence_id"] == joins[sid] and e["eventname"] in ("shot", "goal") and r["outcome"] == "successful":
+                if e["teamid"] is not None and r["teamid"] is not None and e["xg_allattempts"] is not None:
+                    xg[e["teamid"] != r["teamid"]] += e["xg_allattempts"]
+        expected[sid] = (r["teamid"], round(xg[0] - xg[1] if r["outcome"] == "successful" else xg[1] - xg[0], 9))
+    report = jobs.zone_report(jobs.post_anchor_events(frame(spark, log)))
+    found = {r.faceoff_sequence_id: (r.teamid, round(r.reward, 9)) for r in report.scores.collect()}
+    assert found == expected and report.control_total.first().ok
+
+
+def test_stored_log_keeps_its_horizon(spark):
+    rows = [event(0, 0, "faceoff"), event(1, 0, "faceoff", "failed", team=2), event(2, 15, "shot", xg=0.5)]
+    windowed = jobs.post_anchor_events(frame(spark, rows), horizon=20)
+    assert [r.xg_winner for r in jobs.facts_from_windowed(windowed).collect()] == [0.5]
+
+
+def test_minimum_of_every_zone_is_needed(spark):
+    people = registry.participants_long(jobs.session_facts(frame(spark, tiny())))
+    with pytest.raises(ValueError, match="Neutral Zone"):
+        ratings.impact_leaderboard(people, {"Offensive Zone": 1, "Defensive Zone": 1})
+
+
+def test_players_without_a_score_come_last(spark):
+    board = spark.createDataFrame([("z", i, None if i > 2 else float(i)) for i in range(1, 5)], "player_zone string, playerid int, impact_score double")
+    panel = panels.leaderboard_panel(board, k=4).orderBy("display_pos").collect()
+    assert [(r.playerid, r.sign_class) for r in panel] == [(1, "positive"), (2, "positive"), (3, None), (4, None)]
+    short = panels.leaderboard_panel(board, k=1).collect()
+    assert {(r.playerid, r.src) for r in short} == {(1, "bottom"), (2, "top")}
+
+
+def test_checked_log(spark):
+    log = jobs.checked_log(frame(spark, [event(0, 0, "faceoff"), event(1, None, "pass")]))
+    assert (log.complete.count(), log.incomplete.count()) == (1, 1)
+    assert jobs.sequence_counts(jobs.post_anchor_events(log.complete)).first().n_sequences == 1

@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 from logs import attach, event, frame, pairs, random_log, sessions, tiny, window
 
 from anchorwake.operators import pairing, sequences
-from anchorwake.operators.ordering import BLOCK, find_split, starts_by_key
+from anchorwake.operators.ordering import BLOCK, find_split, key_sizes, starts_by_key
 from anchorwake.plans import jobs
 from anchorwake.sources.settle import settle
 
@@ -64,14 +65,15 @@ def test_against_walking_the_log(spark, small_blocks, seed, rows_per_block):
     events = frame(spark, log).repartition(5)
     names = ("faceoff_sequence_id", "faceoff_time", "faceoff_period")
     attached = settle(sequences.attach_anchor(events))
-    assert (BLOCK in attached.columns) == (rows_per_block is not None)
+    assert attached.columns == [*events.columns, *names]
     assert by_row(attached, *names) == {r["row_pos"]: tuple(r[n] for n in names) for r in expected}
     windowed = settle(sequences.window_after_anchor(attached))
     assert set(by_row(windowed, "period")) == {r["row_pos"] for r in kept}
     found = by_row(sequences.anchor_sessions(windowed), "physical_faceoff_id")
     assert {k: v[0] for k, v in found.items()} == sessions(kept)
-    # Also from a stored log, which has no block column.
-    found = by_row(sequences.anchor_sessions(sequences.plain(windowed)), "physical_faceoff_id")
+    blocked = sequences.window_after_anchor(sequences.attach_in_blocks(events))
+    assert (BLOCK in blocked.columns) == (rows_per_block is not None)
+    found = by_row(sequences.anchor_sessions(blocked), "physical_faceoff_id")
     assert {k: v[0] for k, v in found.items()} == sessions(kept)
     joined = pairing.paired_registry(windowed).collect()
     assert {r.faceoff_sequence_id: r.join_id for r in joined} == pairs(kept)
@@ -102,13 +104,45 @@ def test_no_split_when_games_are_small(spark):
     assert find_split(events.limit(0), ("gameid",), ("row_pos",)) is None
 
 
-def test_starts_by_key_over_groups_and_negative_keys(spark):
+def test_starts_by_key_in_blocks_and_with_negative_keys(spark, small_blocks):
     keys = [-70_000, -1, 0, 0, 65_535, 65_536, 65_536, 200_000]
     df = spark.createDataFrame([(k,) for k in keys], "gameid int")
-    got = {r.gameid: r._start for r in starts_by_key(df, "gameid").collect()}
-    assert got == {-70_000: 0, -1: 1, 0: 2, 65_535: 4, 65_536: 5, 200_000: 7}
-    with pytest.raises(TypeError):
-        starts_by_key(df.selectExpr("CAST(gameid AS BIGINT) AS gameid"), "gameid")
+    expected = {-70_000: 0, -1: 1, 0: 2, 65_535: 4, 65_536: 5, 200_000: 7}
+    for rows_per_block in (None, 2):
+        if rows_per_block:
+            small_blocks(rows_per_block)
+        got = {r.gameid: r._start for r in starts_by_key(key_sizes(df, ("gameid",)), "gameid").collect()}
+        assert got == expected
+
+
+@pytest.mark.parametrize("rows_per_block", [None, 9])
+@pytest.mark.parametrize("change", ["CAST(gameid AS BIGINT) + 3000000000", "concat('g', lpad(gameid, 9, '0'))"])
+def test_ids_of_any_type(spark, small_blocks, change, rows_per_block):
+    """BIGINT and text games give the rows and numbers of INT games in the same order."""
+    events = frame(spark, random_log(4))
+    expected = by_row(jobs.post_anchor_events(events), "faceoff_sequence_id", "faceoff_time")
+    facts = sorted(tuple(r)[1:] for r in jobs.session_facts(events).drop("gameid").collect())
+    if rows_per_block:
+        small_blocks(rows_per_block)
+    other = events.withColumns({"gameid": F.expr(change), "teamid": F.expr("concat('T', teamid)")})
+    assert by_row(jobs.post_anchor_events(other), "faceoff_sequence_id", "faceoff_time") == expected
+    assert jobs.session_facts(other).count() == len(facts)
+
+
+@pytest.mark.parametrize("rows_per_block", [4, 20])
+def test_missing_times_in_blocks(spark, small_blocks, rows_per_block):
+    """Sessions do not depend on where a game is cut, also between rows without a time."""
+    rows = [event(i, i if i < 6 else None, "faceoff") for i in range(24)]
+    rows += [event(100 + i, i // 3 if i % 4 else None, "faceoff" if i % 3 else "pass", game=2) for i in range(40)]
+    events = frame(spark, rows)
+    whole, attached = (by_row(f(events), *n) for f, n in ((sequences.anchor_sessions, ["physical_faceoff_id"]), (sequences.attach_anchor, ["faceoff_sequence_id", "faceoff_time"])))
+    columns = sequences.attach_anchor(events).schema, sequences.anchor_sessions(events).schema
+    assert sorted({v[0] for k, v in whole.items() if k < 100}) == [1, 2, 3, 4, 5, 6]
+    small_blocks(rows_per_block)
+    assert sequences.split_games(events) is not None
+    assert by_row(sequences.anchor_sessions(events), "physical_faceoff_id") == whole
+    assert by_row(sequences.attach_anchor(events), "faceoff_sequence_id", "faceoff_time") == attached
+    assert (sequences.attach_anchor(events).schema, sequences.anchor_sessions(events).schema) == columns
 
 
 def test_pairs_across_an_id_range(spark):

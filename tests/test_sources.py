@@ -31,7 +31,7 @@ def test_csv_keeps_order_types_and_unknown_columns(spark, tmp_path, blank):
     write_csv(tmp_path / "log.csv", rows, blank)
     df = io.read_events_csv(spark, str(tmp_path / "log.csv"))
     assert df.columns[-2:] == ["extra", "row_pos"]
-    assert dict(df.dtypes)["gameid"] == "int" and dict(df.dtypes)["compiledgametime"] == "double"
+    assert dict(df.dtypes)["gameid"] == "bigint" and dict(df.dtypes)["compiledgametime"] == "double"
     assert content(df) == expected(rows)
 
 
@@ -94,6 +94,71 @@ def test_parquet_without_order_column_or_with_nan(spark, tmp_path):
     assert three.select("row_pos").distinct().count() == 50
 
 
+def _csv(tmp_path, text):
+    (tmp_path / "x.csv").write_text(text)
+    return str(tmp_path / "x.csv")
+
+
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    path = _csv(tmp_path, 'gameid,eventname,note,period\n1,pass,"said ""hi, there"" ok",1\n2,pass,"two\nlines",2\n3,pass,,\n')
+    rows = io.read_events_csv(spark, path, multi_line=True).orderBy("row_pos").collect()
+    assert [tuple(r)[:4] for r in rows] == [
+        (1, "pass", 'said "hi, there" ok', 1), (2, "pass", "two\nlines", 2), (3, "pass", None, None),
+    ]
+
+
+def test_csv_with_surplus_fields_or_unreadable_values(spark, tmp_path):
+    good = "gameid,teamid,period,compiledgametime\n3000000001,1,1,1.5\n7,2.0,,\n8,1\n"
+    df = io.read_events_csv(spark, _csv(tmp_path, good))
+    assert [tuple(r)[:4] for r in df.orderBy("row_pos").collect()] == [(3000000001, 1, 1, 1.5), (7, 2, None, None), (8, 1, None, None)]
+    for bad in ("9,1,1,1,5", "9,T2,1,1", "9,1,12.7,1", "9,1,1,1d", "9,1,1,oops", "x,1,1,1"):
+        path = _csv(tmp_path, good + bad + "\n")
+        with pytest.raises(Exception, match="cannot read|more fields"):
+            io.read_events_csv(spark, path).collect()
+        with pytest.raises(Exception, match="cannot read|more fields"):
+            io.read_events_csv(spark, path).select("gameid", "teamid", "period", "compiledgametime").count() and io.read_events_csv(spark, path).select(
+                "gameid", "teamid", "period", "compiledgametime"
+            ).collect()
+        assert io.read_events_csv(spark, path, unreadable="skip").count() == 3
+        rejected = io.rejected_events_csv(spark, path).collect()
+        assert len(rejected) == 1 and rejected[0].gameid in ("9", "x") and rejected[0].reason
+    text = io.read_events_csv(spark, _csv(tmp_path, good + "g9,T2,1,1\n"), id_type="string")
+    assert {r.gameid for r in text.collect()} == {"3000000001", "7", "8", "g9"}
+    with pytest.raises(ValueError):
+        io.read_events_csv(spark, path, id_type="float")
+
+
+def test_files_are_read_back_by_others(spark, tmp_path):
+    import pandas as pd
+
+    rows = [event(0, 0, "faceoff"), event(1, 1, 'said "hi, x"'), event(2, 2, "pass")]
+    io.write_events(jobs.post_anchor_events(frame(spark, rows)), str(tmp_path / "out"))
+    got = pd.concat(pd.read_csv(f) for f in sorted((tmp_path / "out").glob("*.csv")))
+    assert sorted(got.eventname) == sorted(r["eventname"] for r in rows)
+
+
+def test_order_has_one_type(spark, tmp_path):
+    rows = [event(i, 0, "pass") for i in range(6)]
+    write_csv(tmp_path / "a.csv", rows)
+    one = dict(io.read_events_csv(spark, str(tmp_path / "a.csv")).dtypes)["row_pos"]
+    write_csv(tmp_path / "b.csv", rows)
+    assert dict(io.read_events_csv(spark, str(tmp_path / "*.csv")).dtypes)["row_pos"] == one
+
+
+def test_parquet_columns_are_checked(spark, tmp_path):
+    log = frame(spark, [event(0, 0, "pass", x=float("nan")), event(1, 1, "pass", period=2)])
+    log.withColumns({"xadjcoord": log.xadjcoord.cast("float"), "period": log.period.cast("bigint")}).write.parquet(str(tmp_path / "p"))
+    read = io.read_events_parquet(spark, str(tmp_path / "p"))
+    assert dict(read.dtypes)["xadjcoord"] == "double" and dict(read.dtypes)["period"] == "int"
+    assert [r.xadjcoord for r in read.orderBy("row_pos").collect()] == [None, 0.0]
+    log.withColumn("period", log.period + 0.5).write.parquet(str(tmp_path / "q"))
+    with pytest.raises(Exception, match="period"):
+        io.read_events_parquet(spark, str(tmp_path / "q")).collect()
+    log.drop("teamid").write.parquet(str(tmp_path / "r"))
+    with pytest.raises(ValueError, match="teamid"):
+        io.read_events_parquet(spark, str(tmp_path / "r"))
+
+
 def test_ratings_file_is_sorted(spark, tmp_path):
     facts = jobs.session_facts(frame(spark, tiny()))
     export = ratings.ratings_export(ratings.classify_players(jobs.rated_table(facts, 1)))

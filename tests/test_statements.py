@@ -8,7 +8,8 @@ import pytest
 import __spark_entry__ as spark_entry
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES, STATEMENTS = spark_entry.queries(), spark_entry.oracle_sql()
+STATEMENTS = spark_entry.statements()
+QUERIES = {name: query for name, query in spark_entry.queries().items() if name in spark_entry._QUERIES}
 
 
 @pytest.fixture(scope="module")
