@@ -63,6 +63,13 @@ _OUTSIDE = (
 _INSIDE = ("p", "h1", "h2", "h3", "li", "ul", "ol", "blockquote", "pre", "table", "tr", "td", "th", "dl", "dd", "dt", "figure", "figcaption", "section", "tbody", ".content", ".post", ".entry", ".story", ".text", ".body")
 
 
+#: In which surroundings they stay outside.
+_AROUND_OUTSIDE = (
+    (), ("p",), ("h2",), ("ul", "li"), ("article", "p"), ("article", "section"), ("main",), ("section",), (".content", ".post"),
+    (".content", ".article", "p"), (".body", ".entry"), (".story", ".text"),
+)
+
+
 class Word(NamedTuple):
     """Text between two tags: its words joined by single spaces, its block and its surroundings."""
 
@@ -180,9 +187,11 @@ def fit(pages: list[str]) -> PageModel:
     scale = 500 / total if total else 1.0
     data = [(around, 1.0 if inside else 0.0, n * scale) for (around, inside), n in examples.items()]
     for name in _OUTSIDE:
-        data += [(frozenset({name, *more}), 0.0, 5.0) for more in ((), ("p",), ("h2",), ("ul", "li"), ("article", "p"), ("main",), ("section",))]
+        data += [(frozenset({name, *more}), 0.0, 5.0) for more in _AROUND_OUTSIDE]
     for name in _INSIDE:
         data += [(frozenset({name}), 1.0, 3.0), (frozenset({name, "article"}), 1.0, 6.0), (frozenset({name, "main"}), 1.0, 2.0)]
+        data += [(frozenset({name, ".content", ".post"}), 1.0, 3.0), (frozenset({name, ".body", ".entry", ".story", ".text"}), 1.0, 3.0)]
+    data += [(frozenset({"p"}), 1.0, 30.0), (frozenset(), 1.0, 10.0)]
     weights: dict[str, float] = {}
     slopes: dict[str, float] = {}
     bias = 0.0
