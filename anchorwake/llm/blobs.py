@@ -1,10 +1,11 @@
 """Shuffles of many small records as columns of packed arrays.
 
 A task deals its records into buckets and sends one row per bucket, whose binary columns
-hold the values of all its records. Spark partitions, shuffles, sorts and retries these
-rows like any others; a record takes the bytes of its values, and neither a row header nor
-a conversion each. A bucket is read by one task, so the number of buckets follows the size
-of the input and every bucket stays small.
+hold the values of all its records. Spark partitions, shuffles and retries these rows like
+any others; a record takes the bytes of its values, and neither a row header nor a
+conversion each. A bucket is a partition of the shuffle and is read by one task, so their
+number follows the size of the input and every bucket stays small. There are never more
+rows than records.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 
 from anchorwake.llm.texts import U64, mix
 
-COLUMNS = ("a", "b", "c", "d")
-SCHEMA = "kind int, bucket int, " + ", ".join(f"{c} binary" for c in COLUMNS)
-_PER_PARTITION = 16 << 20  # bytes of text behind one partition
-_BUCKETS = 3  # to a partition, which evens out their sizes
+SCHEMA = "bucket int, data binary"
+_PER_PARTITION = 32 << 20  # bytes of text behind one partition
+
+#: Records of one kind: a number for it, the bucket of each, and their columns of 64-bit values.
+Section = tuple[int, np.ndarray, tuple[np.ndarray, ...]]
 
 
 def partitions(docs: DataFrame, text: str = "text") -> int:
@@ -31,68 +33,75 @@ def partitions(docs: DataFrame, text: str = "text") -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / _PER_PARTITION))
 
 
-def bucket_of(key: np.ndarray, parts: int) -> np.ndarray:
-    """The bucket of each key."""
-    return ((mix(key.view(U64) + U64(99)) >> U64(32)) * U64(parts * _BUCKETS) >> U64(32)).astype(np.int32)
+def by_key(kind: int, key: np.ndarray, parts: int, *columns: np.ndarray) -> Section:
+    """A section whose records with the same ``key`` go to the same bucket."""
+    bucket = ((mix(key.view(U64) + U64(99)) >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32)
+    return kind, bucket, columns
 
 
-def deal(kind: int, bucket: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Records of up to four 64-bit columns as one row per bucket.
+def deal(parts: int, data: list[Section], **more: list[Section]) -> Iterator[pa.RecordBatch]:
+    """One row per bucket: its records of the sections in ``data``, and of those in further columns.
 
     Bytes of equal weight stand together: the upper ones of small numbers are zeros, which
     the compression of the shuffle takes away.
     """
-    if not len(bucket):
-        return
-    order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(parts * _BUCKETS + 1))
-    full = np.flatnonzero(np.diff(ends))
-    packed = []
-    for column in columns:
-        values = np.ascontiguousarray(column[order].view(np.int64))
-        packed.append(pa.array([values[ends[i] : ends[i + 1]].view(np.uint8).reshape(-1, 8).T.tobytes() for i in full], pa.binary()))
-    packed += [pa.nulls(len(full), pa.binary())] * (len(COLUMNS) - len(columns))
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), kind, np.int32)), pa.array(full.astype(np.int32)), *packed], ["kind", "bucket", *COLUMNS])
+    columns = {"data": data, **more}
+    packed = {name: [b""] * parts for name in columns}
+    for name, sections in columns.items():
+        for kind, bucket, values in sections:
+            if not len(bucket):
+                continue
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(parts + 1))
+            held = [np.ascontiguousarray(v[order].view(np.int64)) for v in values]
+            for i in np.flatnonzero(np.diff(ends)):
+                head = np.array([kind, len(held), ends[i + 1] - ends[i]], np.int64).tobytes()
+                packed[name][i] += head + b"".join(v[ends[i] : ends[i + 1]].view(np.uint8).reshape(-1, 8).T.tobytes() for v in held)
+    full = [i for i in range(parts) if any(packed[name][i] for name in columns)]
+    if full:
+        arrays = [pa.array([packed[name][i] or None for i in full], pa.binary()) for name in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *arrays], ["bucket", *columns])
 
 
 def exchanged(df: DataFrame, parts: int) -> DataFrame:
-    """The rows of each bucket in one task, bucket after bucket."""
-    return df.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    """The rows of each bucket as one partition; of one binary column."""
+    return df.repartitionById(parts, "bucket")
 
 
 class Records:
     """The records of one bucket, by kind."""
 
     def __init__(self):
-        self._held: dict[int, list] = {}
-
-    def add(self, kind: int, blobs: list[bytes | None]) -> None:
-        self._held.setdefault(kind, []).append(blobs)
+        self._held: dict[int, list[list[np.ndarray]]] = {}
+
+    def add(self, data: pa.Buffer) -> None:
+        at = 0
+        while at < data.size:
+            kind, columns, n = np.frombuffer(data, np.int64, 3, at)
+            at += 24
+            values = []
+            for _ in range(columns):
+                values.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, n).T).view(np.int64).ravel())
+                at += 8 * int(n)
+            self._held.setdefault(int(kind), []).append(values)
 
     def of(self, kind: int, columns: int) -> list[np.ndarray]:
-        """The first ``columns`` columns of a kind."""
-        held = self._held.get(kind, ())
+        """The columns of a kind."""
+        held = self._held.get(kind)
         if not held:
             return [np.zeros(0, np.int64)] * columns
-        return [np.concatenate([_unpacked(blobs[i]) for blobs in held]) for i in range(columns)]
-
-
-def _unpacked(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+        return [np.concatenate([values[i] for values in held]) for i in range(columns)]
 
 
 def buckets(parts: Iterator[pa.RecordBatch]) -> Iterator[Records]:
-    """The buckets of a partition, one after the other."""
-    last, records = None, Records()
+    """The records of a partition: one bucket, or none."""
+    records, found = Records(), False
     for part in parts:
-        kinds, numbers = part.column(0).to_pylist(), part.column(1).to_pylist()
-        for i, (kind, number) in enumerate(zip(kinds, numbers, strict=True)):
-            if number != last:
-                if last is not None:
-                    yield records
-                last, records = number, Records()
-            records.add(kind, [part.column(2 + c)[i].as_buffer() if part.column(2 + c)[i].is_valid else None for c in range(len(COLUMNS))])
-    if last is not None:
+        for data in part.column(1):
+            if data.is_valid:
+                found = True
+                records.add(data.as_buffer())
+    if found:
         yield records
 
 

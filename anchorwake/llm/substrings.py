@@ -42,13 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorwake.llm.blobs import SCHEMA, bucket_of, buckets, deal, exchanged, partitions, per_key
+from anchorwake.llm.blobs import SCHEMA, buckets, by_key, deal, exchanged, partitions, per_key
 from anchorwake.llm.store import stored
 from anchorwake.llm.texts import U64, Slice, batches, mix, prefix_sums, range_hash, signed, slices
 
 WORD = 16  # bytes that decide on a trigger
 SPACING = 26  # mean distance of triggers
-_CHUNK = 24 << 20  # bytes of text that a task counts together
+_CHUNK = 12 << 20  # bytes of text that a task counts together
 _OFTEN = 64  # records of one value that a task sends one by one
 _NO_BOUND, _ONE = -1, -2  # of a string to compare: no phrase after it is known to be unique; it has no phrase
 
@@ -145,7 +145,7 @@ def _phrase_records(width: int, spacing: int, parts: int):
     """Phrases and bare strings of all texts, dealt by hash: ``0`` hash, id, place; ``1`` hash of one that is frequent
     here; ``2`` hash, id, place of its records, dealt by place."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def phrases(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches(rows, "text", _CHUNK):
             keys, ids, places = [], [], []
             for batch in table.to_batches():
@@ -164,18 +164,23 @@ def _phrase_records(width: int, spacing: int, parts: int):
             k, i, at = np.concatenate(keys), np.concatenate(ids).astype(np.int64), np.concatenate(places)
             order, new, size = _grouped(k)
             few, often = order[size <= _OFTEN], order[size > _OFTEN]
-            yield from deal(0, bucket_of(k[few], parts), parts, k[few], i[few], at[few])
             mark = k[order[new & (size > _OFTEN)]]
-            yield from deal(1, bucket_of(mark, parts), parts, mark)
-            yield from deal(2, bucket_of(_spread(i[often], at[often]), parts), parts, k[often], i[often], at[often])
+            yield from deal(
+                parts,
+                [
+                    by_key(0, k[few], parts, k[few], i[few], at[few]),
+                    by_key(1, mark, parts, mark),
+                    by_key(2, _spread(i[often], at[often]), parts, k[often], i[often], at[often]),
+                ],
+            )
 
-    return run
+    return phrases
 
 
 def _repeated_phrases(parts: int):
     """The records whose value occurs more than once, dealt by id: ``0`` id, place, hash."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def repeated_phrases(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for records in buckets(rows):
             k, ids, at = records.of(0, 3)
             (marks,) = records.of(1, 1)
@@ -185,9 +190,9 @@ def _repeated_phrases(parts: int):
             kept = np.concatenate([kept, alone[np.isin(k[alone], marks)]])
             more = records.of(2, 3)
             k, ids, at = (np.concatenate([x[kept], y]) for x, y in zip((k, ids, at), more, strict=True))
-            yield from deal(0, bucket_of(ids, parts), parts, ids, at, k)
+            yield from deal(parts, [by_key(0, ids, parts, ids, at, k)])
 
-    return run
+    return repeated_phrases
 
 
 def _bucket_records(width: int, parts: int):
@@ -199,16 +204,17 @@ def _bucket_records(width: int, parts: int):
     """
     span = width - WORD
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse_suffixes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for records in buckets(rows):
             ids, at, h = records.of(0, 3)
             order = np.lexsort((at, ids))
             ids, h, place, length = ids[order], h[order], at[order] >> 8, at[order] & 255
             bare = length == 0
             n = int(bare.sum())
-            yield from deal(1, bucket_of(ids[bare], parts), parts, ids[bare], place[bare], np.full(n, _ONE, np.int64))
+            alone = by_key(1, ids[bare], parts, ids[bare], place[bare], np.full(n, _ONE, np.int64))
             ids, h, place, length = (x[~bare] for x in (ids, h, place, length))
             if not len(ids):
+                yield from deal(parts, [alone])
                 continue
             end, k = place + length, np.arange(len(ids))
             follows = np.zeros(len(ids), bool)
@@ -225,24 +231,31 @@ def _bucket_records(width: int, parts: int):
             own, value, a = ids[in_], place[in_] << 8 | before, h[in_]
             order, new, size = _grouped(e)
             few = order[size <= _OFTEN]
-            yield from deal(0, bucket_of(e[few], parts), parts, e[few], a[few], own[few], value[few])
             often = size > _OFTEN
             mark, rest = order[new & often], order[~new & often]
-            yield from deal(2, bucket_of(e[mark], parts), parts, e[mark], a[mark], own[mark], value[mark])
-            yield from deal(3, bucket_of(_spread(own[rest], value[rest]), parts), parts, own[rest], value[rest])
             out = k[~settled]
-            yield from deal(1, bucket_of(ids[out], parts), parts, ids[out], place[out], end[last[out]])
             entries = np.unique(h[out])
-            yield from deal(4, bucket_of(entries, parts), parts, entries)
+            yield from deal(
+                parts,
+                [
+                    alone,
+                    by_key(0, e[few], parts, e[few], a[few], own[few], value[few]),
+                    by_key(1, ids[out], parts, ids[out], place[out], end[last[out]]),
+                    by_key(2, e[mark], parts, e[mark], a[mark], own[mark], value[mark]),
+                    by_key(3, _spread(own[rest], value[rest]), parts, own[rest], value[rest]),
+                    by_key(4, entries, parts, entries),
+                ],
+            )
 
-    return run
+    return parse_suffixes
 
 
 def _settled(parts: int):
-    """Kinds ``0`` id, place of settled strings; ``1`` id, place, bound to compare, all dealt by id; ``2`` phrase, id,
-    place of an example of each settled bucket and ``3`` phrases of strings to compare, dealt by phrase."""
+    """``data``: ``0`` id, place of settled strings, dealt by id; ``asked``: ``1`` id, place, bound to compare, dealt by
+    id; ``entries``: ``2`` phrase, id, place of an example of each settled bucket and ``3`` phrases of strings to
+    compare, dealt by phrase."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for records in buckets(rows):
             e, a, ids, value = (np.concatenate(x) for x in zip(records.of(2, 4), records.of(0, 4), strict=True))
             sure = np.zeros(len(e), np.int64)
@@ -257,29 +270,31 @@ def _settled(parts: int):
             done, example, open_ = order[held], order[held & new], order[~held]
             more = records.of(3, 2)
             i, v = np.concatenate([ids[done], more[0]]), np.concatenate([value[done], more[1]])
-            yield from deal(0, bucket_of(i, parts), parts, i, v)
-            yield from deal(2, bucket_of(a[example], parts), parts, a[example], ids[example], value[example] >> 8)
             old = records.of(1, 3)
-            i = np.concatenate([ids[open_], old[0]])
+            q = np.concatenate([ids[open_], old[0]])
             p = np.concatenate([value[open_] >> 8, old[1]])
             r = np.concatenate([np.full(len(open_), _NO_BOUND, np.int64), old[2]])
-            yield from deal(1, bucket_of(i, parts), parts, i, p, r)
             entries = np.unique(np.concatenate([a[open_], records.of(4, 1)[0]]))
-            yield from deal(3, bucket_of(entries, parts), parts, entries)
+            yield from deal(
+                parts,
+                [by_key(0, i, parts, i, v)],
+                asked=[by_key(1, q, parts, q, p, r)],
+                entries=[by_key(2, a[example], parts, a[example], ids[example], value[example] >> 8), by_key(3, entries, parts, entries)],
+            )
 
-    return run
+    return settled
 
 
 def _examples(parts: int):
     """Examples of settled buckets that share a phrase with strings to compare, as such: ``1`` id, place, bound."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def examples(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for records in buckets(rows):
             a, ids, place = records.of(2, 3)
             met = np.isin(a, records.of(3, 1)[0])
-            yield from deal(1, bucket_of(ids[met], parts), parts, ids[met], place[met], np.full(int(met.sum()), _NO_BOUND, np.int64))
+            yield from deal(parts, [by_key(1, ids[met], parts, ids[met], place[met], np.full(int(met.sum()), _NO_BOUND, np.int64))])
 
-    return run
+    return examples
 
 
 def _questions(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +308,7 @@ def _string_records(width: int, spacing: int, parts: int):
     """Strings to compare, dealt by hash: ``0`` hash, check, id, place; ``1`` hash, check of one that is frequent here;
     ``2`` id, place of its records, dealt by place."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def strings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches(rows, "text", _CHUNK):
             found: list[tuple] = []
             for batch in table.to_batches():
@@ -317,18 +332,23 @@ def _string_records(width: int, spacing: int, parts: int):
             k, c, ids, at = (np.concatenate(x) for x in zip(*found, strict=True))
             order, new, size = _grouped(c, k)
             few, often = order[size <= _OFTEN], order[size > _OFTEN]
-            yield from deal(0, bucket_of(k[few], parts), parts, k[few], c[few], ids[few], at[few])
             mark = order[new & (size > _OFTEN)]
-            yield from deal(1, bucket_of(k[mark], parts), parts, k[mark], c[mark])
-            yield from deal(2, bucket_of(_spread(ids[often], at[often]), parts), parts, ids[often], at[often])
+            yield from deal(
+                parts,
+                [
+                    by_key(0, k[few], parts, k[few], c[few], ids[few], at[few]),
+                    by_key(1, k[mark], parts, k[mark], c[mark]),
+                    by_key(2, _spread(ids[often], at[often]), parts, ids[often], at[often]),
+                ],
+            )
 
-    return run
+    return strings
 
 
 def _repeated_strings(parts: int):
     """Places of the strings that occur more than once, dealt by id: ``0`` id, place."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def repeated_strings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for records in buckets(rows):
             k, c, ids, at = records.of(0, 4)
             marks = records.of(1, 2)  # count twice, as they stand for several
@@ -336,9 +356,9 @@ def _repeated_strings(parts: int):
             order, _, size = _grouped(c, k)
             kept = order[(size > 1) & (order < len(ids))]
             i, p = np.concatenate([ids[kept], records.of(2, 2)[0]]), np.concatenate([at[kept], records.of(2, 2)[1]])
-            yield from deal(0, bucket_of(i, parts), parts, i, p << 8)
+            yield from deal(parts, [by_key(0, i, parts, i, p << 8)])
 
-    return run
+    return repeated_strings
 
 
 def _spans(width: int):
@@ -396,6 +416,10 @@ def _cleaned(width: int, keep_text: bool):
     return run
 
 
+def _column(settled: DataFrame, name: str) -> DataFrame:
+    return settled.where(F.col(name).isNotNull()).select("bucket", F.col(name).alias("data"))
+
+
 def remove_repeated(docs: DataFrame, width: int = 200, keep_text: bool = False, spacing: int = SPACING) -> DataFrame:
     """Remove every byte covered by a ``width``-byte string that also starts anywhere else.
 
@@ -411,25 +435,26 @@ def remove_repeated(docs: DataFrame, width: int = 200, keep_text: bool = False,
         rows = rows.withColumn("id", F.xxhash64("doc_id", "text"))
         texts = rows.select("id", "text").dropDuplicates(["id"])
     else:
-        # Both joins with the texts below have the same input, so they share one shuffle.
+        # Both joins with the texts below have the same input, so they share one shuffle. The other
+        # sides grow with the input, so they are not broadcast at any size.
         rows = texts = rows.withColumnRenamed("doc_id", "id").where("id IS NOT NULL")
     parts = partitions(rows)
 
     phrases = exchanged(texts.mapInArrow(_phrase_records(width, spacing, parts), SCHEMA), parts)
     repeated = exchanged(phrases.mapInArrow(_repeated_phrases(parts), SCHEMA), parts)
     entered = exchanged(repeated.mapInArrow(_bucket_records(width, parts), SCHEMA), parts)
-    settled = stored(entered.mapInArrow(_settled(parts), SCHEMA))
+    settled = stored(entered.mapInArrow(_settled(parts), SCHEMA + ", asked binary, entries binary"))
 
-    examples = exchanged(settled.where("kind IN (2, 3)"), parts).mapInArrow(_examples(parts), SCHEMA)
-    questions = exchanged(settled.where("kind = 1").unionByName(examples), parts).mapInArrow(_questions, "id long, asked binary")
-    strings = texts.join(questions, "id").select("id", "text", "asked").mapInArrow(_string_records(width, spacing, parts), SCHEMA)
+    examples = exchanged(_column(settled, "entries"), parts).mapInArrow(_examples(parts), SCHEMA)
+    questions = exchanged(_column(settled, "asked").unionByName(examples), parts).mapInArrow(_questions, "id long, asked binary")
+    strings = texts.join(questions.hint("merge"), "id").select("id", "text", "asked").mapInArrow(_string_records(width, spacing, parts), SCHEMA)
     alike = exchanged(strings, parts).mapInArrow(_repeated_strings(parts), SCHEMA)
-    spans = exchanged(settled.where("kind = 0").unionByName(alike), parts).mapInArrow(_spans(width), "id long, spans binary")
+    spans = exchanged(_column(settled, "data").unionByName(alike), parts).mapInArrow(_spans(width), "id long, spans binary")
 
     if twice:
         copies = rows.groupBy("id").agg(F.count("*").alias("copies"))
-        met = rows.join(spans, "id", "left").join(copies, "id").select("doc_id", "text", "spans", "copies")
+        met = rows.join(spans.hint("merge"), "id", "left").join(copies, "id").select("doc_id", "text", "spans", "copies")
     else:
-        met = rows.join(spans, "id", "left").select(F.col("id").alias("doc_id"), "text", "spans", F.lit(1).cast("long").alias("copies"))
+        met = rows.join(spans.hint("merge"), "id", "left").select(F.col("id").alias("doc_id"), "text", "spans", F.lit(1).cast("long").alias("copies"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     return met.mapInArrow(_cleaned(width, keep_text), schema)
