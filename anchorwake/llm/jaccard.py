@@ -10,7 +10,8 @@
    in pairs of blocks. A group numbers its tokens and builds a tree whose nodes hold the
    OR of their sets' token bitmaps and the range of their sizes. A dual traversal leaves out
    pairs of nodes whose largest possible overlap is too small, and pairs that are already
-   one component; bitmaps of leaves give the exact overlap.
+   one component; bitmaps of leaves give the exact overlap. No block is unbounded, and
+   blocks that are one component are not compared with each other.
 4. *Components* of the links, and of the copies behind each set.
 
 Token and set hashes have 64 and 128 bits. Defined results: a text of fewer words than
@@ -29,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorwake.llm.blobs import SCHEMA, bucket_of, buckets, deal, exchanged, partitions
+from anchorwake.llm.blobs import SCHEMA, buckets, by_key, deal, exchanged, partitions
 from anchorwake.llm.components import components
 from anchorwake.llm.store import stored
 from anchorwake.llm.texts import U64, batches, mix, shingles, slices, words
 
-_CHUNK = 32 << 20  # bytes of text whose signatures a task gathers before it sends them on
+_CHUNK = 12 << 20  # bytes of text whose signatures a task gathers before it sends them on
 _RATIO = 1.5  # of the sizes of a size class
 
 
@@ -133,8 +134,7 @@ def _candidates(size: int, threshold: Threshold, parts: int):
                         owners.append(np.full(len(found), own, np.int64))
             if keys:
                 k, a, pairs = _stars(np.concatenate(keys), np.concatenate(owners))
-                yield from deal(0, bucket_of(k, parts), parts, k, a)
-                yield from deal(1, bucket_of(pairs[0] ^ pairs[1], parts), parts, *pairs)
+                yield from deal(parts, [by_key(0, k, parts, k, a), by_key(1, pairs[0] ^ pairs[1], parts, *pairs)])
 
     return run
 
@@ -202,8 +202,8 @@ class SignatureTree:
             bits |= node[0]
         return bits, min(n[1] for n in nodes), max(n[2] for n in nodes), [i for n in nodes for i in n[3]], nodes
 
-    def join(self, threshold: Threshold, forest: _Forest, apart=None) -> list[tuple[int, int]]:
-        """Links that connect all linked sets. ``apart`` leaves out pairs for which it holds."""
+    def join(self, threshold: Threshold, forest: _Forest) -> list[tuple[int, int]]:
+        """Links that connect all linked sets."""
         found: list[tuple[int, int]] = []
         stack = [(self.root, self.root)] if self.root else []
         while stack:
@@ -227,7 +227,7 @@ class SignatureTree:
                     stack += [(x, c) for c in y[4]]
                 continue
             i, j = x[3][0], y[3][0]
-            if i != j and forest.find(i) != forest.find(j) and not (apart and apart(i, j)) and threshold.links(common, self.sizes[i], self.sizes[j]):
+            if i != j and forest.find(i) != forest.find(j) and threshold.links(common, self.sizes[i], self.sizes[j]):
                 forest.join(i, j)
                 found.append((i, j))
         return found
@@ -250,34 +250,38 @@ def _grams_of(size: int, places: list[str]):
 
 
 def _joined(threshold: Threshold):
+    """Links within the sets of each group; sets of one known component are not compared with each other."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by group: the sets of a group are together, at most two blocks of them."""
         group, held = None, []
         for part in parts:
-            rows = zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("cluster", "i", "j", "doc", "grams")), strict=True)
-            for cluster, i, j, doc, grams in rows:
+            rows = zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("cluster", "i", "j", "doc", "known", "grams")), strict=True)
+            for cluster, i, j, doc, known, grams in rows:
                 if (cluster, i, j) != group:
                     yield from linked(held)
                     group, held = (cluster, i, j), []
-                held.append((doc, np.frombuffer(grams, U64)))
+                held.append((doc, known, np.frombuffer(grams, U64)))
         yield from linked(held)
 
     def linked(held: list) -> Iterator[pa.RecordBatch]:
         if len(held) < 2:
             return
-        found = SignatureTree([g for _, g in held]).join(threshold, _Forest(len(held)))
+        forest, first = _Forest(len(held)), {}
+        for k, (_, known, _) in enumerate(held):
+            forest.join(k, first.setdefault(known, k))
+        found = SignatureTree([g for *_, g in held]).join(threshold, forest)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i, _ in found], pa.int64()), pa.array([held[j][0] for _, j in found], pa.int64())], ["a", "b"])
 
     return run
 
 
-def jaccard_components(docs: DataFrame, size: int = 3, threshold: Threshold | None = None, block: int = 600) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 3, threshold: Threshold | None = None, block: int = 400) -> DataFrame:
     """``doc_id, n_shingles, component_id, set_id`` for every row of ``docs``.
 
     ``set_id`` is the smallest id with the same set; sets with different ``set_id`` and the
     same ``component_id`` are linked by a chain. ``block`` is the number of sets that meet at
-    once: a larger cluster is cut into blocks, all pairs of which meet.
+    once: a larger cluster is cut into blocks (see ``_links_within``).
     """
     threshold = threshold or Threshold()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -296,11 +300,11 @@ def jaccard_components(docs: DataFrame, size: int = 3, threshold: Threshold | No
     )
 
 
-def keep_one(docs: DataFrame, size: int = 5, threshold: Threshold | None = None, block: int = 600) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, threshold: Threshold | None = None, block: int = 400) -> DataFrame:
     """The rows of ``docs`` without those linked with a smaller id, all columns; rows without an id stay."""
     found = jaccard_components(docs, size, threshold or Threshold(80, 100), block)
     dropped = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def _clusters(rows: DataFrame, size: int, threshold: Threshold) -> DataFrame:
@@ -311,15 +315,51 @@ def _clusters(rows: DataFrame, size: int, threshold: Threshold) -> DataFrame:
 
 
 def _links_within(rows: DataFrame, members: DataFrame, size: int, threshold: Threshold, block: int) -> DataFrame:
-    """Links ``a, b`` between the sets of each cluster."""
-    members = stored(members)
+    """Links ``a, b`` that connect all linked sets of each cluster.
+
+    A cluster of several blocks meets in two rounds: every block by itself and with the
+    first one, and then the sets that are not yet in the cluster's main component with all
+    blocks. A cluster of near copies is mostly done after the first round, whose cost grows
+    with its size and not with the square of it.
+    """
     counts = members.groupBy("cluster").agg(F.count("*").alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    dealt = members.join(counts, "cluster").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
-    grams = rows.join(dealt, F.col("doc_id") == F.col("doc")).select("doc", "f1", "f2", "cluster", "blocks", "own", "text")
-    grams = grams.mapInArrow(_grams_of(size, ["doc", "cluster", "blocks", "own"]), "doc long, cluster long, blocks int, own int, grams binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = grams.select("*", other).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "grams")
-    # A block that stands alone in pair (i, i) also meets in the pairs with others.
-    sent = pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc")
+    own = F.pmod(F.xxhash64("doc"), "blocks").cast("int")
+    dealt = members.join(counts, "cluster").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    dealt = stored(dealt.withColumns({"own": own, "known": F.col("doc")}))
+    everyone, zero = F.sequence(F.lit(0), F.col("blocks") - 1), F.lit(0)
+    first = F.when(F.col("own") == 0, F.transform(everyone, lambda x: F.struct(zero.alias("i"), x.alias("j"))))
+    first = first.otherwise(F.array(F.struct(zero.alias("i"), F.col("own").alias("j")), F.struct(F.col("own").alias("i"), F.col("own").alias("j"))))
+    found = stored(_met(rows, dealt.withColumn("places", first), size, threshold))
+
+    large = dealt.where("blocks > 1")
+    if not large.limit(1).count():
+        return found
+    known = components(found).select(F.col("node").alias("doc"), "component")
+    large = large.drop("known").join(known, "doc", "left").withColumn("known", F.coalesce("component", "doc"))
+    sizes = large.groupBy("cluster", "known").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max_by("known", F.struct("n", "known")).alias("main"))
+    large = stored(large.drop("component").join(main, "cluster"))
+    apart = large.where("known <> main")
+    open_ = apart.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("more"))
+    if not apart.limit(1).count():
+        return found
+    large = large.join(open_, "cluster")
+    mine = F.transform(F.sequence(F.lit(0), F.col("more") - 1), lambda x: F.struct(x.alias("i"), F.col("own").alias("j")))
+    turn = F.pmod(F.xxhash64("doc", F.lit(1)), "more").cast("int")
+    asked = F.transform(everyone, lambda x: F.struct(turn.alias("i"), x.alias("j")))
+    places = F.when(F.col("known") == F.col("main"), mine).otherwise(F.array_union(mine, asked))
+    return found.unionByName(_met(rows, large.withColumn("places", places), size, threshold))
+
+
+def _met(rows: DataFrame, dealt: DataFrame, size: int, threshold: Threshold) -> DataFrame:
+    """Links of the sets that meet in a place, ``(cluster, i, j)``."""
+    dealt = dealt.select("doc", "f1", "f2", "cluster", "known", "places")
+    # Both sides grow with the input, so neither is broadcast at any size.
+    texts = rows.join(dealt.hint("merge"), F.col("doc_id") == F.col("doc")).select(*dealt.columns, "text")
+    place = "array<struct<i:int,j:int>>"
+    grams = texts.mapInArrow(
+        _grams_of(size, ["doc", "cluster", "known", "places"]), f"doc long, cluster long, known long, places {place}, grams binary"
+    )
+    placed = grams.select("cluster", F.explode("places").alias("place"), "doc", "known", "grams").select("cluster", "place.i", "place.j", "doc", "known", "grams")
+    sent = placed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc")
     return sent.mapInArrow(_joined(threshold), "a long, b long")
