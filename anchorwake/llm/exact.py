@@ -239,4 +239,4 @@ def keep_first(docs: DataFrame, memory: int = 64 << 20) -> DataFrame:
     kept = exact_dedup(docs, memory).where("kept")
     kept = kept.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.unhex("text_sha256").alias("_sha"))
     hashed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn("_sha", _hash_of("text"))
-    return hashed.join(kept, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    return hashed.join(kept.hint("merge"), ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).select(*docs.columns)

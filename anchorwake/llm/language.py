@@ -134,10 +134,13 @@ def train(docs: DataFrame, usable: Column, per_language: int = 300, languages: i
     found without reading the texts; only its texts come to the driver.
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    # About twice the wanted number of each language by their hashes, then exactly that many.
+    place = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30))
+    near = rows.select("lang", "doc_id").join(F.broadcast(top), "lang").where(place * F.col("count") < (2 * per_language << 30))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("lang", "doc_id").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= per_language)
-    ids = ids.join(F.broadcast(top), "lang", "left_semi").select("lang", "doc_id").distinct()
+    ids = near.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= per_language)
+    ids = ids.select("lang", "doc_id").distinct()
     # At most per_language * languages rows.
     sample = rows.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").select("doc_id", "lang", "text").collect()
     sample = sorted(sample, key=lambda r: (r.doc_id, r.lang, r.text))

@@ -204,10 +204,13 @@ def test_passages_of_odd_rows(odd, spark):
 
 def test_compact_windows_cover_every_passage_once():
     rng = np.random.default_rng(3)
-    grams = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
-    value, place, left, right = passages.compact_windows(grams, 0, 20)
-    hashes = passages.mix(grams ^ passages.mix(np.array([1], np.uint64)))
-    for i in range(150):
-        for j in range(i + 19, 150):
-            covering = [k for k in range(len(place)) if place[k] - left[k] <= i <= place[k] <= j <= place[k] + right[k]]
-            assert len(covering) == 1 and value[covering[0]] == hashes[i : j + 1].min()
+    offs = np.array([0, 100, 100, 115, 215])
+    grams = rng.integers(0, 1 << 63, 215, dtype=np.uint64)
+    value, row, place, left, right = passages.compact_windows(grams, offs, 0, 20)
+    assert set(row) == {0, 3}
+    for r in (0, 3):
+        hashes = passages.mix(grams[offs[r] : offs[r + 1]] ^ passages.mix(np.array([1], np.uint64))) | np.uint64(1)
+        for i in range(100):
+            for j in range(i + 19, 100):
+                covering = [k for k in np.flatnonzero(row == r) if place[k] - left[k] <= i <= place[k] <= j <= place[k] + right[k]]
+                assert len(covering) == 1 and value[covering[0]] == hashes[i : j + 1].min()
