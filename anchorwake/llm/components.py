@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorwake.llm.store import stored
+from anchorwake.llm.store import discard, stored
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(links: DataFrame) -> DataFrame:
     links = stored(links.where("a <> b").distinct())
     before = None
     while True:
-        links = stored(_small_star(_large_star(links)))
+        last, links = links, stored(_small_star(_large_star(links)))
+        discard(last)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -324,42 +324,42 @@ def _links_within(rows: DataFrame, members: DataFrame, size: int, threshold: Thr
     """
     counts = members.groupBy("cluster").agg(F.count("*").alias("m")).where("m > 1")
     own = F.pmod(F.xxhash64("doc"), "blocks").cast("int")
-    dealt = members.join(counts, "cluster").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-    dealt = stored(dealt.withColumns({"own": own, "known": F.col("doc")}))
+    dealt = members.join(counts, "cluster").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("own", own)
+    # Both sides grow with the input, so neither is broadcast at any size. The texts are met
+    # once; both rounds read the sets.
+    texts = rows.join(dealt.drop("m").hint("merge"), F.col("doc_id") == F.col("doc")).drop("doc_id")
+    columns = "doc long, cluster long, blocks int, own int"
+    sets = stored(texts.mapInArrow(_grams_of(size, [c.split()[0] for c in columns.split(", ")]), f"{columns}, grams binary"))
+
     everyone, zero = F.sequence(F.lit(0), F.col("blocks") - 1), F.lit(0)
     first = F.when(F.col("own") == 0, F.transform(everyone, lambda x: F.struct(zero.alias("i"), x.alias("j"))))
     first = first.otherwise(F.array(F.struct(zero.alias("i"), F.col("own").alias("j")), F.struct(F.col("own").alias("i"), F.col("own").alias("j"))))
-    found = stored(_met(rows, dealt.withColumn("places", first), size, threshold))
+    found = stored(_met(sets.withColumns({"places": first, "known": F.col("doc")}), threshold))
 
-    large = dealt.where("blocks > 1")
+    large = sets.where("blocks > 1").drop("grams")
     if not large.limit(1).count():
         return found
     known = components(found).select(F.col("node").alias("doc"), "component")
-    large = large.drop("known").join(known, "doc", "left").withColumn("known", F.coalesce("component", "doc"))
+    large = large.join(known, "doc", "left").withColumn("known", F.coalesce("component", "doc")).drop("component")
     sizes = large.groupBy("cluster", "known").agg(F.count("*").alias("n"))
     main = sizes.groupBy("cluster").agg(F.max_by("known", F.struct("n", "known")).alias("main"))
-    large = stored(large.drop("component").join(main, "cluster"))
-    apart = large.where("known <> main")
-    open_ = apart.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("more"))
+    large = stored(large.join(main, "cluster"))
+    apart = large.where("known <> main").groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("more"))
     if not apart.limit(1).count():
         return found
-    large = large.join(open_, "cluster")
+    large = large.join(apart, "cluster")
     mine = F.transform(F.sequence(F.lit(0), F.col("more") - 1), lambda x: F.struct(x.alias("i"), F.col("own").alias("j")))
     turn = F.pmod(F.xxhash64("doc", F.lit(1)), "more").cast("int")
     asked = F.transform(everyone, lambda x: F.struct(turn.alias("i"), x.alias("j")))
     places = F.when(F.col("known") == F.col("main"), mine).otherwise(F.array_union(mine, asked))
-    return found.unionByName(_met(rows, large.withColumn("places", places), size, threshold))
+    second = large.select("doc", "known", places.alias("places"))
+    again = sets.where("blocks > 1").select("doc", "cluster", "grams").join(second.hint("merge"), "doc")
+    return found.unionByName(_met(again, threshold))
 
 
-def _met(rows: DataFrame, dealt: DataFrame, size: int, threshold: Threshold) -> DataFrame:
+def _met(sets: DataFrame, threshold: Threshold) -> DataFrame:
     """Links of the sets that meet in a place, ``(cluster, i, j)``."""
-    dealt = dealt.select("doc", "f1", "f2", "cluster", "known", "places")
-    # Both sides grow with the input, so neither is broadcast at any size.
-    texts = rows.join(dealt.hint("merge"), F.col("doc_id") == F.col("doc")).select(*dealt.columns, "text")
-    place = "array<struct<i:int,j:int>>"
-    grams = texts.mapInArrow(
-        _grams_of(size, ["doc", "cluster", "known", "places"]), f"doc long, cluster long, known long, places {place}, grams binary"
-    )
-    placed = grams.select("cluster", F.explode("places").alias("place"), "doc", "known", "grams").select("cluster", "place.i", "place.j", "doc", "known", "grams")
+    placed = sets.select("cluster", F.explode("places").alias("place"), "doc", "known", "grams")
+    placed = placed.select("cluster", "place.i", "place.j", "doc", "known", "grams")
     sent = placed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc")
     return sent.mapInArrow(_joined(threshold), "a long, b long")

@@ -16,7 +16,9 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
 
 
 def _folder(spark: SparkSession) -> str:
@@ -24,9 +26,8 @@ def _folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/tables"
 
 
-def discard(df: DataFrame) -> None:
+def discard(table: DataFrame) -> None:
     """Delete the files of a stored table that no later step reads."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark = table.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
