@@ -214,3 +214,18 @@ def test_compact_windows_cover_every_passage_once():
             for j in range(i + 19, 100):
                 covering = [k for k in np.flatnonzero(row == r) if place[k] - left[k] <= i <= place[k] <= j <= place[k] + right[k]]
                 assert len(covering) == 1 and value[covering[0]] == hashes[i : j + 1].min()
+
+
+def test_exact_dedup_against_its_statement(spark):
+    import duckdb
+
+    from anchorwake.llm import queries
+
+    found = queries.QUERIES["op8_exact_dedup"](spark, "/root/testdata/sf0.01")
+    with duckdb.connect() as database:
+        database.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+        told = database.execute(queries.SQL["op8_exact_dedup"])
+        names = [c[0] for c in told.description]
+        expected = sorted(told.fetchall())
+    assert sorted(tuple(r[n] for n in names) for r in found.collect()) == expected
+    assert set(queries.SQL) < set(queries.QUERIES)
