@@ -4,7 +4,8 @@
    fingerprints and are joined as one.
 2. *Candidates, without loss.* Sets of a size class are cut by hash into more parts than
    two sets that link can differ in, so that some of the parts are the same in both; a
-   signature is the hash of one part. A task links the sets that share a signature in it
+   signature is the hash of one part. Parts that hold only n-grams of which a sample shows
+   that many documents have them are left out where that loses nothing. A task links the sets that share a signature in it
    and sends one of them on, so a signature has one row per task, however common it is.
 3. *Signature trees.* The sets of a candidate cluster meet in one group, or a large cluster
    in pairs of blocks. A group numbers its tokens and builds a tree whose nodes hold the
@@ -86,11 +87,19 @@ class Threshold:
         return out
 
 
-def signatures(grams: np.ndarray, threshold: Threshold) -> np.ndarray:
-    """Hashes of the parts of a set, of which two sets that link share one at least."""
+def signatures(grams: np.ndarray, threshold: Threshold, common: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the parts of a set, of which two sets that link share one at least.
+
+    ``common`` are sorted hashes of n-grams that many sets have. Parts of such n-grams alone
+    say little, and need no signature if there are more other parts than two linked sets
+    can differ in: one of the others is then the same in both. So any ``common`` is lossless.
+    """
     out = []
     if not len(grams):
         return np.zeros(0, U64)
+    rare = np.ones(len(grams), bool)
+    if common is not None and len(common):
+        rare = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] != grams
     spread, values = mix(grams + U64(77)), mix(grams ^ U64(0x3C3C3C3C3C3C3C3C))
     for level, parts, differ in threshold.classes(len(grams)):
         part = ((spread >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
@@ -101,9 +110,10 @@ def signatures(grams: np.ndarray, threshold: Threshold) -> np.ndarray:
         sums = np.zeros(parts, U64)
         sums[full] = np.add.reduceat(values[order], begin)
         sums = mix(sums + mix(np.arange(parts, dtype=U64) + U64(level << 32)))
-        # If two linked sets had only empty parts in common, all full ones would differ. Empty
-        # parts need a signature only where that can be, in few and small sets.
-        out.append(sums if len(full) <= differ else sums[full])
+        # If two linked sets had no full part in common, all of them would differ. Parts of
+        # common n-grams, and empty ones, need a signature only where that can be.
+        telling = np.flatnonzero(np.bincount(part[rare], minlength=parts))
+        out.append(sums[telling] if len(telling) > differ else sums[full] if len(full) > differ else sums)
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
@@ -117,7 +127,7 @@ def _described(size: int):
     return run
 
 
-def _candidates(size: int, threshold: Threshold, parts: int):
+def _candidates(size: int, threshold: Threshold, parts: int, common):
     """Kinds ``0`` signature and set, one of each signature of a task, dealt by signature; ``1`` sets linked here."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +139,7 @@ def _candidates(size: int, threshold: Threshold, parts: int):
                     own = fingerprint(grams)[0]
                     if own not in known:
                         known.add(own)
-                        found = signatures(grams, threshold)
+                        found = signatures(grams, threshold, common.value)
                         keys.append(found)
                         owners.append(np.full(len(found), own, np.int64))
             if keys:
@@ -307,10 +317,29 @@ def keep_one(docs: DataFrame, size: int = 5, threshold: Threshold | None = None,
     return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
+def _common_grams(rows: DataFrame, size: int, sample: int = 2000, most: int = 200_000) -> np.ndarray:
+    """N-grams that several of a bounded sample of documents have, at most ``most`` of them, sorted."""
+    ids = rows.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text").distinct()
+    grams = texts.mapInArrow(_each_gram(size), "gram long").groupBy("gram").count().where("count > 1")
+    found = grams.orderBy(F.desc("count"), "gram").limit(most).collect()
+    return np.sort(np.array([r.gram for r in found], np.int64).view(U64))
+
+
+def _each_gram(size: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for grams in text_sets(part.column(0), size):
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["gram"])
+
+    return run
+
+
 def _clusters(rows: DataFrame, size: int, threshold: Threshold) -> DataFrame:
     """``node, component``: sets (first half of the fingerprint) that signatures connect."""
     parts = partitions(rows)
-    found = rows.where(F.col("text").isNotNull()).select("text").mapInArrow(_candidates(size, threshold, parts), SCHEMA)
+    common = rows.sparkSession.sparkContext.broadcast(_common_grams(rows, size))
+    found = rows.where(F.col("text").isNotNull()).select("text").mapInArrow(_candidates(size, threshold, parts, common), SCHEMA)
     return components(exchanged(found, parts).mapInArrow(_links, "a long, b long"))
 
 

@@ -95,7 +95,7 @@ def test_jaccard_of_odd_rows(odd, spark):
 
 @pytest.mark.parametrize(("num", "size"), [(90, 12), (90, 200), (80, 6), (80, 40), (50, 30)])
 def test_linked_sets_share_a_signature(num, size):
-    rng, threshold = np.random.default_rng(size), jaccard.Threshold(num)
+    rng, other, threshold = np.random.default_rng(size), np.random.default_rng(1), jaccard.Threshold(num)
     linked = 0
     for _ in range(300):
         one = np.unique(rng.integers(0, 1 << 62, size, dtype=np.uint64))
@@ -104,7 +104,8 @@ def test_linked_sets_share_a_signature(num, size):
         common = len(np.intersect1d(one, two))
         if threshold.links(common, len(one), len(two)) and len(np.setxor1d(one, two)):
             linked += 1
-            assert np.intersect1d(jaccard.signatures(one, threshold), jaccard.signatures(two, threshold)).size
+            for often in (None, one[: size // 3], np.sort(other.permutation(two)[: size // 2]), one, two):
+                assert np.intersect1d(jaccard.signatures(one, threshold, often), jaccard.signatures(two, threshold, often)).size
     assert linked > 20
 
 
