@@ -190,12 +190,16 @@ class SignatureTree:
 
     def __init__(self, sets: list[np.ndarray], fan: int = 8):
         self.sizes = [len(s) for s in sets]
-        tokens, places = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.zeros(0), np.zeros(0, int))
+        # A token of one set alone is in no overlap and gets no bit.
+        _, places, times = np.unique(np.concatenate([*sets, np.zeros(0, U64)]), return_inverse=True, return_counts=True)
+        shared = times > 1
+        number = np.cumsum(shared) - 1
         self.bits: list[int] = []
         at = 0
         for n in self.sizes:
-            marks = np.zeros(len(tokens), np.uint8)
-            marks[places[at : at + n]] = 1
+            own = places[at : at + n]
+            marks = np.zeros(int(shared.sum()), np.uint8)
+            marks[number[own[shared[own]]]] = 1
             self.bits.append(int.from_bytes(np.packbits(marks).tobytes(), "little"))
             at += n
         order = sorted(range(len(sets)), key=lambda i: (int(mix(sets[i]).min()) if len(sets[i]) else 0, self.sizes[i], i))
