@@ -5,7 +5,8 @@
 2. *Candidates, without loss.* Sets of a size class are cut by hash into more parts than
    two sets that link can differ in, so that some of the parts are the same in both; a
    signature is the hash of one part. Parts that hold only n-grams of which a sample shows
-   that many documents have them are left out where that loses nothing. A task links the sets that share a signature in it
+   that many documents have them are left out where that loses nothing. Large clusters are
+   divided further by the prefixes of their sets in an order that has rare n-grams first. A task links the sets that share a signature in it
    and sends one of them on, so a signature has one row per task, however common it is.
 3. *Signature trees.* The sets of a candidate cluster meet in one group, or a large cluster
    in pairs of blocks. A group numbers its tokens and builds a tree whose nodes hold the
@@ -38,6 +39,7 @@ from anchorwake.llm.texts import U64, batches, mix, shingles, slices, words
 
 _CHUNK = 12 << 20  # bytes of text whose signatures a task gathers before it sends them on
 _RATIO = 1.5  # of the sizes of a size class
+_OFTEN = 64  # records of one n-gram that a task sends one by one
 
 
 def text_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -301,8 +303,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, threshold: Threshold | No
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = stored(rows.mapInArrow(_described(size), "doc_id long, n long, f1 long, f2 long"))
     sets = described.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("set_id"))
-    near = _clusters(rows, size, threshold)
-    links = _links_within(rows, sets.join(near, sets.f1 == near.node).select(F.col("set_id").alias("doc"), "f1", "f2", F.col("component").alias("cluster")), size, threshold, block)
+    parts = partitions(rows)
+    near = _clusters(rows, size, threshold, parts)
+    links = _links_within(rows, sets.join(near, sets.f1 == near.node).select(F.col("set_id").alias("doc"), "f1", "f2", F.col("component").alias("cluster")), size, threshold, block, parts)
     whole = components(links).select(F.col("node").alias("set_id"), "component")
     named = sets.join(whole, "set_id", "left").select("f1", "f2", "set_id", F.coalesce("component", "set_id").alias("component_id"))
     met = described.join(named, ["f1", "f2"], "left")
@@ -339,22 +342,15 @@ def _each_gram(size: int):
     return run
 
 
-def _clusters(rows: DataFrame, size: int, threshold: Threshold) -> DataFrame:
+def _clusters(rows: DataFrame, size: int, threshold: Threshold, parts: int) -> DataFrame:
     """``node, component``: sets (first half of the fingerprint) that signatures connect."""
-    parts = partitions(rows)
     common = rows.sparkSession.sparkContext.broadcast(_common_grams(rows, size))
     found = rows.where(F.col("text").isNotNull()).select("text").mapInArrow(_candidates(size, threshold, parts, common), SCHEMA)
     return components(exchanged(found, parts).mapInArrow(_links, "a long, b long"))
 
 
-def _links_within(rows: DataFrame, members: DataFrame, size: int, threshold: Threshold, block: int) -> DataFrame:
-    """Links ``a, b`` that connect all linked sets of each cluster.
-
-    A cluster of several blocks meets in two rounds: every block by itself and with the
-    first one, and then the sets that are not yet in the cluster's main component with all
-    blocks. A cluster of near copies is mostly done after the first round, whose cost grows
-    with its size and not with the square of it.
-    """
+def _links_within(rows: DataFrame, members: DataFrame, size: int, threshold: Threshold, block: int, parts: int) -> DataFrame:
+    """Links ``a, b`` that connect all linked sets of each cluster."""
     counts = members.groupBy("cluster").agg(F.count("*").alias("m")).where("m > 1")
     own = F.pmod(F.xxhash64("doc"), "blocks").cast("int")
     dealt = members.join(counts, "cluster").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("own", own)
@@ -363,6 +359,95 @@ def _links_within(rows: DataFrame, members: DataFrame, size: int, threshold: Thr
     texts = rows.join(dealt.drop("m").hint("merge"), F.col("doc_id") == F.col("doc")).drop("doc_id")
     columns = "doc long, cluster long, blocks int, own int"
     sets = stored(texts.mapInArrow(_grams_of(size, [c.split()[0] for c in columns.split(", ")]), f"{columns}, grams binary"))
+    large = sets.where("blocks > 1")
+    if not large.limit(1).count():
+        return _links_of_sets(sets, threshold, block)
+    # A large cluster mostly is many small ones that shared passages connect.
+    finer = _finer(large, threshold, parts)
+    counts = finer.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    finer = finer.join(counts, "component").select(F.col("node").alias("doc"), F.col("component").alias("cluster"), "blocks").withColumn("own", own)
+    again = large.select("doc", "grams").join(finer.hint("merge"), "doc").select("doc", "cluster", "blocks", "own", "grams")
+    return _links_of_sets(stored(sets.where("blocks = 1").unionByName(again)), threshold, block)
+
+
+def _finer(large: DataFrame, threshold: Threshold, parts: int) -> DataFrame:
+    """``node, component``: sets of large clusters connected by the prefixes of their n-grams, without loss.
+
+    N-grams of one set alone come first in the order of all n-grams. Two sets that link
+    share one of the first ``n - least overlap + 1``, so sets with that many of their own
+    link with nothing, and few n-grams of the others have to be compared.
+    """
+    met = exchanged(large.select("doc", "grams").mapInArrow(_gram_records(parts), SCHEMA), parts)
+    shared = exchanged(met.mapInArrow(_shared_grams(parts), SCHEMA), parts)
+    prefixes = exchanged(shared.mapInArrow(_prefixes(threshold, parts), SCHEMA), parts)
+    return components(prefixes.mapInArrow(_links, "a long, b long"))
+
+
+def _gram_records(parts: int):
+    """``0`` n-gram, set, size of the set; ``1`` an n-gram that is frequent here; ``2`` its records, dealt by set."""
+
+    def gram_records(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches(rows, "grams", _CHUNK):
+            sets = [np.frombuffer(g.as_buffer(), U64) for g in table.column("grams")]
+            size = np.array([len(g) for g in sets])
+            k, n = np.concatenate([*sets, np.zeros(0, U64)]), np.repeat(size, size)
+            doc = np.repeat(table.column("doc").to_numpy(), size)
+            _, back, times = np.unique(k, return_inverse=True, return_counts=True)
+            often = times[back] > _OFTEN
+            marks = np.unique(k[often])
+            yield from deal(
+                parts,
+                [
+                    by_key(0, k[~often], parts, k[~often], doc[~often], n[~often]),
+                    by_key(1, marks, parts, marks),
+                    by_key(2, doc[often], parts, k[often], doc[often], n[often]),
+                ],
+            )
+
+    return gram_records
+
+
+def _shared_grams(parts: int):
+    """The records of n-grams that several sets have, dealt by set."""
+
+    def shared_grams(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for records in buckets(rows):
+            k, doc, n = records.of(0, 3)
+            _, back, times = np.unique(k, return_inverse=True, return_counts=True)
+            kept = (times[back] > 1) | np.isin(k, records.of(1, 1)[0])
+            k, doc, n = (np.concatenate([x[kept], y]) for x, y in zip((k, doc, n), records.of(2, 3), strict=True))
+            yield from deal(parts, [by_key(0, doc, parts, k, doc, n)])
+
+    return shared_grams
+
+
+def _prefixes(threshold: Threshold, parts: int):
+    """Shared n-grams in the prefix of each set, as ``_candidates`` has signatures."""
+
+    def prefixes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for records in buckets(rows):
+            k, doc, n = records.of(0, 3)
+            order = np.lexsort((mix(k.view(U64)), doc))
+            k, doc, n = k[order], doc[order], n[order]
+            first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+            shared = np.diff(np.append(first, len(doc)))
+            place = np.arange(len(doc)) - np.repeat(first, shared)
+            least = -(-n * threshold.num // threshold.over)
+            inside = place < np.repeat(shared, shared) - least + 1
+            k, a, pairs = _stars(k[inside], doc[inside])
+            yield from deal(parts, [by_key(0, k, parts, k, a), by_key(1, pairs[0] ^ pairs[1], parts, *pairs)])
+
+    return prefixes
+
+
+def _links_of_sets(sets: DataFrame, threshold: Threshold, block: int) -> DataFrame:
+    """Links of the sets of each cluster, which has ``blocks``, of which a set is in its ``own``.
+
+    A cluster of several blocks meets in two rounds: every block by itself and with the
+    first one, and then the sets that are not yet in the cluster's main component with all
+    blocks. A cluster of near copies is mostly done after the first round, whose cost grows
+    with its size and not with the square of it.
+    """
 
     everyone, zero = F.sequence(F.lit(0), F.col("blocks") - 1), F.lit(0)
     first = F.when(F.col("own") == 0, F.transform(everyone, lambda x: F.struct(zero.alias("i"), x.alias("j"))))
