@@ -197,6 +197,32 @@ def test_recall_of_changed_passages(spark):
     assert len({r.doc_id // 2 for r in found if r.doc_id // 2 == r.match_id // 2}) >= 0.95 * changed
 
 
+@pytest.mark.parametrize(("n", "at"), [(n, (w,)) for n in (50, 60, 80, 90) for w in (2, 7, n // 2, n - 8)] + [(150, (37, 75, 112)), (300, tuple(range(25, 300, 50)))])
+def test_changed_passages_at_the_threshold_are_verified(n, at):
+    """Passages with changed words in the middle or evenly spaced, between texts that have nothing in common."""
+    rng = np.random.default_rng(n + len(at))
+    passage, changed = (rng.integers(0, 1 << 62, n, dtype=np.uint64) for _ in range(2))
+    copy = np.where(np.isin(np.arange(n), at), changed, passage)
+    one, two = (np.concatenate([rng.integers(0, 1 << 62, k, dtype=np.uint64), p, rng.integers(0, 1 << 62, 30, dtype=np.uint64)]) for k, p in ((20, passage), (45, copy)))
+    grams = [sum(passages.mix(w[k : len(w) - 4 + k] + np.uint64(k)) for k in range(5)) for w in (one, two)]
+    found = passages.verified(*grams, 46, 0.8)
+    assert len(found) == 1
+    a, b, c, d, similar = found[0]
+    x, y = set(grams[0][a:b].tolist()), set(grams[1][c:d].tolist())
+    assert min(b - a, d - c) >= 46 and similar == len(x & y) / len(x | y) >= 0.8
+    assert a <= 20 + 5 and b >= 20 + n - 4 - 5
+
+
+def test_passages_of_one_changed_word_are_found(spark):
+    rng, rows = random.Random(12), []
+    for i in range(80):
+        passage = plain.prose(rng, 60 + i % 31, 10**6).split(" ")
+        copy = [*passage[: len(passage) // 2], f"new{i}", *passage[len(passage) // 2 + 1 :]]
+        rows += [(2 * i + k, f"{plain.prose(rng, 30, 10**6)} {' '.join(p)} {plain.prose(rng, 30, 10**6)}") for k, p in enumerate((passage, copy))]
+    found = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.doc_id // 2 for r in found if r.doc_id // 2 == r.match_id // 2}) >= 0.95 * 80
+
+
 def test_passages_of_odd_rows(odd, spark):
     _, docs = odd
     assert passages.near_passages(docs).count() > 0
