@@ -223,6 +223,18 @@ def test_passages_of_one_changed_word_are_found(spark):
     assert len({r.doc_id // 2 for r in found if r.doc_id // 2 == r.match_id // 2}) >= 0.95 * 80
 
 
+def test_a_line_repeated_in_long_documents_is_shared_to_its_end(spark):
+    rng = random.Random(13)
+    line = plain.prose(rng, 8, 10**6)
+    rows = [(i, f"{plain.prose(rng, 60, 10**6)} {' '.join([line] * n)} {plain.prose(rng, 60, 10**6)}") for i, n in enumerate((2500, 2500, 1900))]
+    found = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    shared = {i: max(r.n_words for r in found if r.doc_id == i) for i in (1, 2)}
+    assert shared[1] >= 20000 and shared[2] >= 15200
+    longest = max((r for r in found if r.doc_id == 1), key=lambda r: r.n_words)
+    for text, a, b in ((rows[0][1], longest.match_begin, longest.match_end), (rows[1][1], longest.begin, longest.end)):
+        assert line in text[a:b][:300] and len(text[a:b].split()) >= 20000
+
+
 def test_passages_of_odd_rows(odd, spark):
     _, docs = odd
     assert passages.near_passages(docs).count() > 0
