@@ -239,6 +239,21 @@ def test_changed_items_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in blocks} >= {p for p in pairs if p[0] < 100}
 
 
+def test_short_items_with_frequent_words_first_are_found(spark):
+    rng = random.Random(14)
+    frequent = "what is the name of the one that was in a of".split(" ")
+    items = [(i, " ".join([*frequent[: n // 2], *plain.prose(rng, n - n // 2, 10**6).split(" ")])) for i, n in enumerate(list(range(8, 15)) * 8)]
+    rows = []
+    for rate, first in ((0.0, 0), (0.2, 100)):
+        for i, text in items:
+            rows.append((first + i, f"{plain.prose(rng, 40)} {' '.join(_changed(rng, text.split(' '), rate))} {plain.prose(rng, 30)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    pairs = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert pairs >= {(first + i, i) for first in (0, 100) for i, _ in items}
+    assert decontaminate.keep_clean(docs, bench).count() == 0
+
+
 def test_decontamination_of_odd_rows(odd, spark):
     rows, docs = odd
     bench = spark.createDataFrame([(0, "one two"), (1, ""), (2, None), (None, "one"), (3, rows[0][1]), (3, rows[0][1])], "item_id long, text string")
