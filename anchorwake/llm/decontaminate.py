@@ -25,7 +25,7 @@ not shuffled. Items of fewer than ``short`` words need an exact match. Misses ar
 for changed items of ``sure`` words or more only; their rate is measured in the tests.
 
 Defined results: null and empty texts contain nothing, items without words are in no
-document; repeated rows each give their rows; other columns are not read.
+document; items without an id count like others and give a null ``item_id``; repeated rows each give their rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ _BLOCK = 16 << 20  # bytes of items that are sent to the tasks at once
 
 
 class Item(NamedTuple):
-    item_id: int
+    item_id: int | None
     words: np.ndarray
 
     def edits(self, rate: float) -> int:
@@ -70,7 +70,7 @@ def words_of(s: Slice) -> Words:
 class Index:
     """Sampled words of all item windows, by repetition."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float = RATE):
         ids = [i for i, _ in items]
         texts = pa.array([t for _, t in items], pa.large_string())
         self.rate, self.items = rate, []
@@ -263,14 +263,14 @@ def found_in(index: Index, w: Words) -> Iterator[tuple[int, int, int, int, int]]
                         yield row, i, int(at), int(at) + size, 0
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int | None, str]]]:
     """The items, in blocks of about ``limit`` bytes at most."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // limit)
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield sorted((r.item_id, r.text) for r in part.collect())
+        yield sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = _BLOCK) -> DataFrame:

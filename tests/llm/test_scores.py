@@ -266,6 +266,16 @@ def test_decontamination_of_odd_rows(odd, spark):
     assert decontaminate.keep_clean(docs, bench).columns == docs.columns
 
 
+def test_items_without_an_id_are_found(spark):
+    rng = random.Random(15)
+    items = [(None, plain.prose(rng, n, 10**6)) for n in (3, 12, 40)] + [(7, plain.prose(rng, 20, 10**6))]
+    rows = [(i, f"{plain.prose(rng, 30)} {text} {plain.prose(rng, 30)}") for i, (_, text) in enumerate(items)] + [(9, plain.prose(rng, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == {(0, None), (1, None), (2, None), (3, 7)}
+    assert [r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()] == [9]
+
+
 # -- packing
 
 
