@@ -73,14 +73,15 @@ class Threshold:
         return -(-size * self.num // self.over)
 
     def classes(self, size: int) -> list[tuple[int, int, int]]:
-        """Size classes of a set: its own, and the next if it can link into that.
+        """Size classes of a set: its own, and the larger ones that it can link into.
 
         Each with the number of its parts and the most tokens by which a set of this size
         differs from one it links with there.
         """
         level = int(math.log(size) / math.log(_RATIO) + 1e-9)
         out = []
-        for k in (level, level + 1):
+        top = int(math.log(size * self.over / self.num) / math.log(_RATIO) + 1e-9)
+        for k in range(level, max(top, level + 1) + 1):
             low, high = math.ceil(_RATIO**k - 1e-9), max(size, math.ceil(_RATIO ** (k + 1) - 1e-9) - 1)
             differ = self.differences(2 * high)
             if differ and (k == level or size >= self.smallest(low)):  # else only equal sets link

@@ -109,6 +109,16 @@ def test_linked_sets_share_a_signature(num, size):
     assert linked > 20
 
 
+@pytest.mark.parametrize("num", [30, 50])
+def test_sets_that_link_across_size_classes_share_a_signature(num):
+    rng, threshold = np.random.default_rng(num), jaccard.Threshold(num)
+    for size in range(6, 60):
+        two = np.unique(rng.integers(0, 1 << 62, size, dtype=np.uint64))
+        one = two[: threshold.smallest(size)]
+        assert threshold.links(len(one), len(one), len(two))
+        assert np.intersect1d(jaccard.signatures(one, threshold), jaccard.signatures(two, threshold)).size
+
+
 def test_tree_finds_the_components_of_all_pairs():
     rng, threshold = random.Random(5), jaccard.Threshold(80)
     base = [rng.getrandbits(60) for _ in range(60)]
