@@ -141,8 +141,9 @@ def train(docs: DataFrame, usable: Column, per_language: int = 300, languages: i
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = near.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= per_language)
     ids = ids.select("lang", "doc_id").distinct()
-    # At most per_language * languages rows.
-    sample = rows.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").select("doc_id", "lang", "text").collect()
+    # At most per_language * languages rows, as one is kept of each id.
+    sample = rows.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").groupBy("doc_id", "lang")
+    sample = sample.agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     sample = sorted(sample, key=lambda r: (r.doc_id, r.lang, r.text))
     return fit([r.text for r in sample], [r.lang for r in sample])
 

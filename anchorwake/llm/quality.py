@@ -171,7 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 6000
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
     # The sample is found on ids alone and is bounded, so it can be sent to all tasks.
     chosen = known.where(usable).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+    # An id may be repeated in any number of rows; one of them is kept before they come to the driver.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality")
+    rows = rows.agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     rows = sorted(rows, key=lambda r: (r.doc_id, r.quality, r.text or ""))
     parts = [features(s) for s in slices(pa.array([r.text for r in rows], pa.large_string()))]
     if not parts:

@@ -191,6 +191,17 @@ def test_best_run_of_scores():
         assert sum(scores[begin:end]) == max(0, best)
 
 
+def test_one_row_of_a_repeated_id_is_in_the_samples(spark, monkeypatch):
+    rows = [(1, f"many texts of one id {k}", "en") for k in range(50)] + [(k, f"another text {k}", "en") for k in (2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    everything = docs.doc_id.isNotNull()
+    monkeypatch.setattr(language, "fit", lambda texts, names: texts)
+    assert len(language.train(docs, everything)) == 3
+    monkeypatch.setattr(quality, "fit", lambda x, y: y)
+    assert len(quality.train(docs, labels, labels.doc_id.isNotNull())) == 3
+
+
 # -- decontamination
 
 
