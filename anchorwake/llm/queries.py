@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from anchorwake.llm import (
+    codes,
     decontaminate,
     exact,
     jaccard,
@@ -81,11 +82,16 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_passages(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 _BY_NAME = {
     f.__name__: f
     for f in (
         op1_repeated_bytes, op2_main_text, op3_language, op4_decontamination, op5_packing,
         op6_quality, op7_jaccard_join, op8_exact_dedup, op9_token_counts, op10_passages,
+        op13_vector_codes,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -93,6 +99,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: lambda spark, sf_dir, query=query: query(ship(spark), sf_dir) for name, query in _BY_NAME.items()
 }
 
+
+def _lloyd_sql(rounds: int = 2) -> str:
+    """Parts against all entries of their position, in every round."""
+    nearest = (
+        "SELECT vec_id, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT x.vec_id, x.p, b.e, "
+        "list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d "
+        "FROM parts x JOIN book{i} b ON x.p = b.p) GROUP BY vec_id, p"
+    )
+    steps = [
+        "kept AS (SELECT vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS v "
+        "FROM embeddings WHERE embedding IS NOT NULL "
+        "AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)",
+        "cut AS (SELECT vec_id, unnest(range(16)) AS p, v, len(v) // 16 AS w FROM kept)",
+        "parts AS (SELECT vec_id, p, v[p * w + 1 : (p + 1) * w] AS v FROM cut)",
+        "seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64)",
+        "book0 AS (SELECT p, e, v FROM parts JOIN seeds USING (vec_id))",
+    ]
+    for i in range(rounds):
+        steps += [
+            f"near{i} AS ({nearest.format(i=i)})",
+            f"sums{i} AS (SELECT p, e, k, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT p, e, unnest(v) AS x, "
+            f"unnest(range(len(v))) AS k FROM near{i} JOIN parts USING (vec_id, p)) GROUP BY p, e, k)",
+            f"mean{i} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY k) AS v FROM sums{i} GROUP BY p, e)",
+            f"book{i + 1} AS (SELECT p, e, coalesce(m.v, b.v) AS v FROM book{i} b LEFT JOIN mean{i} m USING (p, e))",
+        ]
+    steps += [
+        f"last AS ({nearest.format(i=rounds)})",
+        "coded AS (SELECT vec_id, string_agg(format('{:02x}', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM last GROUP BY vec_id)",
+        f"digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS h FROM book{rounds})",
+    ]
+    return (
+        "WITH " + ", ".join(steps) + " SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, "
+        "h AS codebooks_sha256 FROM coded JOIN kept USING (vec_id), digest"
+    )
+
+
 SQL = {
     "op8_exact_dedup": r"""
 WITH plain AS (
@@ -102,4 +144,5 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM plain WINDOW w AS (PARTITION BY t)
 """,
+    "op13_vector_codes": _lloyd_sql(),
 }
