@@ -17,6 +17,7 @@ from anchorwake.llm import (
     packing,
     pages,
     passages,
+    pii,
     quality,
     substrings,
     tokens,
@@ -82,6 +83,10 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_passages(table(spark, sf_dir, "documents"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
@@ -91,7 +96,7 @@ _BY_NAME = {
     for f in (
         op1_repeated_bytes, op2_main_text, op3_language, op4_decontamination, op5_packing,
         op6_quality, op7_jaccard_join, op8_exact_dedup, op9_token_counts, op10_passages,
-        op13_vector_codes,
+        op12_pii, op13_vector_codes,
     )
 } | {"pipeline": corpus_pipeline.run}
 
