@@ -19,6 +19,7 @@ from anchorwake.llm import (
     passages,
     pii,
     quality,
+    search,
     substrings,
     tokens,
 )
@@ -83,6 +84,10 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
@@ -96,7 +101,7 @@ _BY_NAME = {
     for f in (
         op1_repeated_bytes, op2_main_text, op3_language, op4_decontamination, op5_packing,
         op6_quality, op7_jaccard_join, op8_exact_dedup, op9_token_counts, op10_passages,
-        op12_pii, op13_vector_codes,
+        op11_ranked_search, op12_pii, op13_vector_codes,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -148,6 +153,26 @@ WITH plain AS (
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM plain WINDOW w AS (PARTITION BY t)
+""",
+    "op11_ranked_search": r"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), total AS (SELECT count(DISTINCT doc_id)::BIGINT AS n_docs, count(*)::BIGINT AS n_terms FROM d
+), sizes AS (SELECT doc_id, 75 + (25 * count(*) * any_value(n_docs)) // any_value(n_terms) AS m FROM d, total GROUP BY doc_id
+), tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM d SEMI JOIN q USING (term) GROUP BY doc_id, term
+), weight AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY term
+), scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN weight USING (term) JOIN tf USING (term) JOIN sizes USING (doc_id) GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 20
 """,
     "op13_vector_codes": _lloyd_sql(),
 }
