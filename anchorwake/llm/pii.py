@@ -384,9 +384,13 @@ def _told(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def _of_kind(spans: Column, kind: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
 def pii_digest(found: DataFrame) -> DataFrame:
     """The columns of the query from those of ``find_pii``: counts and digest of the plain spans, all spans as text."""
     base = F.filter("pii", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(_of_kind(base, kind)).cast("bigint").alias(f"n_{kind}") for kind in KINDS]
     added = (F.size("pii") - F.size(base)).cast("bigint").alias("n_added")
     return found.select("doc_id", *counts, F.sha2(_told(base), 256).alias("base_sha256"), _told(F.col("pii")).alias("spans"), added)
