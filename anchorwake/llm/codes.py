@@ -64,7 +64,9 @@ def quantised(vectors: DataFrame, value: str = "embedding", scale: int = SCALE)
 def first_entries(kept: DataFrame, entries: int = ENTRIES, parts: int = PARTS) -> np.ndarray:
     """``[part, entry, component]``: the parts of the vectors with the smallest ids. Equal ids: the smaller vector."""
     rows = kept.orderBy(F.col("vec_id").asc_nulls_last(), "values").limit(entries).select("values").collect()
-    table = np.array([r[0] for r in rows], np.int64).reshape(len(rows), -1)
+    if not rows:
+        return np.zeros((parts, 0, 0), np.int64)
+    table = np.array([r[0] for r in rows], np.int64)
     if table.shape[1] % parts:
         raise ValueError(f"{table.shape[1]} components cannot be cut into {parts} equal parts")
     return np.ascontiguousarray(table.reshape(len(rows), parts, -1).transpose(1, 0, 2))

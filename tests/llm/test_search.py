@@ -1,0 +1,379 @@
+"""Ranked search, personal data and vector codes against plain versions."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import sys
+import time
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from anchorwake.llm import codes, pii, queries, search
+from anchorwake.llm.ship import ship
+
+sys.path.insert(0, str(Path(__file__).parent))
+import plain  # noqa: E402
+
+ITEMS = "item_id long, text string, doc_id long, score long, id long"
+
+
+# ------------------------------------------------------------------ search
+
+
+def _terms(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lower)
+
+
+def _plain_search(rows, items, k):
+    """Every document scored for every item by the formula."""
+    docs = [(d, Counter(_terms(t))) for d, t, *_ in rows]
+    docs = [(d, c) for d, c in docs if c]
+    n, total = len(docs), sum(sum(c.values()) for _, c in docs)
+    df = Counter(t for _, c in docs for t in c)
+    out = []
+    for item, text, *_ in items:
+        scored = []
+        for d, c in docs:
+            m = 75 + 25 * sum(c.values()) * n // total
+            score = 0
+            for t in _terms(text):
+                if c[t]:
+                    score += math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 12 * m))
+            if score > 0:
+                scored.append((-score, d is None, d))
+        out += [(item, i + 1, d, -s) for i, (s, _, d) in enumerate(sorted(scored)[:k])]
+    return sorted(out, key=plain.sort_key)
+
+
+def _items(rows, n=25):
+    rng = random.Random(4)
+    texts = [r[1] for r in rows if r[1] and len(r[1]) > 60]
+    out = [(i, " ".join(rng.choice(texts).split()[: rng.randint(3, 60)]), 1, 1, 1) for i in range(n)]
+    return [*out, (3, out[4][1], 1, 1, 1), (90, None, 1, 1, 1), (91, "", 1, 1, 1), (92, "?!", 1, 1, 1), (93, "zzznowhere", 1, 1, 1), (None, out[2][1], None, None, None)]
+
+
+@pytest.mark.parametrize("shard", [4 << 20, 3000])
+def test_search_is_the_plain_scoring(spark, monkeypatch, shard):
+    monkeypatch.setattr(search, "_SHARD", shard)
+    monkeypatch.setattr(search, "_SEEDS", 0.3)
+    monkeypatch.setattr(search, "_BLOCK", 300)  # several passes over the index
+    rows = plain.odd_documents()
+    items = _items(rows)
+    docs = ship(spark).createDataFrame(rows, plain.SCHEMA).repartition(3, "doc_id")
+    found = search.ranked_search(docs, spark.createDataFrame(items, ITEMS), 5)
+    assert found.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted(map(tuple, found.collect()), key=plain.sort_key) == _plain_search(rows, items, 5)
+
+
+def test_search_of_nothing(spark):
+    docs, items = spark.createDataFrame([], plain.SCHEMA), spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert search.ranked_search(docs, items).collect() == []
+    some = spark.createDataFrame(plain.documents(), plain.SCHEMA)
+    assert search.ranked_search(some, items.limit(0)).collect() == []
+    assert search.ranked_search(some.select("text", "doc_id").where("text IS NULL"), items).collect() == []
+
+
+def test_equal_scores_take_the_smaller_ids(spark):
+    docs = spark.createDataFrame([(i, "same words here") for i in range(300, 0, -1)] + [(999, "other")], "doc_id long, text string").repartition(7)
+    found = search.ranked_search(docs, spark.createDataFrame([(1, "words")], "item_id long, text string"))
+    assert [(r.rank, r.doc_id) for r in found.orderBy("rank").collect()] == [(i, i) for i in range(1, 21)]
+
+
+def _random_query(rng, n):
+    of = {}
+    for t in range(rng.randint(1, 9)):
+        docs = np.array(sorted(rng.sample(range(n), rng.randint(1, n))))
+        of[t] = docs, np.array([rng.randint(0, 50) for _ in docs])
+    pairs = [(a, a + 1) for a in range(0, len(of) - 1, 2)]
+    return of, pairs
+
+
+def test_pair_bounds_hold_and_lose_nothing():
+    rng = random.Random(7)
+    for _ in range(400):
+        n, k = rng.randint(1, 40), rng.randint(1, 6)
+        of, pairs = _random_query(rng, n)
+        joint, kept = search._pairs(of, pairs, n)
+        query = search.units(list(of), [(p, a, b) for p, (a, b) in enumerate(pairs)], of, joint, kept)
+        score = np.zeros(n, np.int64)
+        for docs, impacts in of.values():
+            score[docs] += impacts
+        assert score.max() <= sum(u.bound for u in query) <= sum(int(i.max()) for _, i in of.values())
+        needed = rng.choice([0, 0, int(np.median(score)), int(score.max()), int(score.max()) + 1])
+        found, scores = search.best(query, n, k, needed)
+        order = [d for d in np.argsort(-score, kind="stable")[:k] if score[d] >= max(needed, 1)]
+        assert found.tolist() == order and scores.tolist() == score[order].tolist()
+
+
+def test_pairs_that_never_meet_are_bound_by_the_larger_maximum():
+    of = {0: (np.array([0, 1]), np.array([9, 8])), 1: (np.array([2, 3]), np.array([7, 7]))}
+    joint, kept = search._pairs(of, [(0, 1)], 4)
+    (unit,) = search.units([0, 1], [(0, 0, 1)], of, joint, kept)
+    assert unit.bound == 9 and len(unit.both[0]) == 0
+    # No document can reach 10, though the maxima sum up to 16.
+    assert len(search.best([unit], 4, 2, 10)[0]) == 0
+
+
+# ------------------------------------------------------------------ personal data
+
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _plain_spans(text):
+    out = []
+    for kind, pattern in _PLAIN.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = [int(c) for c in m.group() if c in "0123456789"]
+            if kind == "ip" and any(int(p) > 255 for p in m.group().split(".")):
+                continue
+            if kind == "card":
+                twice = [d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))]
+                if not 13 <= len(digits) <= 19 or sum(twice) % 10:
+                    continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("a1059.@+- (),éо0O4\n")) | st.lists(st.sampled_from(["a@b.c", "@", "1.2.3.4", ".5", "+1 (017) 555-7713", "4111 1111 1111 1111", " ", "x", "-", "256.1.1.1", "one two three", " at ", " dot "])).map("".join))
+def test_plain_identifiers_are_those_of_the_patterns(text):
+    found = pii.identifiers(text)
+    assert [s[:3] for s in found if s.base] == _plain_spans(text)
+    assert found == sorted(found, key=lambda s: (pii.KINDS.index(s.kind), s.start, s.end))
+    (sign,) = pii.may_be_disguised(pa.array([text]))
+    assert pii.identifiers(text, sign) == found
+
+
+DISGUISED = [
+    ("email", "john.doe [at] example [dot] com"),
+    ("email", "john (at) example.com"),
+    ("email", "john at example dot com"),
+    ("email", "jane.doe at example.com"),
+    ("email", "john AT mail DOT example DOT com"),
+    ("email", "john dot doe at example dot co dot uk"),
+    ("email", "user@example dot org"),
+    ("email", "user&#64;example&#46;com"),
+    ("email", "jоhn@exаmple.com"),
+    ("email", "ｊｏｈｎ＠ｅｘ．ｃｏｍ"),
+    ("email", "jo​hn@exa­mple.com"),
+    ("email", "john @ example.com"),
+    ("phone", "plus four nine three zero one two three four five six seven"),
+    ("phone", "plus vier neun drei null eins zwei drei vier fünf sechs"),
+    ("phone", "+1 (O17) 555-77l3"),
+    ("card", "four one one one one one one one one one one one one one one one"),
+    ("card", "٤١١١ ١١١١ ١١١١ ١١١١"),
+    ("ip", "one nine two dot one six eight dot zero dot one"),
+    ("ip", "192[.]168[.]0[.]1"),
+    ("ip", "192 dot 168 dot 1 dot 1"),
+]
+
+
+@pytest.mark.parametrize(("kind", "text"), DISGUISED)
+def test_disguises_are_found_where_they_stand(kind, text):
+    for before, after in (("", ""), ("\U0001f642 write, ", " today."), ("é\n", "\nand more")):
+        whole = before + text + after
+        (span,) = pii.identifiers(whole)
+        assert (span.kind, whole[span.start : span.end], span.base) == (kind, text, False)
+        assert pii.may_be_disguised(pa.array([whole])) == [True]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "look at example.com today", "we met at noon, the dot com bust", "one two three four", "un deux trois soleil", "at 5 at the door",
+        "call +1 (017) 555-7713 one two three", "4111 1111 1111 1111 three", "пишите нам завтра в 10.30", "see a@b.c dot com", "lOl 100 Il0", "",
+    ],
+)
+def test_clean_texts_are_left_alone(text):
+    assert [s for s in pii.identifiers(text) if not s.base] == []
+
+
+def test_rewritings_lead_back():
+    rng = random.Random(2)
+    for _ in range(300):
+        source = "".join(rng.choice("abcde") for _ in range(rng.randint(1, 30)))
+        edits, at = [], 0
+        while at < len(source):
+            a = at + rng.randint(0, 4)
+            b = a + rng.randint(1, 3)
+            if b > len(source):
+                break
+            edits.append((a, b, "X" * rng.randint(0, 3)))
+            at = b
+        done = pii.Rewriting(source, edits)
+        expected, origin = [], []
+        at = 0
+        for a, b, new in [*edits, (len(source), len(source), "")]:
+            expected += source[at:a]
+            origin += [(i, i + 1) for i in range(at, a)]
+            expected += new
+            origin += [(a, b)] * len(new)
+            at = b
+        assert done.text == "".join(expected)
+        for i in range(len(origin)):
+            for j in range(i + 1, len(origin) + 1):
+                assert done.back(i, j) == (origin[i][0], origin[j - 1][1])
+
+
+def test_pii_of_odd_rows(spark):
+    extra = [(500, "a@b.cc and 1.2.3.4, +1 (017) 555-7713; john at example dot com"), (501, "x" * 2000 + "@" + "1" * 2000), (500, "a@b.cc")]
+    rows = [*plain.odd_documents(), *[(d, t, None, None, None, *[None] * (len(plain._EXTRA))) for d, t in extra]]
+    docs = plain.frame(ship(spark), rows)
+    found = sorted(map(tuple, pii.pii_digest(pii.find_pii(docs)).collect()), key=plain.sort_key)
+    expected = []
+    for d, t, *_ in rows:
+        base, spans = _plain_spans(t), pii.identifiers(t)
+        told = ",".join(":".join(map(str, s)) for s in base)
+        counts = [sum(k == kind for k, *_ in base) for kind in pii.KINDS]
+        every = ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans)
+        expected.append((d, *counts, hashlib.sha256(told.encode()).hexdigest(), every, len(spans) - len(base)))
+    assert found == sorted(expected, key=plain.sort_key)
+    assert pii.find_pii(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("unit", ["x", "1", "1.", "1 ", "@", "a@", "+1 ", "one ", " at ", " dot ", "O1", "[at]", "\u200b", "о"])
+def test_long_texts_are_read_in_linear_time(unit):
+    text = unit * (200_000 // len(unit))
+    began = time.process_time()
+    pii.identifiers(text)
+    pii.may_be_disguised(pa.array([text]))
+    assert time.process_time() - began < 20
+
+
+def test_masking_keeps_everything_else(spark):
+    rows = [(1, "a@b.cc or c [at] d.ee!", "k"), (2, None, "k"), (3, "", "k"), (3, "none", None)]
+    masked = pii.mask_pii(ship(spark).createDataFrame(rows, "doc_id long, text string, pii string"))
+    assert sorted(map(tuple, masked.collect()), key=plain.sort_key) == sorted(
+        [(1, "[email] or [email]!", "k"), (2, None, "k"), (3, "", "k"), (3, "none", None)], key=plain.sort_key
+    )
+
+
+# ------------------------------------------------------------------ vector codes
+
+
+def _plain_codes(rows, entries, parts, rounds):
+    """Lloyd's rounds on whole numbers, one part at a time."""
+    kept = [(i, label, v) for i, label, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    usual = Counter(len(v) for _, _, v in kept).most_common(1)[0][0]
+    kept = [(i, label, [math.floor(256 * x) for x in v]) for i, label, v in kept if len(v) == usual]
+    width = usual // parts
+    cut = [[tuple(v[p * width : (p + 1) * width]) for p in range(parts)] for _, _, v in kept]
+    first = sorted(range(len(kept)), key=lambda r: (kept[r][0] is None, kept[r][0], kept[r][2]))[:entries]
+    books = [[cut[r][p] for r in first] for p in range(parts)]
+
+    def near(x, book):
+        return min((sum((a - b) ** 2 for a, b in zip(x, e, strict=True)), k) for k, e in enumerate(book))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            members = defaultdict(list)
+            for v in cut:
+                members[near(v[p], books[p])[1]].append(v[p])
+            for e, own in members.items():
+                books[p][e] = tuple(sum(c) // len(own) for c in zip(*own, strict=True))
+    told = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    found = [[near(v[p], books[p]) for p in range(parts)] for v in cut]
+    errors = [sum(d for d, _ in f) for f in found]
+    sums = Counter()
+    for (_, label, _), e in zip(kept, errors, strict=True):
+        sums[label] += e
+    rows = [(i, "".join(f"{k:02x}" for _, k in f), e, sums[label], told) for (i, label, _), f, e in zip(kept, found, errors, strict=True)]
+    return sorted(rows, key=plain.sort_key)
+
+
+def _vectors(n=300, dim=32):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(i % 4) if i % 5 else None, [float(x) for x in rng.normal(0, 0.4, dim).astype(np.float32)]) for i in range(n)]
+    same = [float(x) for x in rng.normal(0, 1, dim).astype(np.float32)]
+    rows += [(1000 + i, 9, same) for i in range(150)]  # a third of all rows
+    odd = [None, [], [None] * dim, [*same[1:], None], [*same[1:], float("nan")], [*same[1:], float("-inf")], same[:16]]
+    rows += [(2000 + i, 1, v) for i, v in enumerate(odd)]
+    rows += [(5, 1, same), (5, 1, same), (None, None, rows[0][2])]
+    return [rows[i] for i in rng.permutation(len(rows))]
+
+
+VECTORS = "vec_id long, label int, embedding array<float>"
+
+
+@pytest.mark.parametrize(("owner", "rounds", "entries"), [(1 << 17, 2, 64), (40, 3, 20), (40, 0, 8)])
+def test_codes_are_those_of_plain_rounds(spark, monkeypatch, owner, rounds, entries):
+    monkeypatch.setattr(codes, "_PER_OWNER", owner)
+    rows = _vectors()
+    frame = spark.createDataFrame(rows, VECTORS).selectExpr("*", "7 AS row", "'x' AS entry", "1 AS values", "2 AS _of").repartition(5)
+    found = codes.vector_codes(frame, entries=entries, parts=4, rounds=rounds)
+    assert found.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
+    assert sorted(map(tuple, found.collect()), key=plain.sort_key) == _plain_codes(rows, entries, 4, rounds)
+
+
+def test_only_parts_that_change_entry_move(spark):
+    kept = codes.quantised(spark.createDataFrame(_vectors(), VECTORS))
+    books = codes.first_entries(kept, 20, 4)
+    residents = [codes.place(kept, books, 3, 4)]
+    later = codes.updated(residents, books)
+    width = books.shape[2]
+
+    def owners(tables):
+        return {(r.position, int(i)): (r.entry, x.tolist()) for t in tables for r in t.collect() for i, x in zip(*codes._members(r.members, width), strict=True)}
+
+    before = owners(residents)
+    stay, arrived = codes.reassigned(residents, later, 4)
+    after_stay, after_move = owners([stay.where("NOT moved")]), owners([arrived])
+    assert len(after_stay) + len(after_move) == len(before) == 4 * kept.count()
+    for key, (entry, x) in before.items():
+        now = codes.nearest(np.array([x]), later[key[0]])[0][0]
+        assert (after_stay if now == entry else after_move)[key] == (now, x)
+    assert 0 < len(after_move) < len(after_stay)
+
+
+def test_codes_of_few_or_no_vectors(spark):
+    few = spark.createDataFrame([(2, None, [1.0, -1.0]), (1, 3, [0.5, 0.25])], VECTORS)
+    found = {r.vec_id: r for r in codes.vector_codes(few, parts=2).collect()}
+    assert (found[1].code, found[2].code, found[1].error, found[2].label_error) == ("0000", "0101", 0, 0)
+    assert codes.vector_codes(few.where("label > 99")).collect() == []
+    with pytest.raises(ValueError, match="equal parts"):
+        codes.vector_codes(few)
+
+
+def test_nearest_is_exact_for_large_numbers():
+    rng = np.random.default_rng(5)
+    x, book = rng.integers(-codes.LARGEST + 1, codes.LARGEST, (50, 3)), rng.integers(-codes.LARGEST + 1, codes.LARGEST, (9, 3))
+    index, error = codes.nearest(x, book)
+    for row, i, e in zip(x.tolist(), index, error, strict=True):
+        all_of = [sum((a - b) ** 2 for a, b in zip(row, c, strict=True)) for c in book.tolist()]
+        assert (e, i) == (min(all_of), all_of.index(min(all_of)))
+    with pytest.raises(ValueError, match="beyond"):
+        codes.nearest(np.array([[1 << 40]]), np.array([[0]]))
+
+
+# ------------------------------------------------------------------ statements
+
+
+@pytest.mark.parametrize("name", ["op11_ranked_search", "op13_vector_codes"])
+def test_new_queries_against_their_statements(spark, name):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    found = queries.QUERIES[name](spark, folder)
+    with duckdb.connect() as db:
+        for table in ("documents", "benchmark", "embeddings"):
+            db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+        told = db.execute(queries.SQL[name])
+        columns = [c[0] for c in told.description]
+        assert sorted(told.fetchall()) == sorted(tuple(r) for r in found.select(*columns).collect())
