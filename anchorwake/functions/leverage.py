@@ -14,7 +14,7 @@ from anchorwake.functions import fixed
 from anchorwake.functions.nulls import if_else
 
 
-def _margin_weight(score_diff: Column) -> Column:
+def margin_weight(score_diff: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.abs(score_diff))
 
 
@@ -29,7 +29,7 @@ def leverage_weights(
     """The four weights of the zone report, by output column name."""
     overtime = period >= fixed.OVERTIME_PERIOD
     return {
-        "score_weight": _margin_weight(score_diff),
+        "score_weight": margin_weight(score_diff),
         "period_weight": F.when(overtime, fixed.PERIOD_WEIGHTS[fixed.OVERTIME_PERIOD]).otherwise(
             _listed(period, fixed.PERIOD_WEIGHTS)
         ),
@@ -52,7 +52,7 @@ def leverage_lookup(score_diff: Column, period: Column, manpower: Column, x: Col
     """Leverage in the player jobs; missing when margin or x is missing."""
     in_end_zone = F.abs(x) > fixed.END_ZONE_X
     return (
-        _margin_weight(score_diff)
+        margin_weight(score_diff)
         * _listed(period, fixed.PERIOD_WEIGHTS)
         * _listed(manpower, fixed.STRENGTH_WEIGHTS)
         * if_else(in_end_zone, fixed.END_ZONE_WEIGHT, fixed.DEFAULT_WEIGHT)

@@ -26,6 +26,8 @@ ROWS_PER_BLOCK = 250_000
 ROWS_PER_BLOCK_CONF = "spark.anchorwake.rowsPerBlock"
 MAX_BLOCKS = 65_536
 SAMPLES_PER_BLOCK = 16
+#: Sampled rows of one key that are sorted in one group.
+GATHERED_SAMPLES = 16_384
 
 
 def rows_per_block(spark: SparkSession) -> int:
@@ -97,23 +99,48 @@ def find_split(
         return None
     every = max(1, size // SAMPLES_PER_BLOCK)
     large = sizes.where(F.col("_rows") > size).select(*keys)  # fewer than MAX_BLOCKS keys
+    chosen = F.xxhash64(*order)
     sample = (
         df.select(*keys, *order)
-        .where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0)
+        .where(F.pmod(chosen, F.lit(every)) == 0)
         .join(F.broadcast(large), list(keys))
     )
-    # At most SAMPLES_PER_BLOCK * MAX_BLOCKS sampled rows in expectation, over all keys.
-    bounds = sample.groupBy(*keys).agg(
-        F.filter(
-            F.sort_array(F.collect_list(sort_key(order))),
-            lambda _, i: i % SAMPLES_PER_BLOCK == SAMPLES_PER_BLOCK - 1,
-        ).alias("_cuts")
-    )
     # Twice the expected number of cuts; any beyond would only make the last block larger.
     search_steps = (2 * math.ceil(largest / size)).bit_length()
+    if largest // every > GATHERED_SAMPLES:
+        sample, cuts = _cuts_in_ranges(settle(sample), keys, order, every, largest)
+    else:
+        cuts = F.filter(
+            F.sort_array(F.collect_list(sort_key(order))),
+            lambda _, i: i % SAMPLES_PER_BLOCK == SAMPLES_PER_BLOCK - 1,
+        )
+    bounds = sample.groupBy(*keys).agg(cuts.alias("_cuts"))
     return Split(tuple(keys), tuple(order), settle(bounds), search_steps)
 
 
+def _cuts_in_ranges(
+    sample: DataFrame, keys: Sequence[str], order: Sequence[str], every: int, largest: int
+) -> tuple[DataFrame, Column]:
+    """The same cut points without gathering the sample of a key.
+
+    A sample of the sample divides it into ranges; each range is sorted for itself, and the
+    counts of the ranges before give the place of its rows. Only the cut points of a
+    key come together, which every task needs anyway.
+    """
+    per_range = GATHERED_SAMPLES // SAMPLES_PER_BLOCK
+    fewer = sample.where(F.pmod(F.xxhash64(*order), F.lit(every * per_range)) == 0)
+    ranges = fewer.groupBy(*keys).agg(F.sort_array(F.collect_list(sort_key(order))).alias("_cuts"))
+    coarse = Split(tuple(keys), tuple(order), settle(ranges), (2 * math.ceil(largest / every / per_range)).bit_length())
+    placed = coarse.assign(sample)
+    in_key = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy(*keys, BLOCK).agg(F.count("*").alias("_rows"))
+    before = settle(before.withColumn("_skip", F.coalesce(F.sum("_rows").over(in_key), F.lit(0))).drop("_rows"))
+    by = [F.col(c).asc_nulls_last() for c in order]
+    at = F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(*by)) + F.col("_skip")
+    cut = placed.join(F.broadcast(before), [*keys, BLOCK]).withColumn("_at", at).where(F.col("_at") % SAMPLES_PER_BLOCK == 0)
+    return cut, F.sort_array(F.collect_list(sort_key(order)))
+
+
 def fits_one_block(df: DataFrame) -> bool:
     """Whether one task may hold the whole table in order."""
     return df.count() <= rows_per_block(df.sparkSession)
@@ -186,44 +213,59 @@ def with_average_rank(
 def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], tie_break: str) -> DataFrame:
     """One row of exact, linearly interpolated quantiles; missing values are skipped.
 
-    Read ``df`` from a materialised table.
+    Read ``df`` from a materialised table. If it has more rows than a block, its values are
+    counted in bins, for all quantiles in one scan; only the bins that hold a wanted place are sorted.
     """
     if fits_one_block(df):
         return df.agg(*[F.percentile(x, F.lit(q)).alias(name) for name, (x, q) in wanted.items()])
-    found = {}
+    kinds = list(dict.fromkeys(str(x) for x, _ in wanted.values()))
+    columns = {str(x): x for x, _ in wanted.values()}
+    each = F.array(*[F.struct(F.lit(i).alias("_kind"), columns[k].cast("double").alias("_x")) for i, k in enumerate(kinds)])
+    values = df.select(F.inline(each), F.col(tie_break).alias("_tie")).where("_x IS NOT NULL")
+    order = ("_x", "_tie")
+    split = find_split(values, ("_kind",), order)
+    binned = values.withColumn(BLOCK, F.lit(0)) if split is None else split.assign(values)
+    counts = settle(binned.groupBy("_kind", BLOCK).agg(F.count("*").alias("_rows")))
+    in_kind = Window.partitionBy("_kind").orderBy(BLOCK)
+    bins = counts.withColumn("_end", F.sum("_rows").over(in_kind)).withColumn("_skip", F.col("_end") - F.col("_rows"))
+    totals = {r["_kind"]: r["n"] for r in counts.groupBy("_kind").agg(F.sum("_rows").alias("n")).collect()}
+    places = []  # name, kind, 0-based place below, share of the way to the place above
     for name, (x, q) in wanted.items():
-        values = df.select(x.cast("double").alias("_x"), tie_break).where("_x IS NOT NULL")
-        at = (values.count() - 1) * q
-        low = math.floor(at)
-        placed, _ = with_positions(values, ("_x", tie_break))
-        # The one or two rows around the wanted place, as one row.
-        ends = placed.where(F.col("_position").isin(low, math.ceil(at))).agg(
-            F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
-        )
-        found[name] = ends.select(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (at - low))
-    return df.sparkSession.range(1).select(*[one.scalar().alias(n) for n, one in found.items()])
+        kind = kinds.index(str(x))
+        at = max(totals.get(kind, 0) - 1, 0) * q
+        places += [(name, kind, place, at - math.floor(at)) for place in sorted({math.floor(at), math.ceil(at)})]
+    asked = df.sparkSession.createDataFrame(places, "_name string, _kind int, _place bigint, _part double")
+    # One or two rows per quantile, each with the bin that holds its place.
+    held = F.broadcast(asked).join(bins, "_kind").where("_skip <= _place AND _place < _end")
+    sorted_bins = binned.join(F.broadcast(held.select("_kind", BLOCK, "_skip").distinct()), ["_kind", BLOCK])
+    by = [F.col(c).asc_nulls_last() for c in order]
+    at = F.row_number().over(Window.partitionBy("_kind", BLOCK).orderBy(*by)) + F.col("_skip") - 1
+    found = sorted_bins.select("_kind", "_x", at.alias("_place")).join(F.broadcast(asked), ["_kind", "_place"])
+    ends = found.groupBy("_name").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.any_value("_part").alias("_part"))
+    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")
+    return ends.agg(*[F.max(F.when(F.col("_name") == name, value)).alias(name) for name in wanted])
 
 
-def starts_by_key(sizes: DataFrame, key: str) -> DataFrame:
-    """Rows before each key in key order, (key, _start), from the rows of each key.
+def starts_by_key(sizes: DataFrame, *keys: str) -> DataFrame:
+    """Rows before each key in key order, (keys, _start), from the rows of each key.
 
-    ``key`` may have any type that sorts. ``sizes`` is read more than once, so pass a
+    Keys may have any type that sorts. ``sizes`` is read more than once, so pass a
     materialised table (``key_sizes``). If it has more rows than a block, the prefix sums
     run per block of consecutive keys and then over the blocks.
     """
-    sizes = sizes.where(F.col(key).isNotNull())
+    sizes = sizes.dropna(subset=list(keys))
     whole = sizes.withColumn("_whole", F.lit(0))
-    split = find_split(whole, ("_whole",), (key,))
+    split = find_split(whole, ("_whole",), keys)
     before = (Window.unboundedPreceding, -1)
     if split is None:  # checked: all keys fit one block
-        start = F.sum("_rows").over(Window.orderBy(key).rowsBetween(*before))
-        return sizes.select(key, F.coalesce(start, F.lit(0)).alias("_start"))
+        start = F.sum("_rows").over(Window.orderBy(*keys).rowsBetween(*before))
+        return sizes.select(*keys, F.coalesce(start, F.lit(0)).alias("_start"))
     blocked = split.assign(whole).drop("_whole")
-    inside = F.sum("_rows").over(Window.partitionBy(BLOCK).orderBy(key).rowsBetween(*before))
+    inside = F.sum("_rows").over(Window.partitionBy(BLOCK).orderBy(*keys).rowsBetween(*before))
     skips = (
         blocked.groupBy(BLOCK)
         .agg(F.sum("_rows").alias("_rows"))
         .select(BLOCK, F.coalesce(F.sum("_rows").over(Window.orderBy(BLOCK).rowsBetween(*before)), F.lit(0)).alias("_skip"))
     )
     placed = blocked.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(skips), BLOCK)
-    return placed.select(key, (F.col("_skip") + F.col("_inside")).alias("_start"))
+    return placed.select(*keys, (F.col("_skip") + F.col("_inside")).alias("_start"))

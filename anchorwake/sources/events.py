@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anchorwake.functions.fixed import PANDAS_MISSING
-from anchorwake.sources.schema import EVENTS, IDS, SEQUENCE, check_columns
+from anchorwake.sources.csv_rows import ROW, SURPLUS, text_rows
+from anchorwake.sources.schema import EVENTS, IDS, NEEDED, SEQUENCE, check_columns, complete
 
 _KNOWN = {field.name: field.dataType for field in [*EVENTS.fields, *SEQUENCE.fields]}
-ROW = "row_pos"
-_SURPLUS = "_surplus"
-_TEXT = "_text"
-_NOTHING = "\x00"  # read as a missing field, so that blank fields arrive as they are
 _ID_TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType()}
 
 
@@ -38,18 +38,6 @@ def _number(text: Column, kind: T.DataType) -> tuple[Column, Column]:
     return value, value.isNotNull()
 
 
-def _csv_rows(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    """All fields as text, one more column that only rows with surplus fields fill, and the row's order.
-
-    Quotes are doubled inside quoted fields, as pandas and R write and read them.
-    """
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-    names = reader.csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _SURPLUS]])
-    rows = reader.option("nullValue", _NOTHING).option("emptyValue", "").option("enforceSchema", True).schema(schema).csv(path)
-    return rows.withColumn(ROW, _file_order())
-
-
 def _parsed(rows: DataFrame, blank_strings: str, id_type: str) -> tuple[dict[str, Column], dict[str, Column]]:
     """The value of every column, and for the typed ones whether the text cannot be read."""
     if blank_strings not in ("missing", "keep"):
@@ -57,7 +45,7 @@ def _parsed(rows: DataFrame, blank_strings: str, id_type: str) -> tuple[dict[str
     if id_type not in _ID_TYPES:
         raise ValueError(f"id_type is one of {', '.join(_ID_TYPES)}")
     values, unread = {}, {}
-    for name in (c for c in rows.columns if c not in (_SURPLUS, ROW)):
+    for name in (c for c in rows.columns if c not in (SURPLUS, ROW)):
         kind, text = _kind(name, id_type), F.col(f"`{name}`")
         missing = text.isNull() | text.isin("", *PANDAS_MISSING)
         if kind is not None and not isinstance(kind, T.StringType):
@@ -79,19 +67,23 @@ def read_events_csv(
     id_type: str = "bigint",
     multi_line: bool = False,
     unreadable: str = "raise",
+    required: Sequence[str] = NEEDED,
 ) -> DataFrame:
-    """Read a CSV log with a header, add ``row_pos`` and keep unknown columns as text.
+    """Read a CSV log with a header per file, add ``row_pos`` and keep unknown columns as text.
 
+    The files of a folder may have their columns in different orders, and further columns
+    of their own; a file without one of the ``required`` columns raises an error.
     ``blank_strings="missing"`` reads the usual missing-value texts as missing.
     ``"keep"`` treats only ``NA`` so and keeps a blank text as an empty one, which
     is how the reporting jobs read their input. ``id_type`` is the type of games, teams
-    and players. ``multi_line`` allows line breaks in quoted fields; such a file is read
-    by one task. Rows with surplus fields or with a value that cannot be read raise an
-    error, or are left to ``rejected_events_csv`` with ``unreadable="skip"``.
+    and players. ``multi_line`` allows line breaks in quoted fields, in files of any size.
+    Rows with surplus fields or with a value that cannot be read raise an
+    error, or are left to ``rejected_events_csv`` with ``unreadable="skip"``. A row
+    with fewer fields than the header is accepted and filled up with missing values, as pandas and R do.
     """
     if unreadable not in ("raise", "skip"):
         raise ValueError("unreadable is 'raise' or 'skip'")
-    rows = _csv_rows(spark, path, multi_line)
+    rows = text_rows(spark, path, multi_line, required)
     values, unread = _parsed(rows, blank_strings, id_type)
     if unreadable == "skip":
         rows = rows.where(_reason(unread).isNull())
@@ -100,38 +92,81 @@ def read_events_csv(
             message = F.concat(F.lit(f"{path}: cannot read {name}: "), F.col(f"`{name}`"))
             values[name] = F.when(unread[name], F.raise_error(message)).otherwise(values[name])
         # In the row's order, so that no choice of columns leaves it out with the rows.
-        surplus = F.raise_error(F.concat(F.lit(f"{path}: a row has more fields than the header: "), F.col(_SURPLUS)))
-        rows = rows.where(F.when(F.col(_SURPLUS).isNotNull(), surplus.cast("boolean")).otherwise(True))
+        surplus = F.raise_error(F.concat(F.lit(f"{path}: a row has more fields than the header: "), F.col(SURPLUS)))
+        rows = rows.where(F.when(F.col(SURPLUS).isNotNull(), surplus.cast("boolean")).otherwise(True))
     return rows.select(*[v.alias(n) for n, v in values.items()], ROW)
 
 
 def rejected_events_csv(
-    spark: SparkSession, path: str, blank_strings: str = "missing", id_type: str = "bigint", multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    blank_strings: str = "missing",
+    id_type: str = "bigint",
+    multi_line: bool = False,
+    required: Sequence[str] = NEEDED,
 ) -> DataFrame:
     """The rows that ``read_events_csv`` cannot read, as text, with ``reason``."""
-    rows = _csv_rows(spark, path, multi_line)
+    rows = text_rows(spark, path, multi_line, required)
     _, unread = _parsed(rows, blank_strings, id_type)
-    return rows.withColumn("reason", _reason(unread)).where("reason IS NOT NULL").drop(_SURPLUS)
+    return rows.withColumn("reason", _reason(unread)).where("reason IS NOT NULL").drop(SURPLUS)
 
 
 def _reason(unread: dict[str, Column]) -> Column:
-    reason = F.when(F.col(_SURPLUS).isNotNull(), "surplus fields")
+    """Why a row is not accepted; null if it is."""
+    reason = F.when(F.col(SURPLUS).isNotNull(), "surplus fields")
     for name, bad in unread.items():
         reason = reason.when(bad, f"cannot read {name}")
     return reason
 
 
-def _file_order() -> Column:
-    """A value that sorts rows in file order, and files by path.
+class SplitLog(NamedTuple):
+    """The rows that a check has accepted, and the others with the reason."""
+
+    accepted: DataFrame
+    rejected: DataFrame
 
-    The splits of a file are read in order, so the file, the place of the split in it
-    and a running number will do.
+
+def store_events_csv(
+    spark: SparkSession,
+    path: str,
+    out: str,
+    blank_strings: str = "missing",
+    id_type: str = "bigint",
+    multi_line: bool = False,
+    required: Sequence[str] = NEEDED,
+    mode: str = "error",
+) -> SplitLog:
+    """Read a CSV log once and store it as Parquet under ``out``, accepted and rejected rows apart.
+
+    One parse and one write; ``accepted`` is what ``read_events_csv`` with
+    ``unreadable="skip"`` gives, ``rejected`` what ``rejected_events_csv`` does, both
+    read from the stored files.
     """
-    return F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
+    rows = text_rows(spark, path, multi_line, required)
+    values, unread = _parsed(rows, blank_strings, id_type)
+    # The check is one column of the pass, so that the values are not looked at again by every use of it.
+    checked = rows.withColumn("_reason", _reason(unread))
+    texts = [F.col(f"`{n}`") for n in values]
+    stored = checked.select(
+        F.col("_reason").isNull().alias("accepted"),
+        F.when(F.col("_reason").isNull(), F.struct(*[v.alias(n) for n, v in values.items()])).alias("event"),
+        F.when(F.col("_reason").isNotNull(), F.struct(*texts, F.col("_reason").alias("reason"))).alias("text"),
+        ROW,
     )
+    both = _stored_split(stored, out, mode)
+    return SplitLog(both.where("accepted").select("event.*", ROW), both.where("NOT accepted").select("text.*", ROW))
+
+
+def store_checked(events: DataFrame, out: str, mode: str = "error") -> SplitLog:
+    """Store a log as Parquet under ``out``, rows that the jobs can use apart from the incomplete ones, in one pass."""
+    both = _stored_split(events.withColumn("accepted", complete()), out, mode)
+    return SplitLog(both.where("accepted").drop("accepted"), both.where("NOT accepted").drop("accepted"))
+
+
+def _stored_split(rows: DataFrame, out: str, mode: str) -> DataFrame:
+    """``rows`` written by their column ``accepted``, which a reader uses to choose files, and read again."""
+    rows.write.mode(mode).partitionBy("accepted").parquet(out)
+    return rows.sparkSession.read.schema(rows.schema).parquet(out)
 
 
 def read_events_parquet(spark: SparkSession, path: str) -> DataFrame:

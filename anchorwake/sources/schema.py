@@ -52,9 +52,14 @@ def _incomplete() -> Column:
     return missing | (anchor & F.col("outcome").isNull())
 
 
+def complete() -> Column:
+    """Whether a row has a game, a time and an event name, and an outcome if it is an anchor."""
+    return ~_incomplete()
+
+
 def complete_rows(events: DataFrame) -> DataFrame:
     """Rows with a game, a time and an event name, and an outcome on every anchor."""
-    return events.where(~_incomplete())
+    return events.where(complete())
 
 
 def incomplete_rows(events: DataFrame) -> DataFrame:
