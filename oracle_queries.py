@@ -344,26 +344,86 @@ LONG_IDS = _log("CAST(gameid AS BIGINT) + 3000000000 AS gameid")
 def statements() -> dict[str, str]:
     """The statement of every registered query of the library itself."""
     out = _statements(RAW_EVENTS)
-    for name in ("attached_events", "anchor_sessions", "xg_by_side"):
+    for name in CUT_GAMES:
         out[f"{name}_cut_games"] = out[name]
     for name in ("player_ratings", "rank_correlation"):
         out[f"{name}_cut_table"] = out[name]
     out["xg_by_side_stored_log"] = out["xg_by_side"]
     gaps = _statements(GAPS)
     out |= {f"{name}_gaps": gaps[name] for name in WITH_GAPS}
-    out |= {f"{name}_gaps_cut_games": gaps[name] for name in ("xg_by_side", "fis_scores")}
+    out |= {f"{name}_gaps_cut_games": gaps[name] for name in GAPS_CUT_GAMES}
     out["post_anchor_events_long_ids"] = _statements(LONG_IDS)["post_anchor_events"]
     return out
 
 
+#: Queries that are also run with every game cut, on the whole log and on the log with gaps.
+CUT_GAMES = ("attached_events", "anchor_sessions", "xg_by_side", "attempt_anchors", "team_anchors", "same_strength_events")
+GAPS_CUT_GAMES = ("xg_by_side", "fis_scores", "attempt_anchors", "same_or_both_missing", "team_anchors")
 #: Queries that are also run on the log with gaps.
 WITH_GAPS = (
+    "attempt_anchors", "team_anchors", "same_strength_events", "same_or_both_missing",
     "post_anchor_events", "anchor_sessions", "anchor_registry", "xg_by_side", "territorial_delta",
     "impact_leaderboard", "leaderboard_summary", "leaderboard_panel", "player_ratings", "rank_correlation",
     "pair_adjacent", "sequence_xg", "sequence_outcomes", "fis_scores", "zone_impact", "outcome_report", "control_total",
 )
 
 
+def _latest(keys: str, anchor: str, prefix: str, same: tuple[str, ...], fill: bool = True) -> str:
+    """``attached``: every row with a key and the latest anchor of its key."""
+    if fill:
+        context = [f"last_value(CASE WHEN {anchor} THEN {c} END IGNORE NULLS) OVER w AS {prefix}_{c}" for c in same]
+    else:
+        context = [f"(last_value(CASE WHEN {anchor} THEN {{'v': {c}}} END IGNORE NULLS) OVER w).v AS {prefix}_{c}" for c in same]
+    known = " AND ".join(f"{k.strip()} IS NOT NULL" for k in keys.split(","))
+    return f"""numbered AS (
+SELECT *, row_number() OVER (ORDER BY {keys}, compiledgametime, row_pos) - 1 AS idx FROM raw_events WHERE {known}),
+attached AS (
+SELECT * EXCLUDE (idx), CAST(last_value(CASE WHEN {anchor} THEN idx END IGNORE NULLS) OVER w AS BIGINT) AS {prefix}_sequence_id,
+       last_value(CASE WHEN {anchor} THEN compiledgametime END IGNORE NULLS) OVER w AS {prefix}_time, {", ".join(context)}
+FROM numbered WINDOW w AS (PARTITION BY {keys} ORDER BY compiledgametime, row_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+def _after(prefix: str, horizon: int, same: tuple[str, ...], equal: str = "=") -> str:
+    context = " AND ".join(f"{c} {equal} {prefix}_{c}" for c in same)
+    return (
+        f"SELECT {_EVENT}, {prefix}_sequence_id, {prefix}_time FROM attached "
+        f"WHERE {prefix}_sequence_id IS NOT NULL AND compiledgametime <= {prefix}_time + {horizon} AND {context}"
+    )
+
+
+def _new_statements(raw: str, to_registry: list[str]) -> dict[str, str]:
+    """Anchors of other keys, contexts and kinds, from the same log or from a table of their own."""
+    strength, either, attempt = ("period", "manpowersituation"), ("manpowersituation", "teaminpossession"), "eventname IN ('shot', 'goal')"
+    faceoff = "eventname = 'faceoff'"
+    place = "CAST(compiledgametime AS BIGINT) * 1000000000 + row_pos"
+    return {
+        "attempt_anchors": _with(
+            [raw],
+            f"SELECT e.gameid, e.teamid, e.compiledgametime, e.row_pos, e.eventname, e.playerid, {_f('e.xg_allattempts', 'xg_allattempts')}, "
+            "a.period AS anchor_period, a.outcome AS anchor_outcome, a.playerid AS anchor_playerid, a.xadjcoord AS anchor_xadjcoord "
+            f"FROM (SELECT *, {place} AS place FROM raw_events WHERE {attempt}) e "
+            f"ASOF LEFT JOIN (SELECT *, {place} AS place FROM raw_events WHERE {faceoff}) a "
+            "ON e.gameid = a.gameid AND e.teamid = a.teamid AND e.place >= a.place",
+        ),
+        "team_anchors": _with(
+            [raw, _latest("gameid, teamid", faceoff, "faceoff", strength)],
+            f"SELECT {_EVENT}, faceoff_sequence_id, faceoff_time, faceoff_period, faceoff_manpowersituation FROM attached",
+        ),
+        "same_strength_events": _with([raw, _latest("gameid", faceoff, "faceoff", strength)], _after("faceoff", 10, strength)),
+        "same_or_both_missing": _with(
+            [raw, _latest("gameid", faceoff, "faceoff", either, fill=False)], _after("faceoff", 20, either, "IS NOT DISTINCT FROM")
+        ),
+        "attempt_sequences": _with([raw, _latest("gameid", attempt, "attempt", ("teamid",))], _after("attempt", 5, ("teamid",))),
+        "weighed_registry": _with(
+            to_registry,
+            "SELECT * REPLACE (CAST(CAST(1.0::DOUBLE / (1 + abs(score_diff)) * coalesce(0.5::DOUBLE + period / 8, 1.0::DOUBLE) "
+            "* CASE manpower WHEN 'powerPlay' THEN 1.25::DOUBLE ELSE 1.0::DOUBLE END "
+            "* CASE WHEN fo_x IS NULL THEN NULL WHEN abs(fo_x) > 25 THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END AS FLOAT) AS DOUBLE) AS leverage) "
+            "FROM registry",
+        ),
+    }
+
+
 def _statements(raw: str, min_fo: int = 15, min_rated: int = 50) -> dict[str, str]:
     to_window = [raw, ATTACHED, WINDOWED]
     to_session = [*to_window, SESSIONED]
@@ -493,4 +553,4 @@ FROM rated)"""
             "(SELECT count(*) / 2 AS expected FROM paired) e",
         ),
     }
-    return out
+    return out | _new_statements(raw, to_registry)
