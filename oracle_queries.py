@@ -348,7 +348,7 @@ def statements() -> dict[str, str]:
         out[f"{name}_cut_games"] = out[name]
     for name in ("player_ratings", "rank_correlation"):
         out[f"{name}_cut_table"] = out[name]
-    out["xg_by_side_stored_log"] = out["xg_by_side"]
+    out["xg_by_side_stored_log"] = out["xg_by_side_bucketed_log"] = out["xg_by_side"]
     gaps = _statements(GAPS)
     out |= {f"{name}_gaps": gaps[name] for name in WITH_GAPS}
     out |= {f"{name}_gaps_cut_games": gaps[name] for name in GAPS_CUT_GAMES}
