@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from anchorwake.functions import fixed
 from anchorwake.operators import outcomes, panels, pairing, ratings, registry, sequences
+from anchorwake.sources import events as io
 from anchorwake.sources.schema import complete_rows, incomplete_rows
 from anchorwake.sources.settle import settle
 
@@ -30,6 +31,14 @@ def post_anchor_events(
     return sequences.window_after_anchor(sequences.attach_anchor(events, split), horizon)
 
 
+def write_post_anchor_events(
+    events: DataFrame, path: str, fmt: str = "csv", mode: str = "error", horizon: float = fixed.HORIZON_SECONDS, split="find"
+) -> io.SequenceCounts:
+    """Raw log to files with the events within the horizon of their anchor, and how many they are."""
+    windowed = sequences.window_after_anchor(sequences.attach_in_blocks(events, split), horizon)
+    return io.write_counted(windowed, path, fmt, mode)
+
+
 def sequence_counts(windowed: DataFrame) -> DataFrame:
     """Events and sequences that the filter has kept, as one row."""
     return sequences.sequence_summary(windowed)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anchorwake.functions.fixed import PANDAS_MISSING
+from anchorwake.operators.ordering import BLOCK
 from anchorwake.sources.csv_rows import ROW, SURPLUS, text_rows
 from anchorwake.sources.schema import EVENTS, IDS, NEEDED, SEQUENCE, check_columns, complete
 
@@ -203,15 +205,69 @@ def write_events(windowed: DataFrame, path: str, fmt: str = "csv", mode: str = "
     may lie in several partitions; Parquet keeps ``row_pos``, so there rows are by default
     sorted where they are.
     """
+    _write(_in_file_order(windowed, fmt, by_range), path, fmt, mode)
+
+
+def _in_file_order(windowed: DataFrame, fmt: str, by_range: bool | None) -> DataFrame:
+    if fmt not in ("csv", "parquet"):
+        raise ValueError("fmt is 'csv' or 'parquet'")
     by_range = fmt == "csv" if by_range is None else by_range
     order = ["gameid", F.col("compiledgametime").asc_nulls_last(), ROW]
-    in_order = windowed.orderBy(*order) if by_range else windowed.sortWithinPartitions(*order)
+    return windowed.orderBy(*order) if by_range else windowed.sortWithinPartitions(*order)
+
+
+def _write(in_order: DataFrame, path: str, fmt: str, mode: str) -> None:
     if fmt == "csv":
         in_order.drop(ROW).write.mode(mode).option("header", True).option("escape", '"').csv(path)
-    elif fmt == "parquet":
-        in_order.write.mode(mode).parquet(path)
     else:
-        raise ValueError("fmt is 'csv' or 'parquet'")
+        in_order.write.mode(mode).parquet(path)
+
+
+class SequenceCounts(NamedTuple):
+    n_events: int
+    n_sequences: int
+
+
+def write_counted(
+    windowed: DataFrame, path: str, fmt: str = "csv", mode: str = "error", by_range: bool | None = None
+) -> SequenceCounts:
+    """``write_events`` that also counts the events and sequences it writes, in the same pass.
+
+    ``windowed`` is the filtered log with sequence ids, as ``plans.jobs.post_anchor_events`` gives it, or in
+    blocks. The counts are observed in the last stage of the write, of which every partition
+    counts once however often it was tried. A sequence counts at its first row; where a game was cut into
+    blocks, its last row before and its first row after each cut tell whether it went on.
+    """
+    block = F.col(BLOCK) if BLOCK in windowed.columns else F.lit(0)
+    keys = ["gameid", BLOCK] if BLOCK in windowed.columns else ["gameid"]
+    ordered = Window.partitionBy(*keys).orderBy(F.col("compiledgametime").asc_nulls_last(), ROW)
+    own, before, after = F.col("faceoff_sequence_id"), F.lag("faceoff_sequence_id").over(ordered), F.lead("faceoff_sequence_id").over(ordered)
+    at_cut = F.when(block > 0, F.struct(F.col("gameid").alias("game"), block.alias("block"), own.alias("sequence")))
+    marked = windowed.withColumns(
+        {
+            "_starts": before.isNull() | (before != own),
+            "_head": F.when(before.isNull(), at_cut),
+            "_tail": F.when(after.isNull(), at_cut),
+        }
+    )
+    seen = Observation()
+    counted = _in_file_order(marked, fmt, by_range).observe(
+        seen,
+        F.count(F.lit(1)).alias("events"),
+        F.count_if("_starts").alias("starts"),
+        F.collect_set("_head").alias("heads"),
+        F.collect_set("_tail").alias("tails"),
+    )
+    _write(counted.select(*[c for c in windowed.columns if c != BLOCK]), path, fmt, mode)
+    found = seen.get
+    # At most one row of each per block.
+    last = sorted((t.game, t.block, t.sequence) for t in found["tails"])
+    places = [t[:2] for t in last]
+    gone_on = 0
+    for head in found["heads"]:
+        i = bisect_left(places, (head.game, head.block)) - 1
+        gone_on += i >= 0 and last[i][0] == head.game and last[i][2] == head.sequence
+    return SequenceCounts(found["events"], found["starts"] - gone_on)
 
 
 def write_ratings(export: DataFrame, path: str, mode: str = "error") -> None:

@@ -287,3 +287,19 @@ def test_incomplete_rows_are_stored_apart_in_one_pass(spark, tmp_path):
     assert sorted(r.row_pos for r in split.accepted.collect()) == [0, 4]
     assert sorted(r.row_pos for r in split.rejected.collect()) == [1, 2, 3]
     assert split.accepted.columns == frame(spark, rows).columns
+
+
+@pytest.mark.parametrize("rows_per_block", [None, 5])
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_counts_come_with_the_write(spark, small_blocks, tmp_path, fmt, rows_per_block):
+    log = frame(spark, random_log(13))
+    expected = tuple(sequences.sequence_summary(jobs.post_anchor_events(log)).first())
+    rows = sorted(map(str, jobs.post_anchor_events(log).collect()))
+    if rows_per_block:
+        small_blocks(rows_per_block)
+    assert tuple(jobs.write_post_anchor_events(log, str(tmp_path / "out"), fmt)) == expected
+    if fmt == "parquet":
+        assert sorted(map(str, io.read_events_parquet(spark, str(tmp_path / "out")).select(*jobs.post_anchor_events(log).columns).collect())) == rows
+    else:
+        assert io.read_events_csv(spark, str(tmp_path / "out")).count() == len(rows)
+    assert tuple(jobs.write_post_anchor_events(log.limit(0), str(tmp_path / "none"), fmt)) == (0, 0)
