@@ -22,7 +22,7 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -37,6 +37,8 @@ _TAG = re.compile(
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+#: Beginnings of names that tell how a page is laid out and not what an element holds, as in no-sidebar.
+_LAYOUT = re.compile(r"(?:no|not|has|with|without|is|show|hide)[-_]")
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "select", "button"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
@@ -52,6 +54,11 @@ _BLOCK_ENDS_P = {
 MARKS = {"article", "main"}
 #: Around text of any kind.
 _EVERYWHERE = {"html", "body", "div"}
+#: What keeps its meaning around and on an element that marks text: a reader's comment may be an article.
+_KEPT_AT_MARKS = {
+    "nav", "header", "footer", "aside", "form", "dialog", ".comment", ".comments", ".reply", ".replies", ".respond",
+    ".discussion", ".disqus", ".ad", ".ads", ".advert", ".advertisement", ".sponsor", ".sponsored",
+}
 #: Names that are outside of the main text on most pages, and some that are inside, as examples.
 _OUTSIDE = (
     "nav", "header", "footer", "aside", "form", "menu", "head", "dialog", "fieldset", ".ad", ".ads", ".advert", ".advertisement",
@@ -81,20 +88,35 @@ class Word(NamedTuple):
 
 
 def _names(attributes: str) -> frozenset[str]:
+    """The parts of the names that an element has, without those that describe the layout of the page."""
     if not attributes or "=" not in attributes:
         return frozenset()
-    return frozenset("." + part for m in _NAMED.finditer(attributes) for part in _SPLIT.split(m[1].lower()) if part)
+    names = (n for m in _NAMED.finditer(attributes) for n in m[1].strip("\"'").lower().split())
+    return frozenset("." + part for n in names if not _LAYOUT.match(n) for part in _SPLIT.split(n) if part)
+
+
+class _Open(NamedTuple):
+    """An open element: its name, the surroundings within it, and the place of the innermost block element."""
+
+    name: str
+    around: frozenset[str]
+    base: int
+
 
+def parse(page: str, known: Collection[str] | None = None) -> list[Word | str]:
+    """The page as runs of words and names of tags, in page order. Surroundings hold the ``known`` names, or all.
 
-def parse(page: str) -> list[Word | str]:
-    """The page as runs of words and names of tags, in page order."""
+    Names of the page as a whole (on ``html`` and ``body``) say nothing about a part of it. An
+    element that marks text begins anew: of what is around it, and of its own names, only those of
+    ``_KEPT_AT_MARKS`` count within it.
+    """
     out: list[Word | str] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[_Open] = []
+    opened: Counter = Counter()
     around: frozenset[str] = frozenset()
     block, at = 0, 0
 
     def text(piece: str) -> None:
-        nonlocal out
         plain = html.unescape(piece) if "&" in piece else piece
         found = plain.split()
         if found:
@@ -104,8 +126,10 @@ def parse(page: str) -> list[Word | str]:
 
     def cut(depth: int) -> None:
         nonlocal around
+        for element in stack[depth:]:
+            opened[element.name] -= 1
         del stack[depth:]
-        around = frozenset().union(*(s for _, s in stack)) if stack else frozenset()
+        around = stack[-1].around if stack else frozenset()
 
     while at < len(page):
         m = _TAG.search(page, at)
@@ -121,34 +145,39 @@ def parse(page: str) -> list[Word | str]:
         closing = bool(m[1] or m[4])
         if name not in _INLINE:
             block += 1
+        out.append(name)
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    cut(depth)
-                    break
-            out.append(name)
+            if opened[name]:
+                depth = len(stack) - 1
+                while stack[depth].name != name:
+                    depth -= 1
+                cut(depth)
             continue
-        out.append(name)
         if name in _RAW:
             end = re.compile(rf"</{name}[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         if name in _VOID:
             continue
-        for depth in range(len(stack) - 1, -1, -1):
-            open_name = stack[depth][0]
+        base = stack[-1].base if stack else -1
+        if base >= 0:
+            open_name = stack[base].name
             if open_name in _ENDS.get(name, ()) or (open_name == "p" and name in _BLOCK_ENDS_P):
-                cut(depth)
-            elif open_name in _INLINE:
-                continue
-            break
-        attributes = m[3] or m[6] or ""
-        own = _names(attributes)
-        if name not in _INLINE and name not in _EVERYWHERE:
+                cut(base)
+        own = _names(m[3] or m[6] or "") if name not in _EVERYWHERE or name == "div" else frozenset()
+        within = around
+        if name in MARKS:
+            own, within = own & _KEPT_AT_MARKS | {name}, around & (_KEPT_AT_MARKS | MARKS)
+        elif name not in _INLINE and name not in _EVERYWHERE:
             own |= {name}
-        stack.append((name, own))
-        if own:
-            around |= own
+        if known is not None:
+            own = frozenset(x for x in own if x in known)
+        if not own <= within:
+            within = within | own
+        around = within
+        opened[name] += 1
+        base = (stack[-1].base if stack else -1) if name in _INLINE else len(stack)
+        stack.append(_Open(name, within, base))
     return out
 
 
@@ -227,7 +256,7 @@ def region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(model: PageModel, page: str) -> str:
     """Blocks of the best region, one to a line."""
-    parts = parse(page)
+    parts = parse(page, model.weights)
     known: dict[frozenset[str], float] = {}
     scores = []
     for part in parts:
@@ -259,16 +288,22 @@ def main_text(model: PageModel, page: str) -> str:
     return "\n".join(blocks)
 
 
-def train(pages: DataFrame, sample: int = 400) -> PageModel:
-    """Fit on at most ``sample`` pages that mark their text, taken by the hash of the id."""
-    marked = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select("page_id", "html")
-    rows = marked.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample).collect()
+def train(pages: DataFrame, sample: int = 400, longest: int = 1 << 18) -> PageModel:
+    """Fit on at most ``sample`` different pages that mark their text, of at most ``longest`` bytes each.
+
+    They are chosen by hash, and only then fetched, so the driver gets no other page.
+    """
+    marked = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.octet_length("html") <= longest))
+    marked = marked.select("html", F.xxhash64("html").alias("key"))
+    # A page that was stored many times is one page.
+    chosen = [r.key for r in marked.select("key").distinct().orderBy("key").limit(sample).collect()]
+    rows = marked.where(F.col("key").isin(chosen)).groupBy("key").agg(F.min("html").alias("html")).orderBy("key").collect()
     return fit([r.html for r in rows])
 
 
-def extract(pages: DataFrame, sample: int = 400) -> DataFrame:
+def extract(pages: DataFrame, sample: int = 400, longest: int = 1 << 18) -> DataFrame:
     """Main text of every page: ``page_id, url, text, n_chars``."""
-    model = pages.sparkSession.sparkContext.broadcast(train(pages, sample))
+    model = pages.sparkSession.sparkContext.broadcast(train(pages, sample, longest))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
