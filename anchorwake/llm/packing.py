@@ -147,7 +147,9 @@ def pack(docs: DataFrame, capacity: int = 2048, chars_per_token: int = 4, cluste
         F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("chars"),
         (duplicate_cluster() if cluster is None else cluster).cast("long").alias("cluster"),
     )
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "source", "chars", "cluster"), F.lit(blocks)).alias("block"), "*")
+    # Equal rows without an id are dealt by their place, or all of them would share a block.
+    own = F.coalesce("doc_id", F.monotonically_increasing_id())
+    dealt = rows.select(F.pmod(F.xxhash64(own, "source", "chars", "cluster"), F.lit(blocks)).alias("block"), "*")
     rest = F.pmod(F.ceil(F.col("chars") / chars_per_token) + 1, F.lit(capacity))
     sent = dealt.repartition("block").sortWithinPartitions("block", rest.desc(), "doc_id", "source", "cluster")
     return sent.mapInArrow(_packed(capacity, chars_per_token), SCHEMA)
