@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from anchorwake.llm.keys import free
+
 #: Runs that are not yet one space.
 _RUNS = re.compile(rb"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+")
 _FAN_OUT = 16
@@ -232,11 +234,13 @@ def exact_dedup(docs: DataFrame, memory: int = 64 << 20, doc_id: str = "doc_id",
 
 
 def keep_first(docs: DataFrame, memory: int = 64 << 20) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns as they are.
 
-    Rows are met again by ``doc_id``; of repeated rows one stays.
+    Of equal texts the row with the smallest id stays, whatever its other columns hold; of
+    several rows with that id and text any one does. Rows are met again by ``doc_id`` and text.
     """
+    own, sha = free(docs, "_own", "_sha")
     kept = exact_dedup(docs, memory).where("kept")
-    kept = kept.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.unhex("text_sha256").alias("_sha"))
-    hashed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn("_sha", _hash_of("text"))
-    return hashed.join(kept.hint("merge"), ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    kept = kept.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias(own), F.unhex("text_sha256").alias(sha))
+    hashed = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn(sha, _hash_of("text"))
+    return hashed.join(kept.hint("merge"), [own, sha], "left_semi").dropDuplicates([own, sha]).select(*docs.columns)

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from anchorwake.llm.blobs import SCHEMA, buckets, by_key, deal, exchanged, partitions
 from anchorwake.llm.components import components
+from anchorwake.llm.keys import free, keyed
 from anchorwake.llm.store import stored
 from anchorwake.llm.texts import U64, batches, mix, shingles, slices, words
 
@@ -319,10 +320,20 @@ def jaccard_components(docs: DataFrame, size: int = 3, threshold: Threshold | No
 
 
 def keep_one(docs: DataFrame, size: int = 5, threshold: Threshold | None = None, block: int = 400) -> DataFrame:
-    """The rows of ``docs`` without those linked with a smaller id, all columns; rows without an id stay."""
-    found = jaccard_components(docs, size, threshold or Threshold(80, 100), block)
-    dropped = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` without those linked with a smaller id, all columns as they are; rows without an id stay.
+
+    Rows that share an id are told apart: each is judged by its own text, and of a group that
+    only such rows form one stays.
+    """
+    (key,) = free(docs, "_key")
+    rows, odd = keyed(docs.where("doc_id IS NOT NULL"), key)
+    texts = rows.select(F.col(key).alias("doc_id"), "text")
+    dropped = jaccard_components(texts, size, threshold or Threshold(80, 100), block).where("component_id < doc_id").select(F.col("doc_id").alias(key)).distinct()
+    if odd is None:  # every id names one row, so it will do
+        dropped = dropped.withColumnRenamed(key, "doc_id")
+        return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    kept = rows.join(dropped.hint("merge"), key, "left_anti").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def _common_grams(rows: DataFrame, size: int, sample: int = 2000, most: int = 200_000) -> np.ndarray:

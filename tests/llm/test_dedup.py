@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 
 from anchorwake.llm import components, exact, jaccard, passages, substrings
+from anchorwake.llm.ship import ship
 
 sys.path.insert(0, str(Path(__file__).parent))
 import plain  # noqa: E402
@@ -245,10 +246,60 @@ def test_a_line_repeated_in_long_documents_is_shared_to_its_end(spark):
         assert line in text[a:b][:300] and len(text[a:b].split()) >= 20000
 
 
+@pytest.mark.parametrize(("lines", "size"), [(2, 30), (3, 20)])
+def test_passages_whose_lines_stand_in_smaller_documents_are_found(spark, lines, size):
+    rng, rows = random.Random(3), []
+
+    def around(text):
+        return f"{plain.prose(rng, 40, 10**6)} {text} {plain.prose(rng, 40, 10**6)}"
+
+    for i in range(40):
+        parts = [plain.prose(rng, size, 10**6) for _ in range(lines)]
+        rows += [(lines * i + k, around(line)) for k, line in enumerate(parts)]
+        rows += [(10_000 + 10 * i + k, around(" ".join(parts))) for k in range(2)]
+    found = passages.near_passages(ship(spark).createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.match_id for r in found} | {r.doc_id for r in found} <= {d for d, _ in rows if d >= 10_000}
+    assert len({r.doc_id // 10 for r in found if r.doc_id // 10 == r.match_id // 10}) >= 38
+
+
+def test_linked_texts_are_those_of_comparing_all(spark):
+    """Every two texts that share 50 words are connected, and no text that shares none is named."""
+    rng = random.Random(21)
+    pool = [plain.prose(rng, rng.choice([25, 30, 55, 70]), 10**6) for _ in range(40)]
+    texts = {}
+    for i in range(200):
+        parts = [rng.choice(pool) if rng.random() < 0.4 else plain.prose(rng, rng.randint(20, 60), 10**6) for _ in range(rng.randint(1, 5))]
+        texts[i] = " ".join(parts)
+    found = passages.near_passages(ship(spark).createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    at = {}
+    for i, t in texts.items():
+        w = plain.words(t)
+        for k in range(len(w) - 49):
+            at.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    linked = {(min(a, b), max(a, b)) for ids in at.values() for a in ids for b in ids if a != b}
+    up = {i: i for i in texts}
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for r in found:
+        up[root(r.doc_id)] = root(r.match_id)
+    lost = [pair for pair in linked if root(pair[0]) != root(pair[1])]
+    assert len(linked) > 300 and len(lost) <= 0.01 * len(linked)
+    named = {r.doc_id for r in found} | {r.match_id for r in found}
+    shared = {i for pair in linked for i in pair}
+    assert len(shared - named) <= 0.01 * len(shared)
+
+
 def test_passages_of_odd_rows(odd, spark):
     _, docs = odd
     assert passages.near_passages(docs).count() > 0
     assert passages.near_passages(_empty(spark)).collect() == []
+    texts = [plain.prose(random.Random(k), 70, 10**6) for k in range(5)]
+    rows = [(1, texts[0]), (9, texts[1]), (9, texts[2]), (12, texts[3]), (12, texts[3]), (None, texts[4]), (None, texts[4]), (2, texts[0]), (13, texts[2]), (None, texts[0])]
+    found = passages.near_passages(ship(spark).createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.match_id, r.doc_id) for r in found), key=plain.sort_key) == [(None, None), (1, None), (1, 2), (9, 13), (12, 12)]
+    assert {(r.begin, r.end, r.similarity) for r in found} <= {(0, len(t), 1.0) for t in texts}
 
 
 def test_compact_windows_cover_every_passage_once():
@@ -278,3 +329,28 @@ def test_exact_dedup_against_its_statement(spark):
         expected = sorted(told.fetchall())
     assert sorted(tuple(r[n] for n in names) for r in found.collect()) == expected
     assert set(queries.SQL) < set(queries.QUERIES)
+
+
+def test_stages_keep_the_values_of_all_columns(spark):
+    """Also of columns whose names the operators use inside."""
+    rng = random.Random(4)
+    texts = [plain.prose(rng, 60, 10**6) for _ in range(6)]
+    schema = "doc_id long, text string, _id long, _sha string, _own int, _key string, key int, turn int"
+    rows = [(i, t, 700 + i, f"s{i}", i, f"k{i}", -i, i) for i, t in enumerate(texts)]
+    docs = ship(spark).createDataFrame([*rows, (50, texts[0], 1, "x", 1, "x", 1, 1), (51, texts[1] + " more", 1, "x", 1, "x", 1, 1)], schema)
+    for stage, dropped in ((exact.keep_first, {50}), (jaccard.keep_one, {50, 51})):
+        kept = stage(docs)
+        assert kept.schema == docs.schema
+        assert sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in docs.collect() if r.doc_id not in dropped)
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    rng = random.Random(5)
+    one, two, three = (plain.prose(rng, 60, 10**6) for _ in range(3))
+    rows = [(1, one), (2, one + " more"), (2, two), (3, three), (3, three + " more"), (4, two), (None, one), (None, one)]
+    kept = jaccard.keep_one(ship(spark).createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = [(r.doc_id, r.text) for r in kept]
+    assert (1, one) in texts and (2, one + " more") not in texts
+    # Of a repeated id and a plain one the plain one stays; of two rows of one id one does.
+    assert (4, two) in texts and (2, two) not in texts
+    assert sum(i == 3 for i, _ in texts) == 1 and sum(i is None for i, _ in texts) == 2 and len(texts) == 5

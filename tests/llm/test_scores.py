@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import sys
+import time
 from collections import defaultdict
 from pathlib import Path
 
@@ -182,6 +183,45 @@ def test_odd_pages(spark):
     assert pages.extract(frame.limit(0)).collect() == []
 
 
+_LONG = " ".join(f"word{i}" for i in range(120))
+
+
+@pytest.mark.parametrize("body", ["<body>", "<body class='single no-sidebar'>", "<body class='has-header wide'>", "<body class='comments-open'>", "<body class=menu-closed>", "<body><div class='layout has-sidebar'>"])
+@pytest.mark.parametrize("mark", ["<article>", "<article class='post promo'>", "<main id=content>", "<div class='post-content'>"])
+def test_names_of_the_layout_do_not_hide_the_text(body, mark):
+    model = pages.fit(["<nav>a b c</nav><div class=ad>x y</div><article><h1>d</h1><p>e f g h</p></article><footer>i j</footer>"] * 3)
+    page = f"<html>{body}<nav><a>home</a></nav>{mark}<p>{_LONG}</p><div class=ad>buy this</div><p>{_LONG}</p></article></main><footer>all rights</footer>"
+    assert pages.main_text(model, page) == f"{_LONG}\n{_LONG}"
+
+
+def test_comments_in_articles_are_no_text():
+    model = pages.fit(["<nav>a b c</nav><article><p>e f g h</p></article><footer>i j</footer>"] * 3)
+    comments = f"<section class=comments><article class=comment><p>{_LONG}</p></article></section>"
+    assert pages.main_text(model, f"<body><article><p>{_LONG}</p></article>{comments}") == _LONG
+    assert pages.main_text(model, f"<body><article><p>{_LONG}</p>{comments}</article>") == _LONG
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div><span>" * 8000, "<b>x</i>" * 8000, "<b>" * 8000 + "<div></div>" * 8000, "<p><section>" + "<b>" * 8000 + "<div>a</div>" * 8000, "".join(f"<div class='c{i}'>" for i in range(8000))],
+    ids=["nested", "stray", "inline", "shielded", "names"],
+)
+def test_broken_pages_are_parsed_in_linear_time(page):
+    model = pages.fit(["<nav>a b c</nav><article><p>e f g h</p></article>"])
+    began = time.process_time()
+    pages.main_text(model, page)
+    assert time.process_time() - began < 2
+
+
+def test_only_the_sample_of_pages_reaches_the_driver(spark, monkeypatch):
+    rows = [(i % 3, f"<article><p>text {i % 50}</p></article>") for i in range(300)] + [(7, "<article>" + "x" * 5000), (8, "<p>no mark</p>")]
+    frame = spark.createDataFrame(rows, "page_id long, html string")
+    monkeypatch.setattr(pages, "fit", lambda found: found)
+    assert len(pages.train(frame, 20)) == 20
+    every = pages.train(frame, 100, 1000)
+    assert len(every) == len(set(every)) == 50
+
+
 def test_best_run_of_scores():
     rng = random.Random(1)
     for _ in range(300):
@@ -307,6 +347,12 @@ def test_bins_hold_no_conflict_and_all_text(odd, spark, capacity, block):
     assert packing.pack(_empty(spark)).collect() == []
 
 
+def test_equal_rows_without_an_id_are_dealt_to_several_blocks(spark):
+    docs = spark.range(2000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'same text' AS text", "CAST(NULL AS STRING) AS source").repartition(3)
+    found = packing.pack(docs, block=100).selectExpr("bin_id >> 32 AS block").groupBy("block").count().collect()
+    assert len(found) == 20 and max(r["count"] for r in found) < 200
+
+
 def test_tightest_compatible_bin_is_chosen():
     rng = random.Random(7)
     bins, plain_bins = packing.Bins(40), []  # [room, sources, clusters]
