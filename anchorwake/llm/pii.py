@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -140,6 +140,8 @@ def _folded_characters() -> dict[int, str]:
     table = {}
     for code in range(0x80, 0x20000):
         char = chr(code)
+        if unicodedata.decomposition(char).startswith(("<super>", "<sub>")):
+            continue  # the mark of a note, say, after an address
         plain = str(unicodedata.decimal(char, "")) or unicodedata.normalize("NFKC", char)
         if len(plain) == 1 and 0x20 <= ord(plain) < 0x7F:
             table[code] = plain
@@ -224,6 +226,10 @@ _ANY_POINT = re.compile(rf"(?P<plain>\.)|{_POINT}", re.I)
 _LABELS = re.compile(_LABEL)
 _TOP = re.compile(rf"[A-Za-z]{{2,24}}{_END}")
 _BEFORE = re.compile(rf"(?P<name>[A-Za-z0-9_%+-]{{1,64}})(?P<point>{_POINT})$", re.I)
+#: What divides a span from the text beside it, and what joins them nevertheless.
+_DIVIDED = re.compile(r"[\s·•]")
+_JOINED = re.compile(rf"{_BRACKETED_POINT}|{_REFERENCE_POINT}", re.I)
+_BEFORE_PLAIN = re.compile(rf"(?P<name>[A-Za-z0-9_%+-]{{1,64}})(?P<point>{_BRACKETED_POINT}|{_REFERENCE_POINT})$", re.I)
 _USER = re.compile(r"[A-Za-z0-9%+-]+[._][A-Za-z0-9._%+-]*$|[A-Za-z]+[0-9]+$")
 
 
@@ -252,16 +258,16 @@ def disguised_addresses(text: str) -> Iterator[tuple[int, int, str]]:
         disguised = [p for p in points if not p["plain"]]
         before = text[max(0, at.start() - 66) : at.start()]
         name = re.search(r"[A-Za-z0-9._%+-]+$", before)
-        if at["plain"] and not disguised or at["word"] and not disguised and not _USER.search(name.group()):
+        if at["word"] and not disguised and not _USER.search(name.group()):
             continue
         if not at["plain"]:
             yield at.start(), at.end(), "@"
-            start = at.start() - len(name.group())
-            # Points of the name, from right to left.
-            while m := _BEFORE.search(text[max(0, start - 90) : start]):
-                offset = max(0, start - 90)
-                yield offset + m.start("point"), offset + m.end("point"), "."
-                start = offset + m.start("name")
+        # Points of the name, from right to left. Before a plain at sign a bare word is a word.
+        start, point = at.start() - len(name.group()), _BEFORE_PLAIN if at["plain"] else _BEFORE
+        while m := point.search(text[max(0, start - 90) : start]):
+            offset = max(0, start - 90)
+            yield offset + m.start("point"), offset + m.end("point"), "."
+            start = offset + m.start("name")
         for p in disguised:
             yield p.start(), p.end(), "."
 
@@ -306,7 +312,7 @@ _SIGNS = (
     rf"(?i)\b(?:{_WORD})(?:(?:{_POINT}|{_GAP})[0-9]|(?:{_POINT}|{_GAP})(?:{_WORD})\b)|[0-9](?:{_POINT}[0-9]|(?:{_POINT}|{_GAP})(?:{_WORD})\b)",
     r"[0-9][ ().-]{0,2}[OoIl]|[OoIl][ ().-]{0,2}[0-9]",
     rf"(?i)(?:{_BRACKETED_AT}|{_REFERENCE_AT}|{_SPACED_AT}|{_WIDE_AT}){_LETTER_OR_DIGIT}[A-Za-z0-9-]*(?:\.|{_POINT}){_LETTER_OR_DIGIT}"
-    rf"|@[A-Za-z0-9.-]+{_POINT}",
+    rf"|@[A-Za-z0-9.-]+{_POINT}|(?:{_BRACKETED_POINT}|{_REFERENCE_POINT})[A-Za-z0-9._%+-]+@",
 )
 
 
@@ -316,6 +322,13 @@ def may_be_disguised(texts: pa.Array) -> list[bool | None]:
     return reduce(pc.or_, found).to_pylist()
 
 
+def _completes(text: str, start: int, end: int, base: Span) -> bool:
+    """Whether a span holds a plain one that a disguise has cut short, rather than what happens to stand beside it."""
+    beside = [part for part in (text[start : base.start], text[base.end : end]) if part]
+    held = start <= base.start and base.end <= end
+    return held and bool(beside) and all(not _DIVIDED.search(part) or _JOINED.search(part) for part in beside)
+
+
 def identifiers(text: str | None, disguised: bool = True) -> list[Span]:
     """Spans of personal data in code points, by kind and place.
 
@@ -328,13 +341,14 @@ def identifiers(text: str | None, disguised: bool = True) -> list[Span]:
     if plain != text:
         for kind, find in _FINDERS.items():
             base, added = spans[kind], []
-            starts = [s.start for s in base]
+            starts, ends = [s.start for s in base], [s.end for s in base]
             for a, b in find(plain):
                 start, end = a, b
                 for step in reversed(steps):
                     start, end = step.back(start, end)
-                i = bisect_right(starts, end - 1) - 1  # base spans do not overlap each other
-                if text[start:end] != plain[a:b] and (i < 0 or base[i].end <= start):
+                # Base spans that it overlaps; they do not overlap each other.
+                met = base[bisect_right(ends, start) : bisect_left(starts, end)]
+                if text[start:end] != plain[a:b] and (not met or len(met) == 1 and _completes(text, start, end, met[0])):
                     added.append(Span(kind, start, end, False))
             spans[kind] = sorted(base + added, key=lambda s: (s.start, s.end))
     return [s for kind in KINDS for s in spans[kind]]

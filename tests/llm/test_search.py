@@ -198,13 +198,27 @@ def test_disguises_are_found_where_they_stand(kind, text):
     "text",
     [
         "look at example.com today", "we met at noon, the dot com bust", "one two three four", "un deux trois soleil", "at 5 at the door",
-        "call +1 (017) 555-7713 one two three", "4111 1111 1111 1111 three", "пишите нам завтра в 10.30", "see a@b.c dot com", "lOl 100 Il0", "",
+        "call +1 (017) 555-7713 one two three", "+34 912 345 678 o 91", "a@b.cc\u00b7c@d.ee", "a@b.cc\u00b2", "4111 1111 1111 1111 three", "пишите нам завтра в 10.30", "see a@b.c dot com", "lOl 100 Il0", "",
     ],
 )
 def test_clean_texts_are_left_alone(text):
     assert [s for s in pii.identifiers(text) if not s.base] == []
 
 
+@pytest.mark.parametrize(
+    ("text", "base", "whole"),
+    [
+        ("to j\u043ehn.smith@example.com, please", "hn.smith@example.com", "j\u043ehn.smith@example.com"),
+        ("to john [dot] smith@example.com", "smith@example.com", "john [dot] smith@example.com"),
+        ("+1 (017) 555-771\uff13 now", "+1 (017) 555-771", "+1 (017) 555-771\uff13"),
+        ("a@mail.example\u200b.com", "a@mail.example", "a@mail.example\u200b.com"),
+    ],
+)
+def test_a_plain_span_that_a_disguise_cuts_short_is_completed(text, base, whole):
+    found = {(text[s.start : s.end], s.base) for s in pii.identifiers(text)}
+    assert found == {(base, True), (whole, False)}
+
+
 def test_rewritings_lead_back():
     rng = random.Random(2)
     for _ in range(300):
