@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from anchorwake.sources import settle
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet under the session's checkpoint folder and read it again.
 
@@ -16,11 +20,22 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._stored_at = path
     return table
 
 
+def stored_alone(make: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """Store the table that ``make`` returns, and delete those that were stored on the way to it."""
+    before = len(_written)
+    table = stored(make())
+    for path in _written[before:-1]:
+        _delete(spark, path)
+    del _written[before:-1]
+    return table
+
+
 def _folder(spark: SparkSession) -> str:
     settle._ensure_folder(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/tables"
@@ -28,6 +43,9 @@ def _folder(spark: SparkSession) -> str:
 
 def discard(table: DataFrame) -> None:
     """Delete the files of a stored table that no later step reads."""
-    spark = table.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+    _delete(table.sparkSession, table._stored_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

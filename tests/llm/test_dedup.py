@@ -354,3 +354,16 @@ def test_rows_of_one_id_are_judged_by_their_own_text(spark):
     # Of a repeated id and a plain one the plain one stays; of two rows of one id one does.
     assert (4, two) in texts and (2, two) not in texts
     assert sum(i == 3 for i, _ in texts) == 1 and sum(i is None for i, _ in texts) == 2 and len(texts) == 5
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    from pathlib import Path as Folder
+
+    from anchorwake.llm import store
+
+    docs = ship(spark).createDataFrame([(i, f"text of {i // 2} words and more of them") for i in range(10)], "doc_id long, text string")
+    folder = Folder(store._folder(spark).removeprefix("file:"))
+    before = set(folder.glob("*")) if folder.exists() else set()
+    kept = store.stored_alone(lambda: jaccard.keep_one(docs), spark)
+    assert len(set(folder.glob("*")) - before) == 1
+    assert kept.count() == 5
