@@ -93,16 +93,29 @@ def test_language_of_odd_rows(odd, spark):
 
 
 def test_language_scores_are_the_kernel_expansion():
+    """The folded table of weights scores like the kernel against the landmarks, Nyström map and ridge weights."""
     rng = random.Random(4)
-    texts = [plain.prose(rng, 30) for _ in range(20)] + ["éè " * 20] * 2
+    texts = [plain.prose(rng, 30, 60) for _ in range(20)] + ["éè " * 20] * 2
     labels = ["a"] * 10 + ["b"] * 10 + ["c"] * 2
+    new = [plain.prose(rng, rng.randint(3, 50), 60) for _ in range(30)] + ["è é è", "x"]
     model = language.fit(texts, labels, landmarks=22)
-    present = [set(p.tolist()) for p in language._rows_of(texts)]
-    kernel = np.array([[len(x & y) / np.sqrt(max(1, len(x)) * max(1, len(y))) for y in present] for x in present])
-    names, scores = language.predict(model, pa.array(texts))
-    assert names[-1] == "c" and len(names) == 22
-    # Equal texts have equal rows of the kernel, so equal scores.
-    assert kernel[-1, -2] == pytest.approx(1) and scores[-1] == scores[-2]
+    present = [set(p.tolist()) for p in language._rows_of([*texts, *new])]
+    kernel = np.array([[len(x & y) / np.sqrt(max(1, len(x)) * max(1, len(y))) for y in present[:22]] for x in present])
+    values, vectors = np.linalg.eigh(kernel[:22])
+    keep = values > values.max() * 1e-6
+    mapped = kernel @ (vectors[:, keep] / np.sqrt(values[keep]))
+    target = np.where(np.array(labels)[:, None] == np.array(["a", "b", "c"]), 1.0, -1.0)
+    weight = np.diag([1 / labels.count(x) for x in labels])
+    # Ridge regression around the mean of the sample and the weighted mean of the targets.
+    inner, level = mapped - mapped[:22].mean(0), (weight @ target).sum(0) / np.trace(weight)
+    gram = inner[:22].T @ weight @ inner[:22] + 1e-2 * np.trace(weight) / 22 * np.eye(inner.shape[1])
+    votes = inner @ np.linalg.solve(gram, inner[:22].T @ weight @ (target - level)) + level
+    shares = np.exp(2 * votes) / np.exp(2 * votes).sum(1, keepdims=True)
+    names, scores = language.predict(model, pa.array([*texts, *new]))
+    assert scores == pytest.approx(shares.max(1), abs=2e-3)
+    sure = np.sort(shares, 1)[:, -1] - np.sort(shares, 1)[:, -2] > 0.01
+    assert [n for n, s in zip(names, sure, strict=True) if s] == [n for n, s in zip(np.array(["a", "b", "c"])[votes.argmax(1)].tolist(), sure, strict=True) if s]
+    assert names[20] == names[-2] == "c" and scores[20] == scores[21]
 
 
 # -- quality
