@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from anchorwake.llm import decontaminate, language, packing, pages, quality, queries, tokens
+from anchorwake.llm import decontaminate, language, packing, pages, quality, queries, store, tokens
 
 sys.path.insert(0, str(Path(__file__).parent))
 import plain  # noqa: E402
@@ -391,7 +391,7 @@ def test_pipeline_stages_against_plain_versions(spark):
     docs, texts = rows, None
     for name, stage in corpus_pipeline.STAGES:
         before = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
-        docs = corpus_pipeline.stored(stage(spark, docs, SMALL))
+        docs = store.stored(stage(spark, docs, SMALL))
         if name == "packed":
             break
         assert docs.columns == rows.columns
