@@ -152,6 +152,48 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_of_few_links_take_few_tasks(spark):
+    """However many partitions a shuffle has."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(50)] * 2, "a long, b long").repartition(8).cache()
+    links.count()
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        components.components(links)
+        seen = spark.sparkContext.statusTracker()
+        stages = {k for j in seen.getJobIdsForGroup("components") for k in seen.getJobInfo(j).stageIds}
+        assert 0 < sum(i.numTasks for i in map(seen.getStageInfo, stages) if i) < 5 * 64
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_local_stars_connect_what_the_links_do():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        a, b = rng.integers(0, 40, (2, 25))
+        nodes, low = components.local_stars(a, b)
+        joined = components_one_by_one(zip(a.tolist(), b.tolist(), strict=True))
+        assert dict(zip(nodes.tolist(), low.tolist(), strict=True)) == {i: c for i, c in joined.items() if i != c}
+
+
+def components_one_by_one(links):
+    up = {}
+
+    def root(i):
+        up.setdefault(i, i)
+        return i if up[i] == i else root(up[i])
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {i: root(i) for i in up}
+
+
 def _removed(docs, **options):
     names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     return sorted((tuple(r[n] for n in names) for r in substrings.remove_repeated(docs, **options).collect()), key=plain.sort_key)
