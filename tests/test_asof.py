@@ -209,3 +209,19 @@ def test_a_log_stored_by_game_is_not_shuffled_again(spark, small_blocks, tmp_pat
         assert sorted(map(str, facts.select(*jobs.session_facts(log).columns).collect())) == expected
     finally:
         spark.sql(f"DROP TABLE {name}")
+
+
+def test_small_blocks_share_buckets(spark, small_blocks, tmp_path):
+    """A bucket is a file and a task, so their number follows the rows and not the blocks."""
+    log = frame(spark, random_log(12))
+    expected = sorted(map(str, jobs.session_facts(log).collect()))
+    small_blocks(5)
+    stored = store_log(jobs.post_anchor_events(log), "log_shared", str(tmp_path / "log"))
+    try:
+        n = int(spark.sql("DESCRIBE FORMATTED log_shared").where("col_name = 'Num Buckets'").first().data_type)
+        assert n == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert stored.select("gameid", BLOCK).distinct().count() > n
+        facts = jobs.facts_from_windowed(stored, split=None)
+        assert sorted(map(str, facts.select(*jobs.session_facts(log).columns).collect())) == expected
+    finally:
+        spark.sql("DROP TABLE log_shared")
