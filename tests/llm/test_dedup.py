@@ -304,6 +304,35 @@ def test_passages_whose_lines_stand_in_smaller_documents_are_found(spark, lines,
     assert len({r.doc_id // 10 for r in found if r.doc_id // 10 == r.match_id // 10}) >= 38
 
 
+def test_passages_of_which_the_first_documents_hold_a_part_are_found(spark):
+    """Two texts that share 80 words, after documents with 40 of them, which is too few to be a passage."""
+    rng, rows = random.Random(4), []
+
+    def around(text):
+        return f"{plain.prose(rng, 40, 10**6)} {text} {plain.prose(rng, 40, 10**6)}"
+
+    for i in range(40):
+        parts = [plain.prose(rng, 40, 10**6) for _ in range(2)]
+        rows += [(2 * i + k, around(line)) for k, line in enumerate(parts)]
+        rows += [(10_000 + 10 * i + k, around(" ".join(parts))) for k in range(2)]
+    found = passages.near_passages(ship(spark).createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.doc_id // 10 for r in found if r.doc_id // 10 == r.match_id // 10 >= 1000}) >= 39
+
+
+def test_every_two_different_near_copies_are_found(spark):
+    rng, rows = random.Random(14), []
+    for i in range(15):
+        passage = plain.prose(rng, 160, 10**6).split(" ")
+        for k in range(6):
+            copy = list(passage)
+            copy[20 * k + 15] = f"new{k}"
+            rows.append((10 * i + k, f"{plain.prose(rng, 30, 10**6)} {' '.join(copy)} {plain.prose(rng, 30, 10**6)}"))
+    found = passages.near_passages(ship(spark).createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {(r.match_id, r.doc_id) for r in found}
+    assert all(a // 10 == b // 10 for a, b in pairs)
+    assert len(pairs) >= 0.98 * 15 * 15
+
+
 def test_linked_texts_are_those_of_comparing_all(spark):
     """Every two texts that share 50 words are connected, and no text that shares none is named."""
     rng = random.Random(21)
