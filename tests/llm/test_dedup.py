@@ -9,6 +9,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from anchorwake.llm import components, exact, jaccard, passages, substrings
@@ -266,6 +267,52 @@ def test_changed_passages_at_the_threshold_are_verified(n, at):
     assert a <= 20 + 5 and b >= 20 + n - 4 - 5
 
 
+def test_first_passages_are_sent_as_their_bytes():
+    """Neither hashes nor places of words, which took 16 bytes a word."""
+    rng, texts = random.Random(16), []
+    for _ in range(3):
+        texts.append(f" {plain.prose(rng, 400, 10**6)}\n é  {plain.prose(rng, 100, 10**6)} ")
+    rows = [(0, 0, 450), (0, 3, 60), (1, 100, 300), (4, 90, 497)]
+    doc = {0: texts[0], 1: texts[1], 4: texts[2]}
+    columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [7] * 4, [0] * 4, [50] * 4]
+    part = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([doc[r[0]] for r in rows])], ["d1", "a1", "b1", "d2", "a2", "b2", "text"])
+    sent = pa.Table.from_batches(passages._first_side()(iter([part.slice(0, 3), part.slice(3)])))
+    for (d, a, b), begin, passage in zip(rows, sent["from1"].to_pylist(), sent["passage"].to_pylist(), strict=True):
+        data = doc[d].encode()
+        assert data[begin : begin + len(passage)] == passage and passage.decode().split() == data.decode().split()[a : b + 4]
+    assert sent.nbytes < sum(len(p) for p in sent["passage"].to_pylist()) + 64 * len(rows)
+
+
+def test_passages_that_cannot_be_similar_are_not_cut(monkeypatch):
+    """Half of a passage agrees: no run of the other side is looked for, though it was at seven costs."""
+    rng, looked = np.random.default_rng(18), []
+    passage = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+    other = [rng.integers(0, 1 << 62, 40, dtype=np.uint64) for _ in range(3)]
+    one = np.concatenate([passage[:30], rng.integers(0, 1 << 62, 6, dtype=np.uint64), passage[30:]])
+    two = np.concatenate([other[0], passage[:30], rng.integers(0, 1 << 62, 16, dtype=np.uint64), passage[30:], other[1]])
+    near = np.concatenate([other[0], passage[:30], rng.integers(0, 1 << 62, 2, dtype=np.uint64), passage[30:], other[1]])
+    assert [r[:4] for r in passages.verified(one, near, 46, 0.8)] == [(0, 66, 40, 102)]
+    parts = passages.dense_parts
+    monkeypatch.setattr(passages, "dense_parts", lambda *x: looked.append(len(x[0])) or parts(*x))
+    assert passages.verified(one, two, 46, 0.8) == []
+    assert set(looked) <= {len(one), 30, 36} and len(looked) <= 8
+
+
+def test_dense_parts_are_those_of_comparing_all_sums():
+    rng = np.random.default_rng(19)
+    for _ in range(300):
+        n, cost = int(rng.integers(1, 60)), float(rng.choice([0.7, 1.3, 3.996, 32]))
+        same = rng.random(n) < rng.choice([0.2, 0.5, 0.8, 0.95])
+        sums = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -cost))])
+        runs = [(a, b) for b in range(n + 1) for a in range(b) if sums[a] <= sums[b]]
+        inside = {i for a, b in runs for i in range(a, b)}
+        unions, longest = passages.dense_parts(same, cost)
+        assert {i for a, b in unions for i in range(a, b)} == inside and all(b not in inside for _, b in unions)
+        assert longest[1] - longest[0] == max((b - a for a, b in runs), default=0)
+        assert not runs or longest in runs or longest in unions
+        assert passages.dense_parts(same, cost, 10)[0] == [(a, b) for a, b in unions if b - a >= 10]
+
+
 def test_passages_of_one_changed_word_are_found(spark):
     rng, rows = random.Random(12), []
     for i in range(80):
