@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import sys
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -380,6 +382,79 @@ def test_every_two_different_near_copies_are_found(spark):
     assert len(pairs) >= 0.98 * 15 * 15
 
 
+def test_every_two_of_many_near_copies_are_found(spark):
+    """Letters of one form with another word each: more of them than meet whatever is around a minimum, beside a line that many texts have."""
+    rng, rows = random.Random(15), []
+    form, line = plain.prose(rng, 76, 10**6).split(" "), plain.prose(rng, 18, 10**6)
+    for k in range(60):
+        copy = [*form[:37], f"new{k}", *form[38:]]
+        rows.append((k, f"{plain.prose(rng, 30, 10**6)} {' '.join(copy)} {plain.prose(rng, 60, 10**6)} {line} {plain.prose(rng, 60, 10**6)}"))
+        rows.append((100 + k, f"{plain.prose(rng, 60, 10**6)} {line} {plain.prose(rng, 60, 10**6)}"))
+    found = passages.near_passages(ship(spark).createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {(r.match_id, r.doc_id) for r in found}
+    assert all(a < b < 60 for a, b in pairs) and len(pairs) >= 0.98 * 60 * 59 / 2
+
+
+def _alike(around, length, enough):
+    """Pairs of rows that share ``enough`` on both sides; those that share one stretch alone are ``copies``."""
+    pairs, copies = set(), set()
+    held = [set(x[x > 0].tolist()) for x in around]
+    for i, j in itertools.combinations(range(len(around)), 2):
+        common = [sum(v in held[y] for v in around[x].tolist()) for x, y in ((i, j), (j, i))]
+        if min(common) >= enough:
+            same = ((around[i] == around[j]) & (around[i] > 0)).tolist()
+            run = len(list(itertools.takewhile(bool, same[length - 1 :: -1]))) + len(list(itertools.takewhile(bool, same[length - 1 :]))) - 1
+            (copies if run >= length and max(common) == run else pairs).add((i, j))
+    return pairs, copies
+
+
+@pytest.mark.parametrize("kind", ["near", "short", "line", "repeats"])
+def test_windows_alike_are_those_of_comparing_all(kind, monkeypatch):
+    monkeypatch.setattr(passages, "_ROWS", 16)
+    monkeypatch.setattr(passages, "_AT_ONCE", 2000)
+    rng, length = np.random.default_rng(22), 20
+    width = 2 * length - 1
+    base = rng.integers(1, 1 << 32, (3, width))
+    if kind == "repeats":
+        base = rng.choice(rng.integers(1, 1 << 32, 6), (3, width))
+    rows = []
+    for _ in range(120):
+        row = base[rng.integers(3)].copy()
+        for at in rng.integers(0, width, rng.integers(0, 4)):
+            row[at : at + 3] = rng.integers(1, 1 << 32, len(row[at : at + 3]))
+        if kind == "short":
+            row[: rng.integers(0, length)] = 0
+        if kind == "line":
+            n = rng.integers(1, length - 1)
+            row[: length - 1 - n], row[length + n :] = (rng.integers(1, 1 << 32, length - 1 - n) for _ in range(2))
+        row[length - 1] = 7
+        rows.append(row)
+    around = np.array(rows).astype(np.uint32)
+    found = [p for x, y in passages.alike(around, length, 0.8) for p in zip(x.tolist(), y.tolist(), strict=True)]
+    pairs, copies = _alike(around, length, length // 2)
+    assert pairs <= set(found) and (len(pairs) > 50 or kind == "short")
+    first = set(found) - pairs
+    assert all(any((around[i, t : t + length] == around[j, t : t + length]).all() for t in range(length)) for i, j in first)
+    # Each copy meets the first with its stretch, so they are connected and need no pair each.
+    at = {i: i for i in range(len(around))}
+    for i, j in sorted(found):
+        at = {k: min(at[i], at[j]) if v in (at[i], at[j]) else v for k, v in at.items()}
+    assert all(at[i] == at[j] for i, j in copies)
+
+
+def test_every_two_blocks_of_a_crowded_minimum_meet_once(monkeypatch):
+    monkeypatch.setattr(passages, "_CROWD", 8)
+    n = 100
+    k, ids = np.full(n, 5), np.arange(n)
+    pair, own, _, _, side, _ = passages._placed(k, ids, k, k, np.full(n, n), np.zeros((n, 1), np.int64))
+    met = Counter()
+    for p in np.unique(pair):
+        held = list(zip(own[pair == p].tolist(), side[pair == p].tolist(), strict=True))
+        assert len(held) < n / 2
+        met.update(frozenset((a, b)) for (a, x), (b, y) in itertools.combinations(held, 2) if x != y or x == 2)
+    assert met == Counter(frozenset(c) for c in itertools.combinations(range(n), 2))
+
+
 def test_linked_texts_are_those_of_comparing_all(spark):
     """Every two texts that share 50 words are connected, and no text that shares none is named."""
     rng = random.Random(21)
