@@ -35,12 +35,13 @@ from pyspark.sql import functions as F
 from anchorwake.llm.blobs import SCHEMA, buckets, by_key, deal, exchanged, partitions
 from anchorwake.llm.components import components
 from anchorwake.llm.keys import free, keyed
-from anchorwake.llm.store import stored
+from anchorwake.llm.store import discard, stored
 from anchorwake.llm.texts import U64, batches, mix, shingles, slices, words
 
 _CHUNK = 12 << 20  # bytes of text whose signatures a task gathers before it sends them on
 _RATIO = 1.5  # of the sizes of a size class
 _OFTEN = 64  # records of one n-gram that a task sends one by one
+_SHARE = 16  # one of so many documents shows which n-grams are common
 
 
 def text_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -336,13 +337,26 @@ def keep_one(docs: DataFrame, size: int = 5, threshold: Threshold | None = None,
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
-def _common_grams(rows: DataFrame, size: int, sample: int = 2000, most: int = 200_000) -> np.ndarray:
-    """N-grams that several of a bounded sample of documents have, at most ``most`` of them, sorted."""
-    ids = rows.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text").distinct()
-    grams = texts.mapInArrow(_each_gram(size), "gram long").groupBy("gram").count().where("count > 1")
-    found = grams.orderBy(F.desc("count"), "gram").limit(most).collect()
-    return np.sort(np.array([r.gram for r in found], np.int64).view(U64))
+def _common_grams(rows: DataFrame, size: int, sample: int = 2000, most: int = 1_000_000) -> np.ndarray:
+    """N-grams that several documents of a sample have, at most ``most`` of them, sorted.
+
+    The sample grows with the table: of one of a fixed size, n-grams of hundreds of documents are missed in a large
+    table, and these connect its sets to one cluster.
+    """
+    share = max(1, min(_SHARE, rows.count() // sample))
+    texts = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).where("doc_id IS NOT NULL").select("text").distinct()
+    grams = stored(texts.mapInArrow(_each_gram(size), "gram long").groupBy("gram").count().where("count > 1"))
+    # The most frequent ones: only how many are that frequent comes to the driver before.
+    frequent = grams.groupBy(F.least("count", F.lit(1 << 12)).alias("count")).agg(F.count("*").alias("n")).orderBy(F.desc("count")).collect()
+    least, n = (1 << 12) + 1, 0
+    for r in frequent:
+        n += r.n
+        if n > most:
+            break
+        least = r["count"]
+    found = grams.where(F.col("count") >= least).select("gram").toArrow()["gram"].to_numpy()
+    discard(grams)
+    return np.sort(found.view(U64))
 
 
 def _each_gram(size: int):

@@ -123,6 +123,20 @@ def test_sets_that_link_across_size_classes_share_a_signature(num):
         assert np.intersect1d(jaccard.signatures(one, threshold), jaccard.signatures(two, threshold)).size
 
 
+def test_common_grams_of_a_large_table_are_those_of_a_share_of_it(spark):
+    """A line of one document in 50 is common, also where a sample of fixed size does not hold it twice."""
+    rng = random.Random(23)
+    lines = [plain.prose(rng, 3, 10**6) for _ in range(2)]
+    rows = [(i, f"{plain.prose(rng, 12, 10**6)} {lines[0] if i % 50 == 0 else ''} {lines[1] if i % 100 < 99 else ''}") for i in range(4000)]
+    docs = ship(spark).createDataFrame([*rows, (None, rows[0][1]), (None, rows[0][1])], "doc_id long, text string")
+    grams = [next(jaccard.text_sets(pa.array([line]), 3)) for line in lines]
+    common = jaccard._common_grams(docs, 3, sample=20)
+    assert all(np.isin(g, common).all() for g in grams) and len(common) < 40
+    assert (np.diff(common.astype(object)) > 0).all()
+    assert jaccard._common_grams(docs, 3, sample=20, most=1).tolist() == grams[1].tolist()
+    assert len(jaccard._common_grams(docs, 3, sample=20, most=0)) == len(jaccard._common_grams(_empty(spark), 3)) == 0
+
+
 def test_tree_finds_the_components_of_all_pairs():
     rng, threshold = random.Random(5), jaccard.Threshold(80)
     base = [rng.getrandbits(60) for _ in range(60)]
