@@ -39,7 +39,7 @@ from anchorwake.llm.store import discard, stored
 from anchorwake.llm.texts import NOT_ALPHANUMERIC, Slice, slices, words
 
 K = 20
-_SHARD = 4 << 20  # bytes of text of a shard, or one text if that is longer
+_SHARD = 2 << 20  # bytes of text of a shard, or one text if that is longer
 _BLOCK = 1 << 19  # terms of the queries that one pass over the index answers
 _SEEDS = 1 / 32  # share of the shards that give the first scores needed
 _SPREAD = 64  # first rankings of one query's results
@@ -73,7 +73,7 @@ def index_terms(docs: DataFrame, text: str = "text") -> DataFrame:
     """The index, stored: a row per shard, with the documents of at least one term in the order of their ids.
 
     ``ids, lengths`` of the documents, ``terms, held`` and, one after the other, the postings ``docs, times``
-    of the terms.
+    of the terms. A file holds one shard: a task that reads several gathers them in one Arrow batch.
     """
     schema = _index_schema(docs.schema["doc_id"].dataType)
 
@@ -88,7 +88,7 @@ def index_terms(docs: DataFrame, text: str = "text") -> DataFrame:
                     shard = _Shard()
         yield from shard.rows(schema)
 
-    return stored(docs.select("doc_id", F.col(f"`{text}`").alias("text")).mapInArrow(build, schema))
+    return stored(docs.select("doc_id", F.col(f"`{text}`").alias("text")).mapInArrow(build, schema), rows_per_file=1)
 
 
 class _Shard:
@@ -291,7 +291,7 @@ def impact_lists(index: DataFrame, lists: Lists, corpus: Corpus) -> DataFrame:
                 schema,
             )
 
-    return stored(index.mapInArrow(derive, schema))
+    return stored(index.mapInArrow(derive, schema), rows_per_file=1)
 
 
 def _norms(lengths: np.ndarray, corpus: Corpus) -> np.ndarray:

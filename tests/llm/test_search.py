@@ -75,6 +75,17 @@ def test_search_is_the_plain_scoring(spark, monkeypatch, shard):
     assert sorted(map(tuple, found.collect()), key=plain.sort_key) == _plain_search(rows, items, 5)
 
 
+def test_a_file_of_the_index_holds_one_shard(spark):
+    """So the memory of a task that writes or reads some of them does not follow the size of its input."""
+    rng = random.Random(24)
+    rows = [(i, plain.prose(rng, 250_000, 4000)) for i in range(8)]
+    index = search.index_terms(ship(spark).createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert 2 < index.count() <= len(index.inputFiles())
+    asked = search.Query(0, 0, [(t, 1) for t in index.first().terms[:2]], [(0, 1)])
+    impacts = search.impact_lists(index, search.Lists.of([asked]), search.corpus_counts(index))
+    assert 2 < impacts.count() <= len(impacts.inputFiles())
+
+
 def test_search_of_nothing(spark):
     docs, items = spark.createDataFrame([], plain.SCHEMA), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert search.ranked_search(docs, items).collect() == []
