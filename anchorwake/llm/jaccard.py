@@ -38,7 +38,7 @@ from anchorwake.llm.keys import free, keyed
 from anchorwake.llm.store import discard, stored
 from anchorwake.llm.texts import U64, batches, mix, shingles, slices, words
 
-_CHUNK = 12 << 20  # bytes of text whose signatures a task gathers before it sends them on
+_CHUNK = 8 << 20  # bytes of text whose signatures a task gathers before it sends them on
 _RATIO = 1.5  # of the sizes of a size class
 _OFTEN = 64  # records of one n-gram that a task sends one by one
 _SHARE = 16  # one of so many documents shows which n-grams are common
